@@ -6,17 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wikispark.llm import mixing
+from wikispark.llm import bpe, mixing, simhash
 from wikispark.llm.common import table
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Where the public tokenizer file is; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(simhash.groups(table(spark, sf_dir, "documents")))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), vocabulary()))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_mix_sources": op4_mix_sources,
+        "op5_simhash_groups": op5_simhash_groups,
+        "op7_bpe": op7_bpe,
     }
 
 
