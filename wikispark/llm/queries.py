@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wikispark.llm import bpe, mixing, simhash
+from wikispark.llm import bpe, mixing, nearest, simhash, topk
 from wikispark.llm.common import table
 
 
@@ -29,15 +29,27 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), vocabulary()))
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_topk": op3_topk,
         "op4_mix_sources": op4_mix_sources,
         "op5_simhash_groups": op5_simhash_groups,
         "op7_bpe": op7_bpe,
+        "op10_nearest": op10_nearest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_topk": topk.TOPK_SQL,
+        "op10_nearest": nearest.NEAREST_SQL,
         "op4_mix_sources": mixing.MIX_SQL.format(documents="documents"),
     }
