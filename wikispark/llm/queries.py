@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wikispark.llm import bpe, mixing, nearest, simhash, topk
+from wikispark.llm import bpe, mixing, nearest, simhash, topk, warc
 from wikispark.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), vocabulary()))
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
@@ -39,6 +43,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": op1_warc,
         "op3_topk": op3_topk,
         "op4_mix_sources": op4_mix_sources,
         "op5_simhash_groups": op5_simhash_groups,
@@ -49,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_warc": warc.WARC_SQL,
         "op3_topk": topk.TOPK_SQL,
         "op10_nearest": nearest.NEAREST_SQL,
         "op4_mix_sources": mixing.MIX_SQL.format(documents="documents"),
