@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHED = 600_000  # entries of each cache in a worker
+CACHED = 400_000  # entries of each cache in a worker
 #: What the classes of the splitting pattern are within ASCII; white space is that of the splitter's own engine.
 ASCII_CLASSES = ((r"[\p{L}]", "[a-z]"), (r"[\p{N}]", "[0-9]"), (r"\p{L}", "a-zA-Z"), (r"\p{N}", "0-9"), (r"\s", r"\t-\r "))
 
