@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wikispark.llm import bpe, mixing, nearest, simhash, topk, warc
+from wikispark.llm import bpe, extract, mixing, nearest, simhash, topk, warc
 from wikispark.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
@@ -44,6 +48,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
+        "op2_main_text": op2_main_text,
         "op3_topk": op3_topk,
         "op4_mix_sources": op4_mix_sources,
         "op5_simhash_groups": op5_simhash_groups,
