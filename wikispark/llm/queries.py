@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wikispark.llm import bpe, extract, mixing, nearest, simhash, topk, warc
+from wikispark.llm import bpe, extract, lm, mixing, nearest, simhash, topk, warc
 from wikispark.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.train_and_score(table(spark, sf_dir, "documents"))
+
+
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(table(spark, sf_dir, "embeddings"), every=100, k=10)
 
@@ -53,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mix_sources": op4_mix_sources,
         "op5_simhash_groups": op5_simhash_groups,
         "op7_bpe": op7_bpe,
+        "op9_kneser_ney": op9_kneser_ney,
         "op10_nearest": op10_nearest,
     }
 
