@@ -100,7 +100,7 @@ def sums(keys: tuple, values: tuple):
     new = np.ones(len(order), bool)
     new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
     at = np.flatnonzero(new)
-    return [k[at] for k in keys], [np.add.reduceat(v[order], at) if len(at) else v[:0] for v in values]
+    return [k[at] for k in keys], [np.add.reduceat(v[order], at).astype(v.dtype) if len(at) else v[:0] for v in values]
 
 
 def counts_of_counts(c) -> list[int]:
