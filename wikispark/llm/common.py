@@ -67,3 +67,15 @@ def row_bucket(column: Column | str, n: int) -> Column:
 def packed(docs: DataFrame, **extra: Column) -> DataFrame:
     """All columns as one struct `row`, beside computed ones: whatever the columns are called, nothing clashes."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in extra.items()])
+
+
+def text_runs(texts: list, most: int = 1 << 21):
+    """Runs of texts of about `most` characters together."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= most:
+            yield texts[start : i + 1]
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield texts[start:]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wikispark.llm import bpe, extract, lm, mixing, nearest, simhash, topk, warc
+from wikispark.llm import bpe, extract, langid, lm, mixing, nearest, quality, simhash, topk, warc
 from wikispark.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.groups(table(spark, sf_dir, "documents")))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.learn_and_predict(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), vocabulary()))
 
@@ -41,6 +45,10 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.learn_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.train_and_score(table(spark, sf_dir, "documents"))
 
@@ -56,7 +64,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_topk": op3_topk,
         "op4_mix_sources": op4_mix_sources,
         "op5_simhash_groups": op5_simhash_groups,
+        "op6_language": op6_language,
         "op7_bpe": op7_bpe,
+        "op8_quality": op8_quality,
         "op9_kneser_ney": op9_kneser_ney,
         "op10_nearest": op10_nearest,
     }
