@@ -14,16 +14,16 @@ texts without a letter are `und` with score 0, as is everything if nothing was l
 teach nothing. A tie goes to the smaller language code.
 """
 
-from __future__ import annotations
-
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wikispark.llm.common import materialise, row_bucket, text_runs
+from wikispark.llm.common import materialise, packed, row_bucket, text_runs
 
 SAMPLE = 20_000  # documents to learn from, about
 ROUNDS = 2
@@ -232,6 +232,27 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
+def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
+    """The rows of docs whose language is known with at least that score."""
+    if model is None:
+        return docs.limit(0)
+
+    @F.pandas_udf("boolean")
+    def known(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import numpy as np
+
+        scorer = Scorer(model.path, model.table)
+        for texts in batches:
+            out = []
+            for run in text_runs(texts.where(texts.notna(), None).tolist()):
+                logs = scorer.texts(run)
+                with np.errstate(invalid="ignore"):
+                    out += (1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1) >= least).tolist()
+            yield pd.Series(out, dtype=bool)
+
+    return packed(docs, text=F.col("text")).where(known("text")).select("row.*")
+
+
 def learn_and_predict(docs: DataFrame, path: str) -> DataFrame:
     """Learns from the rows whose crc32(doc_id as text) mod 5 is not 0 and predicts all."""
     held_out = row_bucket("doc_id", 5) == 0

@@ -12,16 +12,16 @@ are so. If the labelled documents are of one kind only, every score is 1 or 0 ac
 are null or of unknown documents teach nothing.
 """
 
-from __future__ import annotations
-
+from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wikispark.llm.common import row_bucket, text_runs
+from wikispark.llm.common import packed, row_bucket, text_runs
 
 SAMPLE, SAMPLE_CHARS = 3000, 20_000
 STEPS, RATE, DECAY = 80, 0.2, 1e-4
@@ -203,6 +203,19 @@ def score(docs: DataFrame, model: Crf | float, id_col: str = "doc_id", text_col:
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def keep_good(docs: DataFrame, model: Crf | float) -> DataFrame:
+    """The rows of docs whose score reaches the threshold."""
+    if isinstance(model, float):
+        return docs if model >= THRESHOLD else docs.limit(0)
+
+    @F.pandas_udf("double")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([s for run in text_runs(texts.where(texts.notna(), None).tolist()) for s in model.quality(*features(run)).tolist()], dtype=float)
+
+    return packed(docs, text=F.col("text")).where(scored("text") >= THRESHOLD).select("row.*")
+
+
 def learn_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learns from the rows whose crc32(doc_id as text) mod 4 is not 2 and scores all."""
     held_out = row_bucket("doc_id", 4) == 2

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wikispark.llm.common import materialise
+from wikispark.llm.common import materialise, packed
 from wikispark.llm.graph import components
 
 WIDTH, SEED, BITS = 3, 42, 64
@@ -41,16 +41,17 @@ def fingerprint(text: str | None, width: int = WIDTH) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, fp long) of every row."""
+    """(doc_id, text_hash, fp long) of every row."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t, width) for t in b.column(1).to_pylist()], pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([fingerprint(t, width) for t in b.column(2).to_pylist()], pa.int64())], names=["doc_id", "text_hash", "fp"])
 
     kind = docs.schema["doc_id"].dataType
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([T.StructField("doc_id", kind), T.StructField("fp", T.LongType())]))
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("text_hash", T.LongType()), T.StructField("fp", T.LongType())])
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, schema)
 
 
 def links(nodes: DataFrame) -> DataFrame:
@@ -63,14 +64,14 @@ def links(nodes: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, fp, component_id: the smallest doc_id reachable over links) of every row."""
+    """(doc_id, text_hash, fp, root: a fingerprint that names the component, component_id: its smallest doc_id) of every row."""
     fps = materialise(fingerprints(docs, width), "simhash")
     nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     roots = components(links(nodes.select("fp")))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return fps.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = rooted.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
+    return fps.join(of, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def digest(grouped: DataFrame) -> DataFrame:
@@ -78,8 +79,9 @@ def digest(grouped: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The rows of docs without near copies: of each component the document with the smallest id (one row of it)."""
-    kept = groups(docs, width).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    found = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")))
-    return found.dropDuplicates(["doc_id"]).select("row.*")
+    """The rows of docs without near copies: of each component one row, with the smallest id and of such rows the text with the smallest hash."""
+    own = groups(docs, width).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = own.groupBy("root", F.col("doc_id").alias("kept_id")).agg(F.min("text_hash").alias("kept_hash")).drop("root")
+    rows = packed(docs, doc_id=F.col("doc_id"), text_hash=F.xxhash64("text"))
+    found = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash")))
+    return found.dropDuplicates(["doc_id", "text_hash"]).select("row.*")
