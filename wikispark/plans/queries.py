@@ -490,8 +490,8 @@ def win4_prev_next(spark, d):
     return R.prev_next(first)
 
 
-@query(""", q AS (SELECT item_id AS query_id, lower(text) AS t FROM (SELECT item_id, (string_split(text, ' '))[1] || ' ' || (string_split(text, ' '))[2] AS text FROM benchmark))
-SELECT query_id, c.doc_id AS slug FROM q JOIN (SELECT DISTINCT doc_id, lower(source || ' ' || lang || ' ' || text) AS h FROM documents) c ON contains(h, split_part(t, ' ', 1)) AND contains(h, split_part(t, ' ', 2))""".removeprefix(", ").replace("q AS", "WITH q AS", 1))
+@query("""WITH q AS (SELECT item_id AS query_id, list_filter(string_split_regex(lower(trim((string_split(text, ' '))[1] || ' ' || (string_split(text, ' '))[2])), '\\s+'), lambda t: t <> '') AS terms FROM benchmark)
+SELECT query_id, doc_id AS slug FROM q JOIN (SELECT doc_id, lower(source || ' ' || lang || ' ' || text) AS h FROM documents) ON len(terms) > 0 AND len(list_filter(terms, lambda t: NOT contains(h, t))) = 0""")
 def fn11_search(spark, d):
     words = F.split("text", " ")
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(words[0], F.lit(" "), words[1]).alias("query"))
