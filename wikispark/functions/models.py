@@ -15,9 +15,9 @@ from wikispark.functions import vectors as V
 def hashed_grams(text: Column, dims: int = 64, n: int = 3) -> Column:
     """Character n-grams hashed to `dims` counts, with length one: the default embedding, without Python."""
     t = F.concat(F.lit(" "), F.lower(F.coalesce(text, F.lit(""))), F.lit(" "))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (n - 1), F.lit(1))), lambda i: F.pmod(F.xxhash64(F.substr(t, i, F.lit(n))), F.lit(dims)).cast("int"))
+    grams = F.transform(X.ngrams(t, n), lambda g: F.pmod(F.xxhash64(g), F.lit(dims)).cast("int"))
     counts = lambda own: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(own, lambda g: g == i)).cast("double"))
-    return V.let(V.let(grams, counts), V.unit)
+    return X.let(X.let(grams, counts), V.unit)
 
 
 def embed(df: DataFrame, col: str, fn: Callable[[list[str]], list[list[float]]] | None = None, batch: int = 64, on_error: str = "fallback") -> DataFrame:

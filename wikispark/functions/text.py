@@ -30,6 +30,17 @@ def non_empty(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value worked out once: what a lambda of an array function captures would be worked out for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def ngrams(c: Column, n: int = 3) -> Column:
+    """All runs of n characters; a shorter text is one run."""
+    runs = lambda ch: F.when(F.size(ch) < n, F.array(F.array_join(ch, ""))).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size(ch) - n, F.lit(0))), lambda i: F.concat(*[F.get(ch, i + k) for k in range(n)])))
+    return let(F.split(c, ""), runs)
+
+
 def slugify(prefix: Column, label: Column, index: Column) -> Column:
     """prefix-label: lower case, runs outside a-z, 0-9 and CJK as one dash, one dash off each end, 40 characters; else the index."""
     s = F.regexp_replace(F.lower(label), "[^a-z0-9一-鿿]+", "-")

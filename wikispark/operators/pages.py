@@ -42,13 +42,18 @@ def page_prompts(ctx: DataFrame, bullets: DataFrame) -> DataFrame:
 
 def _wrap_lists(html: Column) -> Column:
     """Runs of lines that end a list item and start one, within <ul>; line by line, so that long lists need no deep matching."""
-    rows = F.split(html, "\n", -1)
     item = lambda r: r.rlike("<li>.*</li>$")
-    n = F.size(rows)
-    marked = F.transform(rows, lambda r, i: F.struct(r.alias("r"), item(r).alias("here"), F.coalesce(item(F.get(rows, i - 1)), F.lit(False)).alias("before"), F.coalesce(item(F.get(rows, i + 1)), F.lit(False)).alias("after"), (i == n - 1).alias("last")))
-    line = lambda x: F.when(x["here"], F.concat(F.when(~x["before"], F.regexp_replace(x["r"], "^(.*?)<li>", "$1<ul><li>")).otherwise(x["r"]), F.when(~x["after"] & x["last"], "</ul>").otherwise("")))
-    text = F.transform(marked, lambda x: F.concat(F.when(~x["here"] & x["before"], "</ul>").otherwise(""), F.when(x["here"], line(x)).otherwise(x["r"])))
-    return F.array_join(text, "\n")
+
+    def line(x, before, after, last):
+        start = F.when(~before, F.regexp_replace(x["r"], "^(.*?)<li>", "$1<ul><li>")).otherwise(x["r"])
+        here = F.concat(start, F.when(~after & last, "</ul>").otherwise(""))
+        return F.when(x["here"], here).otherwise(F.concat(F.when(before, "</ul>").otherwise(""), x["r"]))
+
+    def wrap(marked):
+        at = lambda i: F.coalesce(F.get(marked, i)["here"], F.lit(False))
+        return F.array_join(F.transform(marked, lambda x, i: line(x, at(i - 1), at(i + 1), i == F.size(marked) - 1)), "\n")
+
+    return X.let(F.transform(F.split(html, "\n", -1), lambda r: F.struct(r.alias("r"), item(r).alias("here"))), wrap)
 
 
 def markdown_to_html(body: Column, links: str = "page") -> Column:

@@ -24,12 +24,13 @@ def search(queries: DataFrame, index: DataFrame) -> DataFrame:
     asked = queries.select("query_id", X.search_terms(F.col("query")).alias("terms")).where(F.size("terms") > 0)
     longest = F.array_max(F.transform("terms", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))
     asked = asked.withColumn("longest", longest)
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, 3))
-    keyed = asked.where(F.col("longest.n") >= 3).select("query_id", "terms", F.explode(F.array_distinct(grams(F.col("longest.t")))).alias("gram"))
-    held = rows.where(F.length("haystack") >= 3).select("slug", "haystack", F.explode(F.array_distinct(grams(F.col("haystack")))).alias("gram"))
-    often = held.join(keyed.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    keyed = asked.where(F.col("longest.n") >= 3).select("query_id", "terms", F.explode(F.array_distinct(X.ngrams(F.col("longest.t")))).alias("gram"))
+    held = rows.select("slug", F.explode(F.array_distinct(X.ngrams(F.col("haystack")))).alias("gram"))
+    held = held.join(keyed.select("gram").distinct(), "gram", "left_semi")
+    often = held.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = keyed.join(often, "gram", "left").groupBy("query_id").agg(F.min_by(F.struct("gram", "terms"), F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("k")).select("query_id", "k.gram", "k.terms")
-    found = held.join(rarest, "gram").where(X.search_match(F.col("terms"), F.col("haystack"))).select("query_id", "slug")
+    near = held.join(rarest, "gram").select("query_id", "slug", "terms")
+    found = near.join(rows, "slug").where(X.search_match(F.col("terms"), F.col("haystack"))).select("query_id", "slug")
     short = asked.where(F.col("longest.n") < 3).select("query_id", "terms")
     few = rows.join(short, F.forall("terms", lambda t: F.contains("haystack", t))).select("query_id", "slug")
     return found.unionByName(few)
