@@ -21,6 +21,7 @@ from wikispark.operators import vectors as C
 from wikispark.plans import fixtures as fx
 from wikispark.plans.fixtures import table, with_tables
 from wikispark.sources import readers as S
+from wikispark.sources import writers as Wr
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, tuple[Query, str | None]] = {}
@@ -93,6 +94,27 @@ def src8_topic_catalog(spark, d):
     return R.topic_catalog(docs.select("topic").distinct(), count(docs.join(table(spark, d, "labels").where("toxic = 1"), "doc_id", "left_semi")), count(docs.where("lang = 'en'")))
 
 
+@query("SELECT lang AS topic, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY 1")
+def snk1_stage_table(spark, d):
+    rows = spark.read.parquet(Wr.write_stage(fx.sources(spark, d), Wr.scratch(spark, "stages"), "sources"))
+    return rows.groupBy("topic").agg(F.count("*").alias("n"), F.sum(F.length("content")).cast("long").alias("chars"))
+
+
+@query("SELECT slug, length(body) AS chars FROM wiki_pages", ("wiki_pages",))
+def snk2_page_files(spark, d):
+    path = Wr.scratch(spark, "pages")
+    Wr.write_pages(fx.wiki_pages(spark, d).select("slug", F.col("body").alias("markdown")), path)
+    return spark.read.text(path, wholetext=True).select("slug", (F.length("value") - 1).cast("long").alias("chars"))  # the writer ends each text with a line end
+
+
+@query("SELECT lang AS topic, count(*) AS rows FROM documents GROUP BY 1")
+def snk3_publish(spark, d):
+    path, rows = Wr.scratch(spark, "published"), fx.sources(spark, d)
+    Wr.publish_topic(rows, path)
+    Wr.publish_topic(rows.where("topic = 'en'"), path)  # the other topics stay
+    return spark.read.parquet(path).groupBy("topic").agg(F.count("*").alias("rows"))
+
+
 # lines and formulas
 
 
