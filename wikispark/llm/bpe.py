@@ -20,7 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHED = 400_000  # entries of each cache in a worker
+from wikispark.llm.common import parts
+
+CACHED = 250_000  # entries of each cache in a worker
 #: What the classes of the splitting pattern are within ASCII; white space is that of the splitter's own engine.
 ASCII_CLASSES = ((r"[\p{L}]", "[a-z]"), (r"[\p{N}]", "[0-9]"), (r"\p{L}", "a-zA-Z"), (r"\p{N}", "0-9"), (r"\s", r"\t-\r "))
 
@@ -62,7 +64,7 @@ class ForcedBoundaryBpe:
         model = spec["model"]
         end, vocab = model["end_of_word_suffix"], model["vocab"]
         merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
-        self.inner, self.ending = BPE(vocab, merges), BPE(vocab, merges, end_of_word_suffix=end)
+        self.inner, self.ending = BPE(vocab, merges), self.file.model  # within a word, and at its end
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in vocab.items()} | {i: s for s, i in self.special.items()}
         self.letters = byte_alphabet()
@@ -74,7 +76,7 @@ class ForcedBoundaryBpe:
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         tokens = ([self.code[c] for c in t.removesuffix(end)] for t in vocab)
         self.joined = {p for t in tokens for p in zip(t, t[1:], strict=False)}  # bytes that stand side by side in some token
-        self.fragments, self.words, self.runs = _Memo(self._fragment), _Memo(self._word), _Memo(self._run)
+        self.words, self.runs = _Memo(self._word), _Memo(self._run)
 
     def cut(self, word: bytes) -> list[bytes]:
         """The word in fragments between which no token can reach."""
@@ -83,14 +85,12 @@ class ForcedBoundaryBpe:
         ends = [i for i in range(1, len(word)) if (word[i - 1], word[i]) not in self.joined]
         return [word[a:b] for a, b in zip([0, *ends], [*ends, len(word)], strict=True)]
 
-    def _fragment(self, key: tuple[bytes, bool]) -> list[int]:
-        """Ids of one fragment; key: its bytes, and whether a word ends with it."""
-        fragment, last = key
-        return [t.id for t in (self.ending if last else self.inner).tokenize("".join(map(self.letters.__getitem__, fragment)))]
-
-    def _word(self, word: bytes) -> list[int]:
-        *head, tail = self.cut(word)
-        return [i for f in head for i in self.fragments[f, False]] + self.fragments[tail, True]
+    def _word(self, word: bytes) -> bytes:
+        """Ids of one word: its fragments' one after the other; only the last fragment ends the word."""
+        *head, tail = ("".join(map(self.letters.__getitem__, f)) for f in self.cut(word))
+        ids = array("I", [t.id for f in head for t in self.inner.tokenize(f)])
+        ids.extend(t.id for t in self.ending.tokenize(tail))
+        return ids.tobytes()
 
     def split(self, text: str) -> list[bytes]:
         """The words of text without special tokens. Beyond ASCII, the file's own normaliser and splitter decide, so that
@@ -102,17 +102,14 @@ class ForcedBoundaryBpe:
 
     def _run(self, run: bytes) -> bytes:
         """Ids (32 bits each, little-endian) of a run without ASCII white space; no token reaches over such white space."""
-        text, ids = run.decode("utf-8"), array("I")
-        for i, part in enumerate(self.specials.split(text) if self.specials and "<|" in text else [text]):
-            if i % 2:
-                ids.append(self.special[part])
-            else:
-                for word in self.split(part):
-                    ids.extend(self.words[word])
-        return ids.tobytes()
+        text = run.decode("utf-8")
+        if b"<|" not in run or not self.specials:
+            return b"".join(map(self.words.__getitem__, self.split(text)))
+        parts = self.specials.split(text)  # every other one is a special token
+        return b"".join(array("I", [self.special[p]]).tobytes() if i % 2 else b"".join(map(self.words.__getitem__, self.split(p))) for i, p in enumerate(parts))
 
     def encode(self, text: str | None) -> bytes:
-        for memo in (self.fragments, self.words, self.runs):
+        for memo in (self.words, self.runs):
             memo.trim()
         raw = (text or "").encode("utf-8")
         if text and text.isascii() and b"<|" not in raw:
@@ -137,7 +134,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
         import pyarrow as pa
 
         bpe = coder(vocabulary)
-        for b in batches:
+        for b in parts(batches, 1):
             ids = [bpe.encode(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())], names=[id_col, "ids", "decoded"])
 

@@ -79,3 +79,20 @@ def text_runs(texts: list, most: int = 1 << 21):
             start, size = i + 1, 0
     if start < len(texts):
         yield texts[start:]
+
+
+def parts(batches, column: int, most: int = 1 << 21):
+    """Arrow batches cut so that the texts of a column have about `most` bytes together: what a task holds stays small."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < b.num_rows:
+            done = size[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(size, done + most, side="right")))
+            yield b.slice(start, end - start)
+            start = end
+        if not b.num_rows:
+            yield b

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wikispark.llm.common import materialise
+from wikispark.llm.common import materialise, parts
 
 LEAST = 10  # tokens of a repeat
 SALTS = 8
@@ -161,7 +161,7 @@ def suffixes(pages: DataFrame, least: int) -> DataFrame:
         import xxhash
 
         names = ["host", "page", "start", "prefix", "open"]
-        for b in batches:
+        for b in parts(batches, 2):
             cols: list[list] = [[], [], [], [], []]
             for page, host, html in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 tokens, opens = outside(blocks(html))
@@ -196,7 +196,7 @@ def extract(pages: DataFrame, least: int = LEAST) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in parts(batches, 2):
             texts = [main_text(blocks(h), s or [], least) for h, s in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wikispark.llm.common import materialise, packed, row_bucket, text_runs
+from wikispark.llm.common import materialise, packed, parts, row_bucket, text_runs
 
 SAMPLE = 20_000  # documents to learn from, about
 ROUNDS = 2
 LONGEST = 48  # letters of a word taken at once
 UNKNOWN = 1e-7  # probability of a letter outside the vocabulary
 SMOOTH = 0.01  # added to each piece's expected count
-CACHED = 400_000  # words a worker keeps
+CACHED = 350_000  # words a worker keeps
 LETTERS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 
@@ -156,7 +156,7 @@ def train(docs: DataFrame, path: str, sample: int = SAMPLE, rounds: int = ROUNDS
         import pyarrow as pa
 
         seen: Counter = Counter()
-        for b in batches:
+        for b in parts(batches, 1):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own = Counter(words(text))
                 seen.update({(lang, w): k for w, k in own.items()})
@@ -219,14 +219,13 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
         import pyarrow as pa
 
         scorer = Scorer(model.path, model.table)
-        for b in batches:
-            labels, scores = [], []
-            for texts in text_runs(b.column(1).to_pylist()):
-                logs = scorer.texts(texts)
-                best = np.where(np.isnan(logs[:, 0]), 0, np.nan_to_num(logs).argmax(axis=1))
-                share = 1 / np.exp(logs - np.nanmax(np.nan_to_num(logs, nan=-np.inf), axis=1, initial=-1e300)[:, None]).sum(axis=1)
-                labels += ["und" if x else model.languages[k] for x, k in zip(np.isnan(logs[:, 0]), best, strict=True)]
-                scores += np.nan_to_num(share, nan=0.0).tolist()
+        for b in parts(batches, 1):
+            logs = scorer.texts(b.column(1).to_pylist())
+            best = np.nan_to_num(logs).argmax(axis=1)
+            with np.errstate(invalid="ignore"):
+                share = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
+            labels = ["und" if x else model.languages[k] for x, k in zip(np.isnan(logs[:, 0]), best, strict=True)]
+            scores = np.nan_to_num(share, nan=0.0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "lang_pred", "score"])
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)

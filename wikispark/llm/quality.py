@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wikispark.llm.common import packed, row_bucket, text_runs
+from wikispark.llm.common import packed, parts, row_bucket, text_runs
 
 SAMPLE, SAMPLE_CHARS = 3000, 20_000
 STEPS, RATE, DECAY = 80, 0.2, 1e-4
@@ -195,8 +195,8 @@ def score(docs: DataFrame, model: Crf | float, id_col: str = "doc_id", text_col:
         def run(batches):
             import pyarrow as pa
 
-            for b in batches:
-                scores = [s for texts in text_runs(b.column(1).to_pylist()) for s in model.quality(*features(texts)).tolist()]
+            for b in parts(batches, 1):
+                scores = model.quality(*features(b.column(1).to_pylist())) if b.num_rows else []
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], names=[id_col, "score"])
 
         out = docs.select(id_col, text_col).mapInArrow(run, T.StructType([T.StructField(id_col, kind), T.StructField("score", T.DoubleType())]))

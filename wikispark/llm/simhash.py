@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wikispark.llm.common import materialise, packed
+from wikispark.llm.common import materialise, packed, parts
 from wikispark.llm.graph import components
 
 WIDTH, SEED, BITS = 3, 42, 64
@@ -46,7 +46,7 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in parts(batches, 2):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([fingerprint(t, width) for t in b.column(2).to_pylist()], pa.int64())], names=["doc_id", "text_hash", "fp"])
 
     kind = docs.schema["doc_id"].dataType
