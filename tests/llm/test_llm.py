@@ -7,7 +7,7 @@ import zlib
 
 import pytest
 
-from wikispark.llm import bpe, extract, langid, lm, mixing, nearest, quality, simhash, topk, warc
+from wikispark.llm import bpe, extract, langid, lm, mixing, nearest, neardup, quality, simhash, topk, warc
 from wikispark.llm.graph import components
 from wikispark.llm.queries import vocabulary
 
@@ -218,6 +218,42 @@ def test_components(spark):
     assert got == {i: 1 for i in range(1, 61)} | {100: 100, 150: 100, 200: 100}
 
 
+def test_near_copies_of_several_words(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    base = [" ".join(f"{rng.randrange(10**6):x}" for _ in range(400)) for _ in range(20)]
+    texts = list(base)
+    for b in base:
+        for changes in (1, 4, 8, 25):  # each changes five shingles: similarity about 0.98, 0.9, 0.8 and 0.55
+            own = b.split()
+            for at in rng.sample(range(400), changes):
+                own[at] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(own))
+    passage = " ".join(f"p{i}" for i in range(300))
+    texts += [f"{passage} " + " ".join(f"{rng.randrange(10**6):x}" for _ in range(80)) for _ in range(60)]  # share a passage, similarity about 0.65
+    texts += [passage + f" {i}" for i in range(60)] + ["", None, " ", "one two", "One  two", "three"]
+    sets = []
+    for t in texts:
+        words = (t or "").lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    least = list(range(len(texts)))
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
+    while True:
+        new = list(least)
+        for i, j in near:
+            new[i] = new[j] = min(new[i], new[j])
+        if new == least:
+            break
+        least = new
+    df = documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    assert {r.doc_id: r.component_id for r in neardup.groups(df).collect()} == dict(enumerate(least))
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    assert sorted(r.doc_id for r in stage(spark, df, "").collect()) == sorted(set(least)) and len(set(least)) < len(texts) - 100
+    assert neardup.groups(df.limit(0)).count() == 0
+
+
 # 6
 
 

@@ -78,10 +78,15 @@ def digest(grouped: DataFrame) -> DataFrame:
     return grouped.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The rows of docs without near copies: of each component one row, with the smallest id and of such rows the text with the smallest hash."""
-    own = groups(docs, width).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+def keep_least(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Of each component (doc_id, text_hash, root, component_id) one row of docs, with the smallest id and of such rows the text with the smallest hash."""
+    own = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = own.groupBy("root", F.col("doc_id").alias("kept_id")).agg(F.min("text_hash").alias("kept_hash")).drop("root")
     rows = packed(docs, doc_id=F.col("doc_id"), text_hash=F.xxhash64("text"))
     found = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash")))
     return found.dropDuplicates(["doc_id", "text_hash"]).select("row.*")
+
+
+def keep_one(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The rows of docs without near copies: of each component the row that `keep_least` names."""
+    return keep_least(docs, groups(docs, width))
