@@ -224,3 +224,12 @@ def test_streams_of_notes(spark, tmp_path):
     query = Stream.stream_atoms(Stream.stream_sources(spark, str(folder))).writeStream.format("memory").queryName("atoms").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert {r.quote for r in spark.table("atoms").collect()} == {"One.", "Two"}
+
+
+def test_html_of_all_documents(spark, tmp_path):
+    from wikispark.plans.queries import page4_html
+
+    texts = ["a `b` c", "> quote", "# t\r\n\r\nx", "plain", None]
+    html = ["<p>a <code>b</code> c</p>", "<blockquote>quote</blockquote>", "<h1>t</h1><p>x</p>", "<p>plain</p>", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.chars for r in page4_html(spark, str(tmp_path)).collect()} == {i: len(h) for i, h in enumerate(html)}
