@@ -118,6 +118,17 @@ def test_similar_vectors(spark):
     assert C.near_duplicates(df.limit(0), 0.6).count() == 0
 
 
+def test_lsh_finds_planted_pairs(spark):
+    rng = random.Random(21)
+    base = [[rng.gauss(0, 1) for _ in range(64)] for _ in range(150)]
+    near = [[x + rng.gauss(0, 0.35) for x in v] for v in base]  # a cosine of about 0.94
+    df = spark.createDataFrame(list(enumerate(base + near)), "id long, embedding array<double>")
+    for threshold in (0.92, 0.35):
+        want = {(r.atom_a, r.atom_b) for r in C.near_duplicates(df, threshold).collect()}
+        got = {(r.atom_a, r.atom_b) for r in C.near_duplicates(df, threshold, mode="lsh").collect()}
+        assert len(want) > 100 and got <= want and len(got) >= 0.9 * len(want)
+
+
 def test_cluster_names(spark):
     def names(labels):
         rows = [(i, i, x) for i, x in enumerate(labels)]
