@@ -244,3 +244,14 @@ def test_html_of_all_documents(spark, tmp_path):
     html = ["<p>a <code>b</code> c</p>", "<blockquote>quote</blockquote>", "<h1>t</h1><p>x</p>", "<p>plain</p>", ""]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id: r.chars for r in page4_html(spark, str(tmp_path)).collect()} == {i: len(h) for i, h in enumerate(html)}
+
+
+def test_levels_deeper_than_64(spark):
+    import pytest
+
+    chain = [(f"n{i}", f"n{i - 1}" if i else None, 0) for i in range(67)]
+    schema = "slug string, parent_slug string, ordinal int"
+    deepest = T.levels(spark.createDataFrame(chain, schema)).where("slug = 'n66'").first()
+    assert deepest.depth == 66 and deepest.ancestors == [f"n{i}" for i in range(66)]
+    with pytest.raises(ValueError):
+        T.levels(spark.createDataFrame([("a", None, 0), ("b", "a", 0), ("b", "b", 1)], schema))

@@ -16,19 +16,21 @@ from wikispark.operators.vectors import block_pairs, centroids
 TREE = "slug string, parent_slug string, kind string, label string, ordinal int"
 
 
-def levels(tree: DataFrame, most: int = 64) -> DataFrame:
-    """(slug, depth from 0, path: ordinals from the root, ancestors: root first), one join for each level of the tree."""
+def levels(tree: DataFrame) -> DataFrame:
+    """(slug, depth from 0, path: ordinals from the root, ancestors: root first), one join for each level of the tree; a node below itself is an error."""
     root = F.col("parent_slug").isNull()
     own = tree.select("slug", "parent_slug", "ordinal")
     level = own.where(root).select("slug", F.lit(0).alias("depth"), F.array("ordinal").alias("path"), F.array().cast("array<string>").alias("ancestors"))
     found = level
-    for _ in range(most):
+    while True:
         up = level.select(F.col("slug").alias("p"), "depth", "path", "ancestors")
         level = settle(own.join(up, own["parent_slug"] == up["p"]).select("slug", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("ordinal")).alias("path"), F.concat("ancestors", F.array("p")).alias("ancestors")))
-        if not level.limit(1).count():
-            break
+        n, again = level.agg(F.count("*"), F.max(F.array_contains("ancestors", F.col("slug")))).first()
+        if not n:
+            return found
+        if again:
+            raise ValueError("a node of the tree is its own ancestor")
         found = found.unionByName(level)
-    return found
 
 
 def preorder(tree: DataFrame) -> DataFrame:
