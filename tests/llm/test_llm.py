@@ -378,36 +378,44 @@ def test_language_model(spark):
     split = docs.select("doc_id", "text")
     held_out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
     tokens = lambda t: (t or "").encode().lower().split() + ["</s>"]
-    c, pairs, after, n = Counter(), Counter(), Counter(), defaultdict(lambda: [0, 0, 0])
+    c, triples, total = Counter(), Counter(), Counter()
     for i, t, *_ in rows:
         if not held_out(i):
-            before = "<s>"
-            for w in tokens(t):
+            own = ["<s>", "<s>", *tokens(t)]
+            for u, v, w in zip(own, own[1:], own[2:], strict=False):
                 c[w] += 1
-                pairs[before, w] += 1
-                after[before] += 1
-                before = w
-    k = Counter(w for _, w in pairs)
-    for (v, _), x in pairs.items():
-        n[v][min(x, 3) - 1] += 1
-    d, e = (lm.discounts([sum(x == i for x in z.values()) for i in (1, 2, 3, 4)]) for z in (pairs, k))
-    left = sum(a * sum(min(x, 3) == i for x in k.values()) for i, a in enumerate(e, 1)) / len(pairs)
-    uni = lambda w: max(k[w] - (e[min(k[w], 3) - 1] if k[w] else 0), 0) / len(pairs) + left / (len(c) + 1)
-
-    def p(v, w):
-        if not after[v]:
-            return uni(w)
-        return max(pairs[v, w] - (d[min(pairs[v, w], 3) - 1] if pairs[v, w] else 0), 0) / after[v] + sum(a * b for a, b in zip(d, n[v], strict=True)) / after[v] * uni(w)
-
-    assert abs(sum(p("<s>", w) for w in c) + p("<s>", "never seen") - 1) < 1e-9
-    model = lm.train(split.where("doc_id is null or crc32(cast(cast(doc_id as string) as binary)) % 7 <> 2"), cell_bytes=5000)
-    assert model.columns * model.rows > 1 and (model.tokens, model.vocabulary) == (sum(c.values()), len(c))
-    for i, got in enumerate(sorted(lm.score(split, model).collect(), key=lambda r: (r.doc_id is None, r.doc_id, r.n_tokens))):
-        t = sorted(rows, key=lambda r: (r[0] is None, r[0], len(tokens(r[1]))))[i][1]
-        own = tokens(t)
-        assert (got.n_tokens, got.n_known) == (len(own), sum(c[w] > 0 for w in own))
-        assert math.isclose(got.base_score, sum(math.log10((c[w] + 1) / (sum(c.values()) + len(c) + 1)) for w in own), rel_tol=1e-9)
-        assert math.isclose(got.score, sum(math.log10(p(v, w)) for v, w in zip(["<s>", *own], own, strict=False)), rel_tol=1e-9)
+                triples[u, v, w] += 1
+                total[u, v] += 1
+    k2, kinds, kinds2 = Counter(), defaultdict(lambda: [0, 0, 0]), defaultdict(lambda: [0, 0, 0])
+    for (u, v, w), x in triples.items():
+        kinds[u, v][min(x, 3) - 1] += 1
+        k2[v, w] += x if v == "<s>" else 1
+    k, total2 = Counter(w for _, w in k2), Counter()
+    for (v, _), x in k2.items():
+        kinds2[v][min(x, 3) - 1] += 1
+        total2[v] += x
+    d3, d2, d1 = (lm.discounts([sum(x == i for x in z.values()) for i in (1, 2, 3, 4)]) for z in (triples, k2, k))
+    left = sum(a * sum(min(x, 3) == i for x in k.values()) for i, a in enumerate(d1, 1)) / len(k2)
+    less = lambda x, d: max(x - (d[min(x, 3) - 1] if x else 0), 0)
+    back = lambda d, n: sum(a * b for a, b in zip(d, n, strict=True))
+
+    def p(u, v, w):
+        p1 = less(k[w], d1) / len(k2) + left / (len(c) + 1)
+        p2 = less(k2[v, w], d2) / total2[v] + back(d2, kinds2[v]) / total2[v] * p1 if total2[v] else p1
+        return less(triples[u, v, w], d3) / total[u, v] + back(d3, kinds[u, v]) / total[u, v] * p2 if total[u, v] else p2
+
+    assert abs(sum(p("<s>", "<s>", w) for w in c) + p("<s>", "<s>", "never seen") - 1) < 1e-9
+    learnt = split.where("doc_id is null or crc32(cast(cast(doc_id as string) as binary)) % 7 <> 2")
+    for cell_bytes, passes in ((8000, 3), (1 << 30, 1)):
+        model = lm.train(learnt, cell_bytes=cell_bytes, passes=passes)
+        assert (model.cells > 20) == (passes > 1) and (model.tokens, model.vocabulary, model.pairs) == (sum(c.values()), len(c), len(k2))
+        assert (lm.spread(model.folder, lm.word_hashes(b"the")[0])[0] > 1) == (passes > 1)  # dealt over several cells
+        for i, got in enumerate(sorted(lm.score(split, model).collect(), key=lambda r: (r.doc_id is None, r.doc_id, r.n_tokens))):
+            t = sorted(rows, key=lambda r: (r[0] is None, r[0], len(tokens(r[1]))))[i][1]
+            own = tokens(t)
+            assert (got.n_tokens, got.n_known) == (len(own), sum(c[w] > 0 for w in own))
+            assert math.isclose(got.base_score, sum(math.log10((c[w] + 1) / (sum(c.values()) + len(c) + 1)) for w in own), rel_tol=1e-9)
+            assert math.isclose(got.score, sum(math.log10(p(u, v, w)) for u, v, w in zip(["<s>", "<s>", *own], ["<s>", *own], own, strict=False)), rel_tol=1e-9)
     out = lm.train_and_score(docs)
     assert out.count() == len(rows) and out.where("held_out").count() > 0
     none = lm.train(split.limit(0))
@@ -418,6 +426,33 @@ def test_language_model(spark):
 # the pipeline
 
 
+def test_word_hashes():
+    rng = random.Random(11)
+    words = ["a", "A", "ab", "ba", "é", "x" * 5000, "x" * 4096 + "y", "y" * 4096 + "x", "z" * (lm.PIECE + 7)] + ["".join(rng.choice("abÉ") for _ in range(rng.randrange(1, 9))) for _ in range(500)]
+    raw = [w.encode() for w in words for _ in range(3)]
+    rng.shuffle(raw)
+    text = b"\t".join(raw)
+    text += b" \n" * 9 + b"x" * (lm.PIECE - len(text) % lm.PIECE - 30) + b" the \x0b end"
+    h, at = lm.word_hashes(text)
+    own = text.split()
+    assert len(h) == len(own) and all(text[i : i + len(w)] == w for i, w in zip(at.tolist(), own, strict=True))
+    of = {}
+    assert all(of.setdefault(w.lower(), x) == x for w, x in zip(own, h.tolist(), strict=True)) and len(set(of.values())) == len(of)
+
+
+def test_sorted_arrays(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 9, 5000):
+        keys = np.unique(rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2))
+        a, b = rng.integers(1, 4, len(keys)), np.where(rng.random(len(keys)) < 0.01, 1 << 40, 1)
+        lm.write_table(f"{tmp_path}/t{n}", keys, [a, b], (1, 1))
+        got = lm.table_of(f"{tmp_path}/t{n}", (1, 1)).find(np.concatenate([keys[::-1], keys ^ np.uint64(1 << 50)]))
+        assert (got[0] == np.concatenate([a[::-1], a * 0])).all() and (got[1] == np.concatenate([b[::-1], b * 0])).all()
+    assert not lm.table_of(f"{tmp_path}/none", (1,)).find(keys)[0].any()
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

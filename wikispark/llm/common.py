@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,22 +23,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new path under spark.checkpoint.dir, the folder that the driver and all executors see.
 
-    Where the session names none (in tests, on one machine) a temporary folder is taken and set as such.
+    Where the session names none, a local master (as in tests) gets a temporary folder; on a cluster this is an error,
+    since a folder of one machine would lose rows.
     """
     root = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("wikispark.shared.dir", "")
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='spark-wikispark-')}"
         spark.conf.set("wikispark.shared.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def freed(spark: SparkSession):
+    """Within it, a job's shuffle files go when the job is done."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again: lineage ends here, and a lost executor costs nothing."""
+    """Writes df as Parquet in the shared folder and reads it again: lineage ends here, a lost executor costs nothing, and
+    the shuffles behind it are freed."""
     path = shared_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    with freed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(df: DataFrame) -> None:
+    """Deletes the files of a table that `materialise` gave and nothing needs any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        fs, path = file_system(folder)
+        fs.delete_dir(path)
+
+
 def file_system(uri: str):
     """(pyarrow file system, path) of a URI, inside tasks."""
     from pyarrow import fs
