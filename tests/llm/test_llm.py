@@ -58,22 +58,59 @@ def test_warc_streams(tmp_path):
 
 
 def test_blocks():
-    page = '<body class="nav-open"><div id="cookie-notice">We</div><header>Site</header><main><article><header><h1>T&amp;</h1></header><p>a <b>b</b>c &lt;x&gt; 1<2<p>d<br>e<aside>rel</aside><ul><li class="ad">buy<li>y</ul><div class="comments">hi</div><script>var t="</p>";</script></article></main><form>f</form><footer>f'
-    assert extract.main_text(extract.blocks(page), [], 10) == "T& a bc <x> 1<2 d e y"
+    text = lambda page: extract.main_text(extract.blocks(page), [], 10)[0]
+    page = '<body class="nav-open"><div id="cookie-banner">We</div><header>Site</header><main><article><header><h1>T&amp;</h1></header><p>a <b>b</b>c &lt;x&gt; 1<2<p>d<br>e<aside>rel</aside><ul><li class="ad">buy<li>y</ul><div class="comments">hi</div><script>var t="</p>";</script></article></main><form>f</form><footer>f'
+    assert text(page) == "T& a bc <x> 1<2 d e y"
     for odd in ("", "<", "<p", "<!--", "a < b", "<script>", "&am", "<p>&#x41;&nbsp; b</p>", "<p " * 1000):
         extract.blocks(odd)
-    assert extract.main_text(extract.blocks("<p>&#x41;&nbsp; b</p>"), [], 10) == "A b"
+    assert text("<p>&#x41;&nbsp; b</p>") == "A b"
+    page = '<article><header class="entry-header"><h1>Title</h1></header><p>Body</p><div class="related-work">Prior results</div><div class="comment-list">Hi</div></article>'
+    assert text(page) == "Title Body Prior results"
+    assert text("<article><!-- open <p>kept</p></article>") == "kept" and text("<article><script>var a<p>kept</p></article>") == "kept"
+
+
+def test_repeats_by_brute_force(spark):
+    """Every covered token, and no other, lies in a run of `least` tokens that pages of the host with other contents have too."""
+    rng, least = random.Random(3), 5
+    pieces = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 12))) for _ in range(6)]
+    rows = []
+    for i in range(60):
+        blocks = [(rng.choice(["div", "nav", "footer"]), rng.choice(pieces)) for _ in range(rng.randrange(4))] + [("div", f"own {i} " + " ".join(str(rng.random()) for _ in range(rng.randrange(40, 60))))]
+        rng.shuffle(blocks)
+        body = "".join(f"<{t}>{x}</{t}>" for t, x in blocks)
+        rows.append((i, f"http://h{i % 3}/{i}", f"<article>{body}</article>" if i % 5 == 0 else body))
+    got = {r.page_id: r for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), least=least).collect()}
+    streams = {i: extract.stream(extract.blocks(h)) for i, _, h in rows}
+    where = {}
+    for i, url, _ in rows:
+        for k in range(len(streams[i][0]) - least + 1):
+            where.setdefault((url.split("/")[2], *streams[i][0][k : k + least]), set()).add(i)
+    repeated = 0
+    for i, url, h in rows:
+        tokens, ranks = streams[i]
+        covered = {p for k in range(len(tokens) - least + 1) if len(where[(url.split("/")[2], *tokens[k : k + least])]) > 1 for p in range(k, k + least)}
+        kept = [t for p, (t, r) in enumerate(zip(tokens, ranks, strict=True)) if t != extract.MARK and (r == extract.TEXT or r != extract.ASIDE and p not in covered)]
+        assert got[i].text == " ".join(kept), i
+        assert got[i].repeated == sum(t != extract.MARK and r != extract.TEXT and p in covered for p, (t, r) in enumerate(zip(tokens, ranks, strict=True)))
+        assert got[i].repeated + got[i].structural + len(kept) == sum(t != extract.MARK for t in tokens)
+        repeated += got[i].repeated
+    assert repeated > 100
 
 
 def test_host_repeats(spark):
     menu, rng = " ".join(f"m{i}" for i in range(14)), random.Random(2)
-    rows = [(i, f"http://{'h' if i < 6 else f'o{i}'}/p{i}", f"<div>{menu}</div><div>{' '.join(str(rng.random()) for _ in range(12))}</div>") for i in range(8)]
-    rows += [(20, "http://h/q", f"<article>{menu}</article>"), (21, None, None), (22, "x", ""), (23, "http://h/r", rows[0][2])]
+    rows = [(i, f"http://{'h' if i < 6 else f'o{i}'}/p{i}", f"<div>{menu}</div><div>{' '.join(str(rng.random()) for _ in range(40))}</div>") for i in range(8)]
+    doubtful = '<article><p>Text {}</p><div class="share-hint">{}</div></article>'
+    rows += [(20, "http://h/q", f"<article>{menu}</article>"), (21, None, None), (22, "x", ""), (23, "http://h/r", rows[0][2]), (24, "http://h/s", doubtful.format(1, menu)), (25, "http://h/t", doubtful.format(2, "unique words"))]
+    copies = [" ".join(f"w{k if k != 17 * i else -i}" for k in range(200)) for i in range(1, 4)]
+    rows += [(30 + i, f"http://copies/{i}", f"<p>{t}</p>") for i, t in enumerate(copies)]
     pages = spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, text string")
     got = {r.page_id: r.text for r in extract.extract(pages).collect()}
     own = {i: h.split("<div>")[2][:-6] for i, _, h in rows[:8]}
-    assert all(got[i] == own[i] for i in range(1, 6)) and got[0] == "" == got[23]  # the same page twice: all of it repeats
+    assert all(got[i] == own[i] for i in range(6)) and got[23] == own[0]  # the same page twice is one page
     assert all(got[i] == f"{menu} {own[i]}" for i in (6, 7)) and got[20] == menu and got[21] == got[22] == ""
+    assert got[24] == "Text 1" and got[25] == "Text 2 unique words"  # doubtful parts of an article go if they repeat
+    assert [got[30 + i] for i in range(3)] == copies  # near copies do not delete each other
     assert extract.extract(pages.limit(0)).count() == 0
 
 
