@@ -385,6 +385,28 @@ def test_crf_by_enumeration():
     assert np.allclose(good, want) and np.allclose(between, joint)
 
 
+def test_blocks_of_lines():
+    import numpy as np
+
+    rng, draw = random.Random(4), np.random.default_rng(5)
+    crf = quality.Crf(draw.normal(size=3 * quality.OWN + 3), draw.normal(size=(2, 2)))
+    texts = ["\n" * 40, "a\n" * 30, None, ""] + ["\n".join(rng.choice(["", "a b", "B!! c", "x" * 30, english(rng, 5)]) for _ in range(rng.randrange(1, 90))) for _ in range(40)]
+    whole = crf.quality(texts)
+    for lines in (1, 2, 7, 16):
+        assert np.allclose(crf.quality(texts, lines), whole) and np.allclose([crf.long_quality((t or "").encode(), lines) for t in texts], whole)
+
+
+def test_very_many_lines():
+    import resource
+
+    import numpy as np
+
+    crf = quality.Crf(np.ones(3 * quality.OWN + 3) / 9, np.eye(2))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert 0 <= crf.quality(["\n" * 3_000_000])[0] <= 1
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000  # KB
+
+
 def test_quality(spark):
     rng = random.Random(9)
     junk = lambda: " ".join(w.upper() + "!!" for w in english(rng).split())
@@ -401,6 +423,10 @@ def test_quality(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} >= {i for i in range(300) if i % 3}
     assert quality.train(df, labels.limit(0)) == 1.0 and quality.train(df, labels.where("quality = 0")) == 0.0
     assert quality.score(df.limit(0), 1.0).count() == 0
+    model = quality.train(df, labels)
+    assert quality.score(df.limit(0), model).count() == 0 and sum(0.01 < r.score < 0.99 for r in held) > len(held) / 2
+    twice = quality.score(df.union(df), model).collect()  # repeated rows get the same score each
+    assert len(twice) == 2 * len(rows) and len({(r.doc_id, r.score) for r in twice}) == len({(r.doc_id, r.score) for r in quality.score(df, model).collect()})
 
 
 # 9

@@ -3,15 +3,20 @@
 Every line is good or bad. A line's features and those of its neighbours give it a score, and the chain gives one for
 keeping or changing the label from line to line; forward and backward sums give each line's probability of being good,
 and the mean over lines weighted by their length is the document's quality. The field is fitted here on a bounded sample
-of labelled documents (about `sample` documents of at most SAMPLE_CHARS characters, chosen by a hash of the id), whose
-lines take their document's label: features are computed in Spark, the few thousand short documents come to the driver.
-Scoring reads every text whole, in batches of bounded size.
+of labelled documents (about `sample` documents of at most SAMPLE_CHARS characters, half of each label as far as there
+are, chosen by a hash of the id): features are computed in Spark, the few thousand short documents come to the driver. A
+line takes its document's label, of which the share NOISE is taken as wrong, line by line: so the chain sees changes of
+label, and scores stay graded where the labels could be told apart without doubt.
+
+Scoring reads every text whole, in batches of bounded size. Texts of more than LINES lines run through the chain in blocks
+of lines with carried state: forward over the blocks, then backward; what is kept of a line is two numbers and its hash.
 
 Definitions. Lines end at LF; a null or empty text is one empty line; lines without characters weigh nothing unless all
 are so. If the labelled documents are of one kind only, every score is 1 or 0 accordingly; without any, 1. Labels that
-are null or of unknown documents teach nothing.
+are null or of unknown documents teach nothing; of rows that repeat an id or a label each counts.
 """
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -26,6 +31,9 @@ from wikispark.llm.common import packed, parts, row_bucket, text_runs
 SAMPLE, SAMPLE_CHARS = 3000, 20_000
 STEPS, RATE, DECAY = 80, 0.2, 1e-4
 THRESHOLD = 0.7
+NOISE = 0.02
+LINES = 1 << 14  # of a text held as features at a time
+STEEP = 40.0  # a line's score is kept within these bounds
 PIECE = 1 << 20  # bytes classified at a time
 UPPER, LOWER, DIGIT, SPACE, SHOUT, STOP, BAR, SYMBOL, WIDE, OTHER = range(10)
 OWN = 14  # features of a line by itself
@@ -42,21 +50,10 @@ def classes():
     return table
 
 
-def features(texts: list[str | None]):
-    """(lines of each text, bytes of each line, matrix of the lines' features with their neighbours')."""
+def line_features(lines: list[bytes], repeated, first, last):
+    """(bytes of each line, matrix of the lines' features with their neighbours'); first and last mark the ends of texts."""
     import numpy as np
 
-    lines: list[bytes] = []
-    counts = []
-    repeated: list[float] = []
-    for t in texts:
-        own = (t or "").encode("utf-8", "surrogatepass").split(b"\n")
-        counts.append(len(own))
-        lines += own
-        seen: dict[bytes, int] = {}
-        for line in own:
-            seen[line] = seen.get(line, 0) + 1
-        repeated += [float(seen[line] > 1 and len(line) > 0) for line in own]
     n, table = len(lines), classes()
     size = np.fromiter(map(len, lines), np.int64, n)
     kinds = np.zeros((n, 10))
@@ -64,26 +61,79 @@ def features(texts: list[str | None]):
     raw = b"".join(lines)
     for a in range(0, len(raw), PIECE):
         part = np.frombuffer(raw, np.uint8, min(PIECE, len(raw) - a), a)
-        first, last = np.searchsorted(ends, [a, a + len(part) - 1], side="right")
-        line = np.repeat(np.arange(first, last + 1), np.diff(np.concatenate([[a], np.minimum(ends[first : last + 1], a + len(part))])))
-        kinds[first : last + 1] += np.bincount((line - first) * 10 + table[part], minlength=(last + 1 - first) * 10).reshape(-1, 10)
-    split = [x.split() for x in lines]
-    words = np.fromiter(map(len, split), np.float64, n)
-    distinct = np.fromiter((len(set(w)) for w in split), np.float64, n)
-    twice = np.fromiter((sum(map(eq, w, w[1:])) for w in split), np.float64, n)
+        i, j = np.searchsorted(ends, [a, a + len(part) - 1], side="right")
+        line = np.repeat(np.arange(i, j + 1), np.diff(np.concatenate([[a], np.minimum(ends[i : j + 1], a + len(part))])))
+        kinds[i : j + 1] += np.bincount((line - i) * 10 + table[part], minlength=(j + 1 - i) * 10).reshape(-1, 10)
+    words, distinct, twice = np.zeros(n), np.zeros(n), np.zeros(n)
+    for i in np.flatnonzero(size):
+        w = lines[i].split()
+        words[i], distinct[i], twice[i] = len(w), len(set(w)), sum(map(eq, w, w[1:]))
     w, s, letters = np.maximum(words, 1), np.maximum(size, 1), np.maximum(kinds[:, UPPER] + kinds[:, LOWER], 1)
     x = np.stack(
         [
             np.log1p(size) / 8, np.log1p(words) / 6, kinds[:, UPPER] / letters, kinds[:, SYMBOL] / s, np.minimum(kinds[:, SHOUT] / w, 3), kinds[:, DIGIT] / s,
-            np.minimum(kinds[:, STOP] / w, 3), kinds[:, WIDE] / s, np.minimum(s / w / 10, 5), distinct / w, twice / w, np.minimum(kinds[:, BAR] / w, 3), (size == 0) * 1.0, np.array(repeated),
+            np.minimum(kinds[:, STOP] / w, 3), kinds[:, WIDE] / s, np.minimum(s / w / 10, 5), distinct / w, twice / w, np.minimum(kinds[:, BAR] / w, 3), (size == 0) * 1.0, repeated,
         ], axis=1,
     )
-    counts = np.array(counts)
-    start = np.cumsum(counts) - counts
-    first, last = np.zeros((n, 1)), np.zeros((n, 1))
-    first[start], last[start + counts - 1] = 1, 1
+    first, last = first[:, None], last[:, None]
     before, after = np.roll(x, 1, axis=0) * (1 - first), np.roll(x, -1, axis=0) * (1 - last)
-    return counts, size, np.concatenate([x, before, after, first, last, np.ones((n, 1))], axis=1)
+    return size, np.concatenate([x, before, after, first, last, np.ones((n, 1))], axis=1)
+
+
+def features(texts: list[bytes]):
+    """(lines of each text, bytes of each line, features) of a few texts."""
+    import numpy as np
+
+    lines: list[bytes] = []
+    counts, repeated = [], []
+    for t in texts:
+        own = t.split(b"\n")
+        counts.append(len(own))
+        lines += own
+        seen = Counter(own)
+        repeated += [float(seen[line] > 1 and len(line) > 0) for line in own]
+    counts = np.array(counts)
+    first, last = np.zeros(len(lines)), np.zeros(len(lines))
+    first[np.cumsum(counts) - counts], last[np.cumsum(counts) - 1] = 1, 1
+    return counts, *line_features(lines, np.array(repeated), first, last)
+
+
+def scan(carry, moves):
+    """The states after each move (a row vector times its matrix), scaled to a sum of 1: chunks of moves side by side."""
+    import numpy as np
+
+    n = len(moves)
+    width = max(1, int(np.sqrt(n)))
+    chunks = -(-n // width)
+    m = np.concatenate([moves, np.broadcast_to(np.eye(2), (chunks * width - n, 2, 2))]).reshape(chunks, width, 2, 2)
+    product = np.empty_like(m)
+    product[:, 0] = m[:, 0]
+    for i in range(1, width):
+        product[:, i] = product[:, i - 1] @ m[:, i]
+        product[:, i] /= product[:, i].max(axis=(1, 2), keepdims=True)
+    starts = np.empty((chunks, 1, 1, 2))
+    for i in range(chunks):
+        starts[i, 0, 0] = carry
+        carry = carry @ product[i, -1]
+        carry = carry / carry.sum()
+    states = (starts @ product).reshape(-1, 2)[:n]
+    return states / states.sum(axis=1, keepdims=True)
+
+
+def blocks_of(raw: bytes, lines: int):
+    """(first byte, one after the last) of each run of `lines` lines; the line end between two runs belongs to neither."""
+    at = 0
+    while at <= len(raw):
+        end = at
+        for _ in range(lines):
+            end = raw.find(b"\n", end)
+            if end < 0:
+                break
+            end += 1
+        yield at, (len(raw) if end < 0 else end - 1)
+        if end < 0:
+            return
+        at = end
 
 
 @dataclass
@@ -97,7 +147,7 @@ class Crf:
         """Each line's probability of being good (and, if wanted, the expected steps by kind)."""
         import numpy as np
 
-        e = x @ self.weights
+        e = np.clip(x @ self.weights, -STEEP, STEEP)
         good, between = np.zeros(len(e)), np.zeros((2, 2))
         start = np.cumsum(counts) - counts
         level = np.ceil(np.log2(np.maximum(counts, 1))).astype(int)  # texts of about equal length go together
@@ -125,24 +175,83 @@ class Crf:
                 between += np.exp(joint)[inside[:, 1:]].sum(axis=0)
         return (good, between) if pairs else good
 
-    def quality(self, counts, size, x):
+    def quality(self, texts: list[str | None], lines: int = LINES):
+        """The quality of each text."""
+        import numpy as np
+
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        long = np.array([t.count(b"\n") >= lines for t in raw], bool)
+        out = np.zeros(len(raw))
+        if not long.all():
+            counts, size, x = features([t for t, k in zip(raw, long, strict=True) if not k])
+            good, start = self.marginals(counts, x), np.cumsum(counts) - counts
+            weight = np.where(np.repeat(np.add.reduceat(size, start), counts) > 0, size, 1)
+            out[~long] = np.add.reduceat(good * weight, start) / np.add.reduceat(weight, start)
+        for i in np.flatnonzero(long):
+            out[i] = self.long_quality(raw[i], lines)
+        return np.clip(out, 0, 1)
+
+    def long_quality(self, raw: bytes, lines: int = LINES) -> float:
+        """The quality of one text by blocks of lines."""
+        import numpy as np
+        import xxhash
+
+        at = list(blocks_of(raw, lines))
+        h = np.concatenate([np.fromiter(map(xxhash.xxh64_intdigest, raw[a:b].split(b"\n")), np.uint64, raw.count(b"\n", a, b) + 1) for a, b in at])
+        many = np.sort(h)
+        many = np.unique(many[1:][many[1:] == many[:-1]])
+        found = lambda x: many[np.minimum(np.searchsorted(many, x), len(many) - 1)] == x if len(many) else np.zeros(len(x), bool)
+        empty, n, done = np.uint64(xxhash.xxh64_intdigest(b"")), len(h), 0
+        e, size, forward = np.empty(n), np.empty(n, np.int64), np.empty((n, 2))
+        state = np.ones(2) / 2
+        for k, (a, b) in enumerate(at):
+            own = raw[a:b].split(b"\n")
+            before = [raw[raw.rfind(b"\n", 0, a - 1) + 1 : a - 1]] if k else []
+            after = [raw[b + 1 : at[k + 1][1]].split(b"\n", 1)[0]] if k + 1 < len(at) else []
+            here = slice(done - len(before), done + len(own) + len(after))
+            repeated = (found(h[here]) & (h[here] != empty)) * 1.0
+            first, last = np.zeros(len(repeated)), np.zeros(len(repeated))
+            first[0], last[-1] = not k, k + 1 == len(at)
+            s, x = line_features(before + own + after, repeated, first, last)
+            inside = slice(len(before), len(before) + len(own))
+            here = slice(done, done + len(own))
+            size[here], e[here] = s[inside], np.clip(x[inside] @ self.weights, -STEEP, STEEP)
+            moves = self.moves(e[here])
+            if not k:
+                moves[0] = np.diag(moves[0].diagonal() / np.exp(self.steps.diagonal()))  # no step to the first line
+            forward[here] = scan(state, moves)
+            state, done = forward[here][-1], done + len(own)
+        weight = size if size.any() else np.ones(n)
+        total, state = 0.0, np.ones(2) / 2
+        for stop in range(n, 0, -lines):
+            here = slice(max(0, stop - lines), stop)
+            moves = self.moves(e[here.start + 1 : min(stop + 1, n)])[::-1].transpose(0, 2, 1)
+            backward = scan(state, moves)[::-1] if len(moves) else np.zeros((0, 2))
+            if stop == n:
+                backward = np.concatenate([backward, np.ones((1, 2)) / 2])
+            state = backward[0]
+            p = forward[here] * backward
+            total += float((p[:, 1] / p.sum(axis=1) * weight[here]).sum())
+        return total / float(weight.sum())
+
+    def moves(self, e):
+        """The matrix [from, to] of each step to a line of score e."""
         import numpy as np
 
-        good, start = self.marginals(counts, x), np.cumsum(counts) - counts
-        total = np.add.reduceat(size, start)
-        weight = np.where(np.repeat(total, counts) > 0, size, 1)
-        return np.clip(np.add.reduceat(good * weight, start) / np.add.reduceat(weight, start), 0, 1)
+        to = np.stack([np.zeros_like(e), e], axis=1)
+        to -= to.max(axis=1, keepdims=True)
+        return np.exp(self.steps - self.steps.max())[None] * np.exp(to)[:, None, :]
 
 
 def fit(counts, x, labels) -> Crf:
-    """Gradient ascent (Adam) on the likelihood of the lines' labels; x in the features' own units."""
+    """Gradient ascent (Adam) on the expected likelihood of the lines' labels; x in the features' own units."""
     import numpy as np
 
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     mean[-1], scale[-1] = 0, 1
-    z, y = (x - mean) / scale, np.repeat(labels, counts)
-    same = np.zeros((2, 2))
-    np.add.at(same, (labels, labels), counts - 1)
+    z, soft = (x - mean) / scale, np.where(labels > 0, 1 - NOISE, NOISE)
+    y, q = np.repeat(soft, counts), np.stack([1 - soft, soft], axis=1)
+    same = np.einsum("i,ij,ik->jk", counts - 1.0, q, q)
     crf = Crf(np.zeros(x.shape[1]), np.zeros((2, 2)))
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (crf.weights, crf.steps)]
     for n in range(1, STEPS + 1):
@@ -162,16 +271,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Crf | flo
     import numpy as np
 
     labels = labels.where(F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    n = labels.count()
-    if n > sample:
-        labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * sample / n))
-    rows = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).select("doc_id", "text").join(labels.distinct(), "doc_id")
+    n = {k: x for k, x in labels.groupBy((F.col("quality") > 0).alias("good")).count().collect()}
+    share = F.when(F.col("quality") > 0, F.lit(sample / 2 / max(1, n.get(True, 0)))).otherwise(F.lit(sample / 2 / max(1, n.get(False, 0))))
+    labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < share * (1 << 40))
+    rows = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(labels.distinct(), "doc_id")
 
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
-            counts, _, x = features(b.column(0).to_pylist())
+        for b in (b for b in batches if b.num_rows):
+            counts, _, x = features([t.encode("utf-8", "surrogatepass") for t in b.column(0).to_pylist()])
             start = np.cumsum(counts) - counts
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([x[a : a + k].tobytes() for a, k in zip(start, counts, strict=True)], pa.binary())], names=["quality", "x"])
 
@@ -196,7 +305,7 @@ def score(docs: DataFrame, model: Crf | float, id_col: str = "doc_id", text_col:
             import pyarrow as pa
 
             for b in parts(batches, 1):
-                scores = model.quality(*features(b.column(1).to_pylist())) if b.num_rows else []
+                scores = model.quality(b.column(1).to_pylist()) if b.num_rows else []
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], names=[id_col, "score"])
 
         out = docs.select(id_col, text_col).mapInArrow(run, T.StructType([T.StructField(id_col, kind), T.StructField("score", T.DoubleType())]))
@@ -211,7 +320,7 @@ def keep_good(docs: DataFrame, model: Crf | float) -> DataFrame:
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([s for run in text_runs(texts.where(texts.notna(), None).tolist()) for s in model.quality(*features(run)).tolist()], dtype=float)
+            yield pd.Series([s for run in text_runs(texts.where(texts.notna(), None).tolist()) for s in model.quality(run).tolist()], dtype=float)
 
     return packed(docs, text=F.col("text")).where(scored("text") >= THRESHOLD).select("row.*")
 
