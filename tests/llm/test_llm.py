@@ -319,6 +319,44 @@ def test_marginals_by_enumeration():
     assert abs(sum(length.get(int(i), 1) * x for i, x in zip(ids, n, strict=True)) - 5) < 1e-9  # each character is in one piece
 
 
+def test_words_of_letters():
+    assert langid.words("½ ² Ⅷ ① _ 7 a½b नमस्ते x1y") == ["a", "b", "नमस्ते", "x", "y"] and langid.words(None) == []
+    assert langid.words("Q" * 100) == ["q" * 48, "q" * 48, "q" * 4]
+
+
+def test_scores_by_brute_force(spark):
+    """Whole texts by sums over segmentations in logarithms, with words that a product of doubles could not hold."""
+    rng = random.Random(8)
+    texts = [english(rng, 30) for _ in range(20)] + ["z" * 48, "qxzj" * 40, "the " + "ж" * 60, "नमस्ते ½"]
+    path = vocabulary("piece_bpe_32k.model")
+    model = langid.train(documents(spark, [(i, t, "ab"[i % 2], "s") for i, t in enumerate(texts[:20])]), path)
+    pieces, longest = langid.vocabulary(path), max(map(len, langid.vocabulary(path)))
+    plus = lambda a, b: max(a, b) + math.log1p(math.exp(min(a, b) - max(a, b))) if min(a, b) > -math.inf else max(a, b)
+
+    def log_word(w, k):
+        alpha = [0.0] + [-math.inf] * len(w)
+        for j in range(1, len(w) + 1):
+            for i in range(max(0, j - longest), j):
+                p = pieces.get(w[i:j])
+                if p is not None or j == i + 1:
+                    alpha[j] = plus(alpha[j], alpha[i] + math.log(model.table[p, k] if p is not None else langid.UNKNOWN))
+        return alpha[-1]
+
+    logs = langid.Scorer(path, model.table).texts(texts)
+    for t, own in zip(texts, logs, strict=True):
+        want = [sum(log_word(langid.MARK + w, k) for w in langid.words(t)) for k in range(2)]
+        assert all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(own, want, strict=True)), t
+    out = {r.doc_id: r for r in langid.predict(documents(spark, [(i, t, None, "s") for i, t in enumerate(texts)] * 2), model).collect()}
+    for i, own in enumerate(logs):
+        assert out[i].lang_pred == "ab"[int(own[1] > own[0])] and math.isclose(out[i].score, 1 / (1 + math.exp(-abs(own[0] - own[1]))), rel_tol=1e-9)
+    assert langid.predict(documents(spark, []), model).count() == 0
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, "the of and to in", "en", "s") for i in range(400)] + [(1000 + i, "der die und ist", "de", "s") for i in range(3)]
+    assert langid.train(documents(spark, rows), vocabulary("piece_bpe_32k.model"), sample=40).languages == ["de", "en"]
+
+
 def test_language(spark):
     rng = random.Random(7)
     german = "der die und ist nicht mit ein schule über zwischen wenn auch auf für".split()

@@ -4,17 +4,23 @@ Each language has a probability for every piece of a fixed public vocabulary. A
 sum over all its segmentations into pieces of the product of their probabilities, by the forward algorithm; a text's is
 the product over its words, and the prediction is the language with the highest, its score the posterior under equal
 priors. The piece probabilities are trained here: word counts by language of a bounded sample of training documents
-(about `sample` documents, chosen by a hash of the id) are gathered in Spark, and each round of expectation-maximisation
+(about `sample` documents of each language, chosen by a hash of the id) are gathered in Spark, and each round of expectation-maximisation
 is one job that adds up expected piece counts by forward and backward sums; only the table of pieces by language, whose
 size the vocabulary bounds, comes to the driver. Prediction reads every text whole.
 
-Definitions. Words are maximal runs of letters, lower-cased, with the vocabulary's word mark in front; runs of more than
-48 letters are taken 48 at a time; a letter outside the vocabulary is a piece of small fixed probability. Null texts and
+Sums over segmentations are kept within a double's range by a factor for each letter: no piece has a probability below
+FLOOR, so they neither vanish nor overflow.
+
+Definitions. Words start with a letter (Unicode categories L*) and go on with letters and marks (M*), lower-cased, with the
+vocabulary's word mark in front; runs of more than 48 characters are taken 48 at a time; a letter outside the vocabulary is
+a piece of small fixed probability. Null texts and
 texts without a letter are `und` with score 0, as is everything if nothing was learned. Rows with null text or language
 teach nothing. A tie goes to the smaller language code.
 """
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,18 +31,44 @@ from pyspark.sql import types as T
 
 from wikispark.llm.common import materialise, packed, parts, row_bucket, text_runs
 
-SAMPLE = 20_000  # documents to learn from, about
+SAMPLE = 5_000  # documents of each language to learn from, about
 ROUNDS = 2
 LONGEST = 48  # letters of a word taken at once
 UNKNOWN = 1e-7  # probability of a letter outside the vocabulary
+FLOOR = 1e-9  # the smallest probability of a piece
+FACTOR = 1e4  # for each letter of a piece
 SMOOTH = 0.01  # added to each piece's expected count
 CACHED = 350_000  # words a worker keeps
-LETTERS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
+PLAIN = re.compile(r"[^\W\d_]+")  # the same as letters(), and faster, where no character is odd
+
+
+@lru_cache(maxsize=1)
+def letters() -> re.Pattern:
+    """A letter with the letters and marks that follow it."""
+    spans: dict[str, list[list[int]]] = {"L": [], "M": []}
+    for c in range(sys.maxunicode + 1):
+        own = spans.get(unicodedata.category(chr(c))[0])
+        if own is not None:
+            if own and own[-1][1] == c - 1:
+                own[-1][1] = c
+            else:
+                own.append([c, c])
+    kinds = {k: "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in v) for k, v in spans.items()}
+    return re.compile(f"[{kinds['L']}][{kinds['L']}{kinds['M']}]*")
+
+
+@lru_cache(maxsize=1 << 16)
+def is_odd(c: str) -> bool:
+    """A mark, or what PLAIN takes for a letter and is none."""
+    kind = unicodedata.category(c)
+    return kind[0] == "M" or kind in ("Nl", "No")
 
 
 def words(text: str | None) -> list[str]:
-    found = LETTERS.findall((text or "").lower())
+    text = (text or "").lower()
+    odd = not text.isascii() and any(map(is_odd, set(text)))
+    found = (letters() if odd else PLAIN).findall(text)
     if any(len(w) > LONGEST for w in found):
         found = [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
     return found
@@ -44,11 +76,22 @@ def words(text: str | None) -> list[str]:
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> dict[str, int]:
-    """Piece → id of a sentencepiece file."""
+    """Piece → number of a sentencepiece file, without those that stand for no text."""
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=path)
-    return {m.id_to_piece(i): i for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i))}
+    found = (m.id_to_piece(i) for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i)))
+    return {piece: i for i, piece in enumerate(found)}
+
+
+def scaled(pieces: dict[str, int], table):
+    """The table with a factor for each letter of a piece."""
+    import numpy as np
+
+    factors = np.full((len(table), 1), FACTOR)
+    for piece, i in pieces.items():
+        factors[i] = FACTOR ** len(piece)
+    return table * factors
 
 
 class Lattice:
@@ -80,7 +123,7 @@ class Lattice:
         beta[self.n] = 1
         for (i, j), ids in zip(reversed(self.spans), self.ids[::-1], strict=True):
             beta[i] += table[ids] * beta[j]
-        total = np.maximum(alpha[self.n], 1e-300)
+        total = alpha[self.n]
         parts = [(alpha[i] * table[ids] * beta[j] / total)[:, 0] * weight for (i, j), ids in zip(self.spans, self.ids, strict=True)]
         return self.ids.ravel(), np.concatenate(parts) if parts else np.zeros(0)
 
@@ -101,7 +144,8 @@ class Scorer:
     """log-probabilities of words in every language, kept for words that come again."""
 
     def __init__(self, path: str, table):
-        self.pieces, self.table = vocabulary(path), table
+        self.pieces = vocabulary(path)
+        self.table = scaled(self.pieces, table)
         self.longest = max(map(len, self.pieces))
         self.clear()
 
@@ -116,7 +160,7 @@ class Scorer:
 
         out = np.zeros((len(new), self.table.shape[1]))
         for at, lattice in lattices(self.pieces, self.longest, [MARK + w for w in new]):
-            out[at] = np.log(np.maximum(lattice.forward(self.table)[-1], 1e-300))
+            out[at] = np.log(lattice.forward(self.table)[-1]) - lattice.n * np.log(FACTOR)
         self.index.update(zip(new, range(len(self.logs), len(self.logs) + len(new)), strict=True))
         self.logs = np.concatenate([self.logs, out])
 
@@ -146,9 +190,8 @@ def train(docs: DataFrame, path: str, sample: int = SAMPLE, rounds: int = ROUNDS
     import numpy as np
 
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    n = docs.count()
-    if n > sample:
-        docs = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * sample / n))
+    sizes = docs.groupBy("lang").count().select(F.col("lang").alias("of_lang"), F.lit(sample / F.col("count")).alias("share"))
+    docs = docs.join(F.broadcast(sizes), F.col("lang") == F.col("of_lang")).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.col("share") * (1 << 40))  # a row for each language
 
     def count(batches):
         from collections import Counter
@@ -184,6 +227,7 @@ def train(docs: DataFrame, path: str, sample: int = SAMPLE, rounds: int = ROUNDS
             pieces = vocabulary(path)
             longest = max(map(len, pieces))
             total = np.zeros((size + 2, len(languages)))
+            weights = scaled(pieces, table)
             for b in batches:
                 lang, n = np.array([place[x] for x in b.column(0).to_pylist()]), b.column(2).to_numpy()
                 own = [MARK + w for w in b.column(1).to_pylist()]
@@ -192,7 +236,7 @@ def train(docs: DataFrame, path: str, sample: int = SAMPLE, rounds: int = ROUNDS
                     for at, lattice in lattices(pieces, longest, [own[i] for i in mine]):
                         weight = n[mine[at]]
                         if step:
-                            ids, value = lattice.expected(table[:, k : k + 1], weight)
+                            ids, value = lattice.expected(weights[:, k : k + 1], weight)
                         else:  # first, every place where a piece fits counts
                             ids, value = lattice.ids.ravel(), np.tile(weight, len(lattice.spans))
                         total[:, k] += np.bincount(ids, value, size + 2)
@@ -203,7 +247,7 @@ def train(docs: DataFrame, path: str, sample: int = SAMPLE, rounds: int = ROUNDS
         new = np.full((size, len(languages)), SMOOTH)
         new[got["piece"], got["lang"]] += got["n"]
         table = table.copy()
-        table[:size] = new / new.sum(axis=0)
+        table[:size] = np.maximum(new / new.sum(axis=0), FLOOR)
     return Model(path, languages, table)
 
 
