@@ -270,11 +270,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Crf | flo
     """The field fitted to docs(doc_id, text) and labels(doc_id, quality); or the one score of all texts."""
     import numpy as np
 
-    labels = labels.where(F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality"))
+    labels = labels.where(F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
     n = {k: x for k, x in labels.groupBy((F.col("quality") > 0).alias("good")).count().collect()}
     share = F.when(F.col("quality") > 0, F.lit(sample / 2 / max(1, n.get(True, 0)))).otherwise(F.lit(sample / 2 / max(1, n.get(False, 0))))
     labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < share * (1 << 40))
-    rows = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(labels.distinct(), "doc_id")
+    rows = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(labels), "doc_id")  # about `sample` rows
 
     def run(batches):
         import pyarrow as pa
