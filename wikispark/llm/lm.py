@@ -36,7 +36,7 @@ from wikispark.llm.common import file_system, freed, materialise, parts, remove,
 
 CELL_BYTES = 12_000_000  # of training text for each cell
 PASSES = 4
-TEXT_BYTES, EVENTS = 4_000_000, 500_000  # of text read, and of events counted or scored, at a time
+TEXT_BYTES, EVENTS = 2_000_000, 250_000  # of text read, and of events counted or scored, at a time
 PIECE = 1 << 18  # bytes hashed at a time
 KEPT = 256_000_000  # bytes of arrays that a worker keeps where files cannot be mapped
 MASK = (1 << 56) - 1
