@@ -79,7 +79,75 @@ def test_slugs(spark):
     assert one(spark, X.slugify(F.lit("c"), F.lit("a" * 39 + " b"), F.lit(0))) == "c-" + "a" * 39 + "-"
     rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a-2"), (4, "a")], "alloc_no int, base string")
     out = [r.slug for r in T.unique_slugs(rows).orderBy("alloc_no").collect()]
-    assert out[0] == "a" and len(set(out)) == 4
+    assert out == ["a", "a-2", "a-2-2", "a-3"]
+    for seed in range(4):  # the same as taking slugs one by one
+        rng = random.Random(seed)
+        bases = [rng.choice(["a", "a-2", "a-2-2", "a-3", "b"]) for _ in range(25)]
+        held, want = {"a-4", "b"}, []
+        for b in bases:
+            n, slug = 1, b
+            while slug in held:
+                n += 1
+                slug = f"{b}-{n}"
+            held.add(slug)
+            want.append(slug)
+        rows = spark.createDataFrame(list(enumerate(bases)), "alloc_no int, base string").repartition(3)
+        out = T.unique_slugs(rows, taken=spark.createDataFrame([("a-4",), ("b",), ("b",)], "slug string")).orderBy("alloc_no").collect()
+        assert [r.slug for r in out] == want and rows.columns + ["slug"] == T.unique_slugs(rows).columns
+
+
+def test_tops_of_cycles(spark):
+    parents = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("e", "d"), ("x", "y"), ("y", "gone"), ("s", "s"), ("n", None)] + [(f"q{i}", f"q{i + 1}") for i in range(70)]
+    got = {r.slug: r.top for r in G.top_ancestors(spark.createDataFrame(parents, "slug string, parent string")).collect()}
+    assert got == {x: "a" for x in "abcde"} | {"x": "gone", "y": "gone", "s": "s"} | {f"q{i}": "q70" for i in range(70)}
+
+
+def test_related_pages(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(300):  # one tag that all share, sets that are all distinct, tags twice, many tags, none
+        tags = ["hot"] + rng.sample([f"t{k}" for k in range(12)], rng.randrange(4)) + [f"own{i}"]
+        tags = tags + ["hot", "t1"] if i % 40 == 7 else tags + [f"m{k}" for k in range(9)] if i % 60 == 9 else [] if i % 11 == 3 else [f"own{i}"] if i % 13 == 4 else tags
+        rows.append((f"p{i}", rng.choice("xyz"), tags if i % 23 else None, i))
+    got = {}
+    for r in R.related_pages(spark.createDataFrame(rows, "slug string, type string, tags array<string>, pos int")).orderBy("slug", "rank").collect():
+        got.setdefault(r.slug, []).append((r.related_slug, r.score))
+    for slug, kind, tags, _ in rows:
+        scored = [(-float(sum(t in (tags or []) for t in (other or []))) or -0.1 * (k == kind), pos, s) for s, k, other, pos in rows if s != slug]
+        assert got.get(slug, []) == [(s, -x) for x, _, s in sorted(scored)[:5] if x], slug
+    plan = R.related_pages(spark.createDataFrame(rows, "slug string, type string, tags array<string>, pos int"))._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_heading_ids(spark):
+    html = '<h2>A</h2><p id="section-2">x</p><h3 id="own">B</h3><h2 class="c">C <b>d</b></h2><h1>no</h1><h2 id="section-3">E</h2><h2 id="">F</h2>'
+    got = P.headings(spark.createDataFrame([(1, html), (2, None)], "page int, html string")).orderBy("pos").collect()
+    assert [(r.level, r.id, r.text) for r in got] == [(2, "section-1", "A"), (3, "own", "B"), (2, "section-4", "C d"), (2, "section-3", "E"), (2, "section-5", "F")]
+
+
+def test_group_labels_of_a_model(spark):
+    def model(batches):
+        for b in batches:
+            yield b.assign(label=["good" if n == 0 else "" if n == 1 else "x" * 21 for n in b["group_no"]])[["group_no", "label"]]
+
+    groups = spark.createDataFrame([(0, ["a", "b"]), (1, ["a", "b", "c"]), (2, ["a"])], "group_no int, labels array<string>")
+    assert [r.label for r in T.summarise(groups, model).orderBy("group_no").collect()] == ["good", "a、b 等", "a"]
+
+
+def test_tree_json_with_atoms(spark):
+    import json
+
+    tree = spark.createDataFrame([("r", None, "root", "R", 0), ("x", "r", "leaf-cluster", 'X"', 0)], T.TREE)
+    atoms = spark.createDataFrame([("x", 2, "b"), ("x", 1, "a")], "slug string, pos int, atom_id string")
+    leaf = {"page_slug": "x", "kind": "leaf-cluster", "label": 'X"', "atoms": ["a", "b"], "children": []}
+    assert json.loads(T.tree_to_json(tree, atoms).first().json) == {"page_slug": "r", "kind": "root", "label": "R", "atoms": [], "children": [leaf]}
+
+
+def test_decisions_with_an_audit(spark):
+    d = spark.createDataFrame([("t", "stage1", "n", "c", None, ["l"], [], 1)], "topic string, stage string, name string, chosen string, rationale string, known_limits array<string>, switch_conditions array<string>, pos int")
+    audit = spark.createDataFrame([("t", "P1", 0), ("t", "P0", 3), ("u", "P0", 1)], "topic string, key string, value long")
+    got = {r.topic: r.text for r in P.decision_text(d, audit).collect()}
+    assert got["t"].endswith("- l\n\n### 编译审计\n\n- P0：3\n- P1：0\n\n") and got["u"] == "### 编译审计\n\n- P0：1\n\n"
 
 
 def test_frontmatter(spark):
@@ -173,11 +241,11 @@ def test_cycles(spark):
 
 def test_audit(spark):
     tree = spark.createDataFrame([("r", None, "root", "R", 0), ("x", "r", "leaf-cluster", "X", 0), ("y", "r", "leaf-cluster", "Y", 1)], T.TREE)
-    pages = spark.createDataFrame([("r", "[[x]] [[r]]"), ("x", "é[[r]] [[nope]] [[y|Y]]\nclick A \"y.html\"")], "slug string, body string")
+    pages = spark.createDataFrame([("r", "[[x]] [[r]]"), ("x", "é[[r]] [[nope]] [[y|Y]]\nclick node-1 \"y.html\" click B \"cb\"")], "slug string, body string")
     got = L.link_audit(pages, tree)
     assert {tuple(r) for r in got["errors"].collect()} == {("E4", "r", "r"), ("E1", "x", "nope"), ("E1", "x", "y|Y"), ("E2", "r", "x"), ("E2", "x", "r")}
     assert got["totals"].first().total_links == 6 and got["warnings"].count() == 0
-    assert {(r.target, r.offset) for r in L.all_links(pages, alias=True).where("source = 'x'").collect()} == {("r", 1), ("nope", 7), ("y", 16), ("y", None)}
+    assert {(r.target, r.offset) for r in L.all_links(pages, alias=True).where("source = 'x'").collect()} == {("r", 1), ("nope", 7), ("y", 16), ("y", 24)}
 
 
 def test_html(spark):
@@ -232,9 +300,11 @@ def test_streams_of_notes(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
     (folder / "n.md").write_text("One. Two")
+    (folder / "o.txt").write_text("Three")
+    (folder / "p.rst").write_text("Four")
     query = Stream.stream_atoms(Stream.stream_sources(spark, str(folder))).writeStream.format("memory").queryName("atoms").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(60)
-    assert {r.quote for r in spark.table("atoms").collect()} == {"One.", "Two"}
+    assert {r.quote for r in spark.table("atoms").collect()} == {"One.", "Two", "Three"}
 
 
 def test_html_of_all_documents(spark, tmp_path):

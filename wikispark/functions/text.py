@@ -16,10 +16,11 @@ SECTIONS = {"entities": "实体", "structures": "结构", "sources": "来源"}
 FOLDER_NAMES = {"nextjs": "Next.js", "fastapi": "FastAPI", "langchain": "LangChain", "agent": "Agent"}
 ATOM_KINDS = ("definition", "example", "formula", "rule", "anti-pattern", "problem")
 
+#: The patterns of formulas and links.
 BARE_SUPERSCRIPT = r"(?<![$`A-Za-z0-9_])([A-Za-z]+)([0-9]+)(?![A-Za-z0-9_$`])"
 CHEMICAL = r"(?<![A-Za-z0-9_])([A-Z][a-z]?(?:[0-9]+)?(?:[A-Z][a-z]?(?:[0-9]+)?){1,})(?![A-Za-z0-9_])"
 WIKI_LINK = r"\[\[([^\]]+)\]\]"
-CLICK_LINK = r"click\s+[A-Za-z0-9_]+\s+\"([^\"]+)\""
+CLICK_LINK = r"click\s+\S+\s+\"([^\"]+\.html)\""
 
 
 def _lookup(values: dict, key: Column) -> Column:
@@ -69,16 +70,16 @@ def is_skippable(line: Column) -> Column:
 
 
 def has_math_symbol(line: Column) -> Column:
-    return line.rlike(f"[{MATH_SYMBOLS}]")
+    return line.rlike(r"[^\x00-\x7F]") & line.rlike(f"[{MATH_SYMBOLS}]")  # most lines are ASCII, which the first test tells fast
 
 
 def has_bare_superscript(line: Column) -> Column:
-    return line.rlike(BARE_SUPERSCRIPT)
+    return line.rlike("[A-Za-z][0-9]") & line.rlike(BARE_SUPERSCRIPT)
 
 
 def chem_matches(line: Column) -> Column:
     """Element runs with a letter-digit pair, of 3 to 20 characters."""
-    found = F.regexp_extract_all(line, F.lit(CHEMICAL), F.lit(1))
+    found = F.when(line.rlike("[A-Z][a-z]?[0-9]"), F.regexp_extract_all(line, F.lit(CHEMICAL), F.lit(1))).otherwise(F.array().cast("array<string>"))
     return F.filter(found, lambda m: m.rlike("[A-Z][a-z]?[0-9]") & F.length(m).between(3, 20))
 
 
@@ -138,17 +139,23 @@ def wiki_targets(body: Column) -> Column:
     return F.regexp_extract_all(body, F.lit(WIKI_LINK), F.lit(1))
 
 
-def wiki_links(body: Column) -> Column:
-    """(target, offset) of every [[…]], offsets in code points from 0."""
-    pieces, targets = F.split(body, WIKI_LINK, -1), wiki_targets(body)
+def _found(body: Column, pattern: str) -> Column:
+    """(target: the first group, offset in code points from 0) of every match."""
+    pieces, whole, targets = F.split(body, pattern, -1), F.regexp_extract_all(body, F.lit(pattern), F.lit(0)), F.regexp_extract_all(body, F.lit(pattern), F.lit(1))
     start = F.struct(F.lit(0).cast("int").alias("at"), F.array().cast("array<struct<target:string,offset:int>>").alias("found"))
-    pairs = F.zip_with(targets, F.slice(pieces, 1, F.size(targets)), lambda t, p: F.struct(t.alias("t"), F.length(p).alias("n")))
-    step = lambda acc, x: F.struct((acc["at"] + x["n"] + F.length(x["t"]) + 4).cast("int").alias("at"), F.concat(acc["found"], F.array(F.struct(x["t"].alias("target"), (acc["at"] + x["n"]).cast("int").alias("offset")))).alias("found"))
-    return F.aggregate(pairs, start, step, lambda acc: acc["found"])
+    matches = F.arrays_zip(targets.alias("t"), whole.alias("w"), F.slice(pieces, 1, F.size(targets)).alias("p"))
+    step = lambda acc, x: F.struct((acc["at"] + F.length(x["p"]) + F.length(x["w"])).cast("int").alias("at"), F.concat(acc["found"], F.array(F.struct(x["t"].alias("target"), (acc["at"] + F.length(x["p"])).cast("int").alias("offset")))).alias("found"))
+    return F.aggregate(matches, start, step, lambda acc: acc["found"])
+
+
+def wiki_links(body: Column) -> Column:
+    """(target, offset) of every [[…]]."""
+    return _found(body, WIKI_LINK)
 
 
-def click_targets(body: Column) -> Column:
-    return F.transform(F.regexp_extract_all(body, F.lit(CLICK_LINK), F.lit(1)), lambda t: F.regexp_replace(t, r"\.html$", ""))
+def click_links(body: Column) -> Column:
+    """(target, offset) of every diagram click on a page, without its .html."""
+    return F.transform(_found(body, CLICK_LINK), lambda x: F.struct(F.regexp_replace(x["target"], r"\.html$", "").alias("target"), x["offset"].alias("offset")))
 
 
 def alias_target(link: Column) -> Column:

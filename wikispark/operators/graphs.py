@@ -10,11 +10,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def own_folder(spark: SparkSession) -> str:
+    """A temporary folder for a session on one machine; on a cluster, whose machines would each write their own, an error."""
+    if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"file://{tempfile.mkdtemp(prefix='spark-wikispark-')}"
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the folder that spark.checkpoint.dir names (a temporary one where it is unset)."""
+    """Cuts the lineage with a checkpoint in the folder that spark.checkpoint.dir names."""
     spark: SparkSession = df.sparkSession
     if not (spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        spark.sparkContext.setCheckpointDir(own_folder(spark))
     return df.checkpoint()
 
 
@@ -92,11 +99,16 @@ def cycle_edges(edges: DataFrame) -> DataFrame:
 
 
 def top_ancestors(parents: DataFrame) -> DataFrame:
-    """(slug, parent) → (slug, top): the top-most id reachable by parents, even if it has no row; pointer jumping to a fixpoint."""
-    top = settle(parents.where(F.col("parent").isNotNull()).groupBy("slug").agg(F.min("parent").alias("top")))
-    while True:
-        up = top.select(F.col("slug").alias("u"), F.col("top").alias("t"))
-        new = settle(top.join(up, top["top"] == up["u"], "left").select("slug", F.coalesce("t", "top").alias("top"), (F.col("t").isNotNull() & (F.col("t") != F.col("top"))).alias("moved")))
-        top = new.select("slug", "top")
+    """(slug, parent) → (slug, top): the top-most id reachable by parents, even if it has no row; pointer jumping.
+
+    After log2(n) + 1 rounds only what leads into a cycle of parents still has a parent: its top is the cycle's smallest id.
+    """
+    top = settle(parents.where(F.col("parent").isNotNull()).groupBy("slug").agg(F.min("parent").alias("top")).withColumn("low", F.col("top")))
+    for _ in range(top.count().bit_length() + 1):
+        up = top.select(F.col("slug").alias("u"), F.col("top").alias("t"), F.col("low").alias("l"))
+        new = settle(top.join(up, top["top"] == up["u"], "left").select("slug", F.coalesce("t", "top").alias("top"), F.least("low", "l").alias("low"), F.col("t").isNotNull().alias("moved")))
+        top = new.select("slug", "top", "low")
         if not new.where("moved").limit(1).count():
-            return top
+            return top.select("slug", "top")
+    cycle = top.select(F.col("slug").alias("u"), F.col("low").alias("least"))
+    return top.join(cycle, top["top"] == cycle["u"], "left").select("slug", F.coalesce("least", "top").alias("top"))

@@ -11,15 +11,15 @@ from wikispark.operators.tree import preorder
 
 
 def all_links(pages: DataFrame, alias: bool = False) -> DataFrame:
-    """pages(slug, body) → (source, type, target, offset): wiki links, then diagram clicks (without an offset); a bag.
+    """pages(slug, body) → (source, type, target, offset): wiki links, then diagram clicks; a bag.
 
     alias: [[slug|label]] links to slug; otherwise the whole content is the target.
     """
     wiki = pages.select(F.col("slug").alias("source"), F.lit("wiki").alias("type"), F.explode(X.wiki_links(F.col("body"))).alias("l"))
     target = X.alias_target(F.col("l.target")) if alias else F.col("l.target")
     wiki = wiki.select("source", "type", target.alias("target"), F.col("l.offset").alias("offset"))
-    clicks = pages.select(F.col("slug").alias("source"), F.lit("mermaid-click").alias("type"), F.explode(X.click_targets(F.col("body"))).alias("target"), F.lit(None).cast("int").alias("offset"))
-    return wiki.unionByName(clicks)
+    clicks = pages.select(F.col("slug").alias("source"), F.lit("mermaid-click").alias("type"), F.explode(X.click_links(F.col("body"))).alias("l"))
+    return wiki.unionByName(clicks.select("source", "type", F.col("l.target").alias("target"), F.col("l.offset").alias("offset")))
 
 
 def classify_links(links: DataFrame, slugs: DataFrame) -> DataFrame:

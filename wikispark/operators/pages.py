@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wikispark.functions import text as X
 from wikispark.operators.graphs import settle
-from wikispark.operators.tree import nav_outline, preorder
+from wikispark.operators.tree import preorder
 
 NO_QUOTE, NO_ATOMS, SEE_WIKI = "(无)", "(本节点无直接关联的 atom，请基于子节点概要 roll-up 撰写)", "*(详见 wiki)*"
 
@@ -100,12 +100,30 @@ def handbook_sections(tree: DataFrame, wiki_pages: DataFrame) -> DataFrame:
     return rows.select("pre_no", F.concat(heading, content).alias("section"))
 
 
-def decision_text(decisions: DataFrame) -> DataFrame:
-    """(topic, text): the decisions of a topic by position, with limits and conditions as lists."""
+def handbook(tree: DataFrame, wiki_pages: DataFrame, date: str, appendix: DataFrame | None = None) -> DataFrame:
+    """(pre_no, section): a title block before the sections and the appendix(text) after them; joined by line ends in order, the handbook."""
+    n = preorder(tree).agg(F.count("*").alias("n"))
+    root = tree.where(F.col("parent_slug").isNull()).agg(F.min(X.non_empty(F.col("label"))).alias("label"))
+    title = root.crossJoin(n).select(F.lit(-1).alias("pre_no"), F.concat(F.lit("# "), F.coalesce("label", F.lit("知识手册")), F.lit(f"\n\n> 生成时间：{date}\n> 共 "), F.col("n").cast("string"), F.lit(" 个知识节点。\n\n---\n\n")).alias("section"))
+    rows = title.unionByName(handbook_sections(tree, wiki_pages))
+    if appendix is not None:
+        rows = rows.unionByName(appendix.crossJoin(n).select(F.col("n").cast("int").alias("pre_no"), F.concat(F.lit("## 附录：本卷如何被编译出来\n\n> 每个 stage 的工程取舍。\n\n"), "text").alias("section")))
+    return rows
+
+
+def decision_text(decisions: DataFrame, audit: DataFrame | None = None) -> DataFrame:
+    """(topic, text): the decisions of a topic by position, with limits and conditions as lists; then its audit(topic, key, value), by key."""
     listed = lambda title, c: F.when(F.size(c) > 0, F.concat(F.lit(f"**{title}**：\n"), F.array_join(F.transform(c, lambda x: F.concat(F.lit("- "), x)), "\n"), F.lit("\n\n"))).otherwise("")
     one = F.concat(F.lit("### ["), "stage", F.lit("] "), "name", F.lit("\n\n**选择**："), "chosen", F.lit("\n\n**理由**："), F.coalesce("rationale", F.lit("")), F.lit("\n\n"), listed("已知限制", F.col("known_limits")), listed("切换条件", F.col("switch_conditions")))
     rows = F.transform(F.sort_array(F.collect_list(F.struct("pos", one.alias("t")))), lambda x: x["t"])
-    return decisions.groupBy("topic").agg(F.array_join(rows, "\n").alias("text"))
+    out = decisions.groupBy("topic").agg(F.array_join(rows, "\n").alias("text"))
+    if audit is None:
+        return out
+    item = F.concat(F.lit("- "), "key", F.lit("："), F.col("value").cast("string"))
+    listed_audit = audit.groupBy(F.col("topic").alias("of")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("key", item.alias("t")))), lambda x: x["t"]), "\n").alias("items"))
+    both = out.join(listed_audit, out["topic"] == listed_audit["of"], "full_outer")
+    after = F.coalesce(F.concat(F.lit("### 编译审计\n\n"), "items", F.lit("\n\n")), F.lit(""))
+    return both.select(F.coalesce("topic", "of").alias("topic"), F.concat(F.coalesce("text", F.lit("")), after).alias("text"))
 
 
 def upsert_decisions(log: DataFrame, one_per_stage: tuple[str, ...] = ("stage2",)) -> DataFrame:
@@ -131,15 +149,17 @@ def diff_sources(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def headings(pages: DataFrame, levels: tuple[int, ...] = (2, 3), ids: str = "section") -> DataFrame:
-    """pages(page, html) → (page, pos, level, id, text): the table of contents; ids are section-n, or a slug of the text."""
+    """pages(page, html) → (page, pos, level, id, text): the table of contents; a heading keeps its id, others get the next
+    section-n that the page has not, or a slug of their text."""
     names = "".join(str(n) for n in levels)
-    pattern = rf"(?s)<h([{names}])[^>]*>(.*?)</h[{names}]>"
-    level, text = F.regexp_extract_all("html", F.lit(pattern), F.lit(1)), F.regexp_extract_all("html", F.lit(pattern), F.lit(2))
-    rows = pages.select("page", F.posexplode(F.arrays_zip(level.alias("level"), text.alias("text"))).alias("pos", "x"))
-    plain = F.trim(F.regexp_replace("x.text", "<[^>]*>", ""))
-    name = F.concat(F.lit("section-"), (F.col("pos") + 1).cast("string")) if ids == "section" else X.slugify(F.lit("h"), plain, F.col("pos"))
-    return rows.select("page", "pos", F.col("x.level").cast("int").alias("level"), name.alias("id"), plain.alias("text"))
-
+    pattern = rf"(?s)<h([{names}])([^>]*)>(.*?)</h[{names}]>"
+    level, inside, text = (F.regexp_extract_all("html", F.lit(pattern), F.lit(i)) for i in (1, 2, 3))
+    used = F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(r"(?i)\sid\s*=\s*[\"']?section-([0-9]{1,9})(?![0-9])"), F.lit(1)), lambda n: n.cast("int")))
+    rows = pages.select("page", F.array_sort(used).alias("used"), F.posexplode(F.arrays_zip(level.alias("level"), inside.alias("inside"), text.alias("text"))).alias("pos", "x"))
+    own = X.non_empty(F.trim(F.regexp_extract("x.inside", r"(?i)\sid\s*=\s*[\"']?([^\"'\s>]*)", 1)))
+    rows = rows.select("page", "used", "pos", "x", own.alias("own"), F.trim(F.regexp_replace("x.text", "<[^>]*>", "")).alias("plain"))
+    nth = F.sum(F.col("own").isNull().cast("int")).over(W.partitionBy("page").orderBy("pos")).cast("int")
+    free = F.aggregate("used", nth, lambda n, u: F.when(u <= n, n + 1).otherwise(n))  # the nth number that is not in use
+    name = F.concat(F.lit("section-"), free.cast("string")) if ids == "section" else X.slugify(F.lit("h"), F.col("plain"), F.col("pos"))
+    return rows.select("page", "pos", F.col("x.level").cast("int").alias("level"), F.coalesce("own", name).alias("id"), F.col("plain").alias("text"))
 
-def sidebar(tree: DataFrame) -> DataFrame:
-    return nav_outline(tree)

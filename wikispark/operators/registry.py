@@ -36,32 +36,37 @@ def search(queries: DataFrame, index: DataFrame) -> DataFrame:
     return found.unionByName(few)
 
 
-def related_pages(registry: DataFrame, limit: int = 5) -> DataFrame:
+def related_pages(registry: DataFrame, limit: int = 5, most_tags: int = 8) -> DataFrame:
     """registry(slug, type, tags, pos) → (slug, related_slug, score, rank): the pages that share most tags.
 
     score: how many of a page's tags are among the current page's; without any, an equal type scores 0.1; ties keep registry
-    order. Tags are few and popular, so pages are grouped by their set of tags: scores are worked out between the distinct
-    sets, each set offers its first limit + 1 pages, and the same holds for types.
+    order. A related page shares some set of tags with the current one; were it not among the first limit + 1 pages that
+    hold this set, limit others would score as much and come first. So each set of a page's tags offers its first pages, and
+    no tag, however popular, makes pairs of its pages. Pages with more than `most_tags` tags, or with one twice, meet others
+    by every tag. A page with fewer than `limit` results shares tags with fewer than that, so the first 2 * limit pages of
+    its type fill them up.
     """
-    best = limit + 1  # the page itself may be among them
-    own = registry.select("slug", "type", "pos", F.array_sort(F.coalesce("tags", F.array().cast("array<string>"))).alias("tags"))
-    firsts = own.withColumn("n", F.row_number().over(W.partitionBy("tags").orderBy("pos"))).where(F.col("n") <= best).groupBy("tags").agg(F.collect_list(F.struct("pos", "slug")).alias("pages"))
-    sets = own.select("tags").distinct()
-    mine = sets.select(F.col("tags").alias("t"), F.explode(F.array_distinct("tags")).alias("tag"))
-    theirs = sets.select(F.col("tags").alias("o"), F.explode("tags").alias("tag"))
-    scores = mine.join(theirs, "tag").groupBy("t", "o").agg(F.count("*").cast("double").alias("score"))
-    near = scores.join(firsts, scores["o"] == firsts["tags"]).select("t", "score", F.explode("pages").alias("p"))
-    near = near.withColumn("n", F.row_number().over(W.partitionBy("t").orderBy(F.col("score").desc(), "p.pos"))).where(F.col("n") <= best)
-    tagged = own.join(near, own["tags"] == near["t"]).select("slug", F.col("p.slug").alias("related_slug"), "score", F.col("p.pos").alias("at"))
-    # by type: the first pages of the type with each set, less those that share a tag with the page
-    kinds = own.withColumn("n", F.row_number().over(W.partitionBy("type", "tags").orderBy("pos"))).where(F.col("n") <= best).select("type", F.col("tags").alias("o"), F.col("slug").alias("related_slug"), F.col("pos").alias("at"))
-    cells = own.select("type", F.col("tags").alias("t")).distinct()
-    fill = cells.join(kinds, "type").join(scores.select("t", "o"), ["t", "o"], "left_anti")
-    fill = fill.withColumn("n", F.row_number().over(W.partitionBy("type", "t").orderBy("at"))).where(F.col("n") <= best)
-    typed = own.join(fill, (own["tags"] == fill["t"]) & (own["type"] == fill["type"])).select(own["slug"], "related_slug", F.lit(0.1).alias("score"), "at")
-    rows = tagged.unionByName(typed).where(F.col("slug") != F.col("related_slug"))
-    rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("slug").orderBy(F.col("score").desc(), "at")))
-    return rows.where(F.col("rank") <= limit).select("slug", "related_slug", "score", "rank")
+    own = registry.select("slug", "type", "pos", F.coalesce("tags", F.array().cast("array<string>")).alias("tags")).withColumn("set", F.array_sort(F.array_distinct("tags")))
+    plain = (F.size("tags") == F.size("set")) & (F.size("set") <= most_tags)
+    bits = F.sequence(F.lit(1), F.pow(F.lit(2), F.size("set")).cast("int") - 1)
+    subsets = F.when(F.size("set") == 0, F.array().cast("array<array<string>>")).otherwise(F.transform(bits, lambda b: F.filter("set", lambda x, i: F.pmod(F.floor(b / F.pow(F.lit(2), i)), F.lit(2)) == 1)))
+    keyed = own.where(plain).select("slug", "pos", F.explode(subsets).alias("key"))
+    first = keyed.withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("pos"))).where(F.col("n") <= limit + 1).groupBy("key").agg(F.collect_list("slug").alias("slugs"))
+    pairs = keyed.join(first, "key").select("slug", F.explode("slugs").alias("other"))
+    tag = own.select("slug", plain.alias("plain"), F.explode("set").alias("tag"))
+    odd = tag.where(~F.col("plain")).select(F.col("slug").alias("x"), "tag").join(tag.select(F.col("slug").alias("y"), "tag"), "tag")
+    pairs = pairs.unionByName(odd.select(F.col("x").alias("slug"), F.col("y").alias("other"))).unionByName(odd.select(F.col("y").alias("slug"), F.col("x").alias("other")))
+    pairs = pairs.where("slug <> other").distinct()
+    theirs = own.select(F.col("slug").alias("other"), F.col("tags").alias("their_tags"), F.col("pos").alias("at"))
+    scored = pairs.join(own.select("slug", "set"), "slug").join(theirs, "other").select("slug", "other", "at", F.size(F.filter("their_tags", lambda t: F.array_contains("set", t))).cast("double").alias("score"))
+    best = W.partitionBy("slug").orderBy(F.col("score").desc(), "at")
+    tagged = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    few = tagged.groupBy("slug").agg(F.count("*").alias("n"))
+    few = own.join(few, "slug", "left").where(F.coalesce("n", F.lit(0)) < limit).select("slug", "type")
+    kinds = own.withColumn("n", F.row_number().over(W.partitionBy("type").orderBy("pos"))).where(F.col("n") <= 2 * limit).select("type", F.col("slug").alias("other"), F.col("pos").alias("at"))
+    typed = few.join(kinds, "type").where("slug <> other").join(tagged.select("slug", "other"), ["slug", "other"], "left_anti").select("slug", "other", "at", F.lit(0.1).alias("score"))
+    rows = tagged.drop("rank").unionByName(typed).withColumn("rank", F.row_number().over(best))
+    return rows.where(F.col("rank") <= limit).select("slug", F.col("other").alias("related_slug"), "score", "rank")
 
 
 def prev_next(sequences: DataFrame) -> DataFrame:
@@ -117,7 +122,11 @@ def domains(registry: DataFrame) -> DataFrame:
 def activity(registry: DataFrame, samples: int = 3) -> DataFrame:
     """(updated, cnt, types, titles): dated pages by day, with their types and a few titles in order."""
     dated = registry.where(F.col("updated").isNotNull())
-    return dated.groupBy("updated").agg(F.count("*").alias("cnt"), F.array_sort(F.collect_set("type")).alias("types"), F.slice(F.array_sort(F.collect_set("title")), 1, samples).alias("titles"))
+    named = dated.where(F.col("title").isNotNull()).groupBy("updated", "title").agg(F.lit(1).alias("one"))
+    named = named.withColumn("n", F.row_number().over(W.partitionBy("updated").orderBy("title"))).where(F.col("n") <= samples)
+    titles = named.groupBy(F.col("updated").alias("day")).agg(F.array_sort(F.collect_list("title")).alias("titles"))
+    days = dated.groupBy("updated").agg(F.count("*").alias("cnt"), F.array_sort(F.collect_set("type")).alias("types"))
+    return days.join(titles, days["updated"] == titles["day"], "left").select("updated", "cnt", "types", F.coalesce("titles", F.array().cast("array<string>")).alias("titles"))
 
 
 def link_graph(links: DataFrame, registry: DataFrame, left_out: tuple[str, ...] = ("source", "overview")) -> tuple[DataFrame, DataFrame]:

@@ -80,9 +80,14 @@ def nav_outline(tree: DataFrame) -> DataFrame:
     return preorder(tree).join(tree.select("slug", "label"), "slug").select("pre_no", "slug", "label", "depth")
 
 
-def tree_to_json(tree: DataFrame) -> DataFrame:
-    """(slug, json): the nested tree of every root, built from the deepest level up."""
-    rows = settle(levels(tree).join(tree.select("slug", "parent_slug", "kind", "label", "ordinal"), "slug"))
+def tree_to_json(tree: DataFrame, page_atoms: DataFrame | None = None) -> DataFrame:
+    """(slug, json): the nested tree of every root with the atoms of page_atoms(slug, pos, atom_id), built from the deepest level up."""
+    if page_atoms is not None:
+        held = page_atoms.groupBy(F.col("slug").alias("h")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "atom_id"))), lambda x: x["atom_id"]).alias("atoms"))
+        tree = tree.join(held, tree["slug"] == held["h"], "left").drop("h")
+    else:
+        tree = tree.withColumn("atoms", F.lit(None).cast("array<string>"))
+    rows = settle(levels(tree).join(tree.select("slug", "parent_slug", "kind", "label", "ordinal", "atoms"), "slug"))
     deepest = rows.agg(F.max("depth")).first()[0]
     field = lambda name, c: F.concat(F.lit(f'"{name}":'), F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2))
     below = None
@@ -93,19 +98,30 @@ def tree_to_json(tree: DataFrame) -> DataFrame:
         else:
             inside = below.groupBy(F.col("parent_slug").alias("p")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "json"))), lambda x: x["json"]), ",").alias("inside"))
             level = level.join(inside, level["slug"] == inside["p"], "left").withColumn("inside", F.coalesce("inside", F.lit("")))
-        text = F.concat(F.lit("{"), field("page_slug", F.col("slug")), F.lit(","), field("kind", F.col("kind")), F.lit(","), field("label", F.col("label")), F.lit(',"children":['), F.col("inside"), F.lit("]}"))
+        text = F.concat(F.lit("{"), field("page_slug", F.col("slug")), F.lit(","), field("kind", F.col("kind")), F.lit(","), field("label", F.col("label")), F.lit(',"atoms":'), F.to_json(F.coalesce("atoms", F.array().cast("array<string>"))), F.lit(',"children":['), F.col("inside"), F.lit("]}"))
         below = settle(level.select("slug", "parent_slug", "ordinal", text.alias("json")))
     return below.select("slug", "json")
 
 
-def unique_slugs(df: DataFrame, base: str = "base", order: str = "alloc_no") -> DataFrame:
-    """+ slug: the first use of a base keeps it, later ones get -2, -3 …; what then still collides is numbered again."""
-    out = df.withColumn("slug", F.col(base))
+def unique_slugs(df: DataFrame, base: str = "base", order: str = "alloc_no", taken: DataFrame | None = None) -> DataFrame:
+    """+ slug, as if rows took slugs one by one in order: their base, or else the first of base-2, base-3 … that nobody holds.
+
+    All rows ask at once; of those that ask for one slug the first in order holds it, the others go on to their base's next
+    number, until each holds its own. taken(slug) are held from the start.
+    """
+    own = W.partitionBy(base).orderBy(order)
+    out = df.withColumn("_k", F.row_number().over(own)).withColumn("_n", F.col("_k"))  # the k-th row of a base gets the number k at least
     while True:
-        n = F.row_number().over(W.partitionBy("slug").orderBy(order))
-        out = settle(out.withColumn("slug", F.when(n > 1, F.concat("slug", F.lit("-"), n.cast("string"))).otherwise(F.col("slug"))))
-        if not out.groupBy("slug").count().where("count > 1").limit(1).count():
-            return out
+        out = out.withColumn("slug", F.when(F.col("_n") > 1, F.concat(base, F.lit("-"), F.col("_n").cast("string"))).otherwise(F.col(base)))
+        if taken is not None:
+            held = taken.select(F.col("slug").alias("_held")).distinct()
+            out = out.join(held, out["slug"] == held["_held"], "left")
+        lost = F.row_number().over(W.partitionBy("slug").orderBy(order)) > 1
+        out = settle(out.withColumn("_lost", (lost | F.col("_held").isNotNull()) if taken is not None else lost).drop("_held"))
+        if not out.where("_lost").limit(1).count():
+            return out.drop("_k", "_n", "_lost")
+        out = out.withColumn("_n", F.col("_n") + F.col("_lost").cast("int"))
+        out = out.withColumn("_n", F.max(F.col("_n") - F.col("_k")).over(own) + F.col("_k"))  # numbers of a base keep rising
 
 
 def leaf_nodes(members: DataFrame, atoms: DataFrame) -> DataFrame:
@@ -175,26 +191,27 @@ def group_once(nodes: DataFrame, target: int = 4, max_size: int = 5) -> DataFram
     return state.join(numbers, "g").select("id", "group_no")
 
 
-def build_tree(leaves: DataFrame, topic: str = "", max_size: int = 5) -> DataFrame:
+def build_tree(leaves: DataFrame, topic: str = "", max_size: int = 5, model: Callable | None = None) -> DataFrame:
     """leaves(slug, label, embedding) → TREE: sections over sections until at most max_size nodes hang on the root.
 
-    Single nodes pass up; a section's vector is the mean of its children's. No leaves: the root alone.
+    Single nodes pass up; a section's vector is the mean of its children's, its label the model's or that of `group_label`,
+    its slug one that no leaf or earlier section has. No leaves: the root alone.
     """
     spark = leaves.sparkSession
     nodes = settle(leaves.select("slug", "label", "embedding", F.lit("leaf-cluster").alias("kind")))
     nodes = numbered(nodes, ["slug"])
     done = spark.createDataFrame([], TREE)
-    level = 0
     while nodes.count() > max_size:
-        level += 1
         grouped = group_once(nodes.select(F.col("no").alias("id"), "embedding"), max_size=max_size)
         rows = settle(nodes.join(grouped, nodes["no"] == grouped["id"]).select("slug", "label", "embedding", "kind", "no", "group_no", F.count("*").over(W.partitionBy("group_no")).alias("size")))
         if not rows.where("size > 1").limit(1).count():
             break
         joined = rows.where("size > 1")
         labels = F.transform(F.sort_array(F.collect_list(F.struct("no", "label"))), lambda x: x["label"])
-        up = joined.groupBy("group_no").agg(group_label(labels).alias("label")).join(centroids(joined, "group_no"), "group_no")
-        up = up.withColumn("slug", F.concat(X.slugify(F.lit("section"), F.col("label"), F.col("group_no")), F.lit(f"-{level}-"), F.col("group_no").cast("string")))
+        named = summarise(joined.groupBy("group_no").agg(labels.alias("labels")), model)
+        named = named.withColumn("base", X.slugify(F.lit("section"), F.col("label"), F.col("group_no")))
+        named = unique_slugs(named, "base", "group_no", done.select("slug").unionByName(nodes.select("slug"))).drop("base")
+        up = named.join(centroids(joined, "group_no"), "group_no")
         ordinal = F.row_number().over(W.partitionBy("group_no").orderBy("no")) - 1
         placed = joined.join(up.select("group_no", F.col("slug").alias("parent_slug")), "group_no").select("slug", "parent_slug", "kind", "label", ordinal.alias("ordinal"))
         done = settle(done.unionByName(placed))
@@ -206,6 +223,13 @@ def build_tree(leaves: DataFrame, topic: str = "", max_size: int = 5) -> DataFra
     return root.unionByName(top).unionByName(done)
 
 
-def summarise(leaves: DataFrame, model: Callable | None = None) -> DataFrame:
-    """Group labels by a model function over pandas frames (slug, labels) → (slug, label); without one by group_label."""
-    return leaves.mapInPandas(model, "slug string, label string") if model else leaves.select("slug", group_label(F.col("labels")).alias("label"))
+def summarise(groups: DataFrame, model: Callable | None = None, longest: int = 20) -> DataFrame:
+    """groups(group_no, labels) → (group_no, label) by group_label, or by a model over batches of pandas frames that returns these
+    columns; of its labels those count that are not empty and have at most `longest` characters."""
+    own = groups.select("group_no", group_label(F.col("labels")).alias("label"))
+    if model is None:
+        return own
+    kind = groups.schema["group_no"].dataType.simpleString()
+    found = groups.mapInPandas(model, f"group_no {kind}, label string").select(F.col("group_no").alias("g"), F.trim("label").alias("l"))
+    found = found.where(F.length("l").between(1, longest))
+    return own.join(found, own["group_no"] == found["g"], "left").select("group_no", F.coalesce("l", "label").alias("label"))

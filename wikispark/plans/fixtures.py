@@ -41,7 +41,7 @@ def wiki_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = s.agg(F.count("*").alias("n"))
     key = F.col("s_suppkey")
     text = lambda c: c.cast("string")
-    body = F.concat(F.lit("# "), F.col("s_name"), F.lit("\n\nSee [[concept-n"), text(F.col("s_nationkey")), F.lit("]] and [[concept-s"), text((key * 7) % F.floor(6 * F.col("n") / 5)), F.lit("]].\n\n- up [[root-geo]]\n- **bold** and *soft*\n\nclick A \"concept-s"), text((key + 1) % F.col("n")), F.lit(".html\"\n"))
+    body = F.concat(F.lit("# "), F.col("s_name"), F.lit("\n\nSee [[concept-n"), text(F.col("s_nationkey")), F.lit("]] and [[concept-s"), text((key * 7) % F.floor(6 * F.col("n") / 5)), F.lit("]].\n\n- up [[root-geo]]\n- **bold** and *soft*\n\nclick node-A \"concept-s"), text((key + 1) % F.col("n")), F.lit(".html\"\nclick B \"callback\"\n"))
     suppliers = s.join(F.broadcast(count)).select(F.concat(F.lit("concept-s"), text(key)).alias("slug"), F.col("s_name").alias("title"), body.alias("body"))
     own = s.where(key % 2 == 0).groupBy(F.col("s_nationkey").alias("k")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("s_suppkey")), lambda x: F.concat(F.lit("- [[concept-s"), x.cast("string"), F.lit("]]"))), "\n").alias("items"))
     nations = n.join(own, F.col("n_nationkey") == F.col("k"), "left").select(F.concat(F.lit("concept-n"), text(F.col("n_nationkey"))).alias("slug"), F.col("n_name").alias("title"), F.concat(F.lit("## "), F.col("n_name"), F.lit("\n\n"), F.coalesce("items", F.lit("")), F.lit("\n\nUp: [[root-geo]]\n")).alias("body"))
@@ -100,8 +100,8 @@ SQL = {
     "tree": "SELECT 'root-geo' AS slug, CAST(NULL AS VARCHAR) AS parent_slug, 'root' AS kind, 'Geo' AS label, 0 AS ordinal UNION ALL SELECT 'section-' || replace(lower(r_name), ' ', '-'), 'root-geo', 'intermediate', r_name, CAST(r_regionkey AS INTEGER) FROM region UNION ALL SELECT 'concept-n' || n_nationkey, 'section-' || replace(lower(r_name), ' ', '-'), 'intermediate', n_name, CAST(n_nationkey AS INTEGER) FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'concept-s' || s_suppkey, 'concept-n' || s_nationkey, 'leaf-cluster', s_name, CAST(s_suppkey AS INTEGER) FROM supplier",
     "walk": "SELECT slug, parent_slug, [ordinal] AS path, 0 AS depth, CAST([] AS VARCHAR[]) AS ancestors FROM tree WHERE parent_slug IS NULL UNION ALL SELECT t.slug, t.parent_slug, list_append(w.path, t.ordinal), w.depth + 1, list_append(w.ancestors, w.slug) FROM tree t JOIN walk w ON t.parent_slug = w.slug",
     "pre": "SELECT *, row_number() OVER (ORDER BY path) - 1 AS pre_no FROM walk",
-    "wiki_pages": "SELECT 'concept-s' || s_suppkey AS slug, s_name AS title, '# ' || s_name || chr(10) || chr(10) || 'See [[concept-n' || s_nationkey || ']] and [[concept-s' || ((s_suppkey * 7) % (6 * (SELECT count(*) FROM supplier) // 5)) || ']].' || chr(10) || chr(10) || '- up [[root-geo]]' || chr(10) || '- **bold** and *soft*' || chr(10) || chr(10) || 'click A \"concept-s' || ((s_suppkey + 1) % (SELECT count(*) FROM supplier)) || '.html\"' || chr(10) AS body FROM supplier UNION ALL SELECT 'concept-n' || n_nationkey, n_name, '## ' || n_name || chr(10) || chr(10) || coalesce((SELECT string_agg('- [[concept-s' || s_suppkey || ']]', chr(10) ORDER BY s_suppkey) FROM supplier WHERE s_nationkey = n_nationkey AND s_suppkey % 2 = 0), '') || chr(10) || chr(10) || 'Up: [[root-geo]]' || chr(10) FROM nation",
-    "links": "SELECT slug AS source, 'wiki' AS type, unnest(regexp_extract_all(body, '\\[\\[([^\\]]+)\\]\\]', 1)) AS target FROM wiki_pages UNION ALL SELECT slug, 'mermaid-click', regexp_replace(unnest(regexp_extract_all(body, 'click\\s+[A-Za-z0-9_]+\\s+\"([^\"]+)\"', 1)), '\\.html$', '') FROM wiki_pages",
+    "wiki_pages": "SELECT 'concept-s' || s_suppkey AS slug, s_name AS title, '# ' || s_name || chr(10) || chr(10) || 'See [[concept-n' || s_nationkey || ']] and [[concept-s' || ((s_suppkey * 7) % (6 * (SELECT count(*) FROM supplier) // 5)) || ']].' || chr(10) || chr(10) || '- up [[root-geo]]' || chr(10) || '- **bold** and *soft*' || chr(10) || chr(10) || 'click node-A \"concept-s' || ((s_suppkey + 1) % (SELECT count(*) FROM supplier)) || '.html\"' || chr(10) || 'click B \"callback\"' || chr(10) AS body FROM supplier UNION ALL SELECT 'concept-n' || n_nationkey, n_name, '## ' || n_name || chr(10) || chr(10) || coalesce((SELECT string_agg('- [[concept-s' || s_suppkey || ']]', chr(10) ORDER BY s_suppkey) FROM supplier WHERE s_nationkey = n_nationkey AND s_suppkey % 2 = 0), '') || chr(10) || chr(10) || 'Up: [[root-geo]]' || chr(10) FROM nation",
+    "links": "SELECT slug AS source, 'wiki' AS type, unnest(regexp_extract_all(body, '\\[\\[([^\\]]+)\\]\\]', 1)) AS target FROM wiki_pages UNION ALL SELECT slug, 'mermaid-click', regexp_replace(unnest(regexp_extract_all(body, 'click\\s+\\S+\\s+\"([^\"]+\\.html)\"', 1)), '\\.html$', '') FROM wiki_pages",
     "classified": "SELECT l.*, CASE WHEN l.source = l.target THEN 'E4' WHEN t.slug IS NULL THEN 'E1' END AS code FROM links l LEFT JOIN tree t ON l.target = t.slug",
     "registry": "SELECT 'part-' || p_partkey AS slug, p_partkey AS pos, p_name AS title, p_brand AS type, p_type AS summary, p_brand AS keywords, string_split(p_name, ' ') AS tags, CAST(date '2024-01-01' + CAST(p_size AS INTEGER) AS DATE) AS updated, CASE WHEN p_partkey // 10 > 0 THEN ['part-' || (p_partkey // 10)] ELSE [] END AS parent_ids, p_size / 50.0 AS confidence FROM part",
 }

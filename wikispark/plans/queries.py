@@ -278,7 +278,7 @@ def clu2_reduced(spark, d):
 
 @query()
 def clu3_kmeans(spark, d):
-    return C.kmeans_labels(fx.vecs(spark, d).select("id", "embedding"), k=10, n_init=2)
+    return C.kmeans_labels(fx.vecs(spark, d).select("id", "embedding"))
 
 
 @query()
@@ -345,6 +345,13 @@ def snk4_tree_json(spark, d):
     return T.tree_to_json(fx.tree(spark, d))
 
 
+@query("""SELECT pos, CASE WHEN n = 1 THEN type || '-2' WHEN n = 2 THEN type ELSE type || '-' || n END AS slug FROM (SELECT pos, type, row_number() OVER (PARTITION BY type ORDER BY pos) AS n FROM registry)""", ("registry",))
+def win5_taken_numbers(spark, d):
+    rows = fx.registry(spark, d).select("pos", "type", F.row_number().over(W.partitionBy("type").orderBy("pos")).alias("n"))
+    rows = rows.select("pos", F.when(F.col("n") == 1, F.concat("type", F.lit("-2"))).otherwise(F.col("type")).alias("base"), F.col("pos").alias("alloc_no"))
+    return T.unique_slugs(rows).select("pos", "slug")
+
+
 @query("""SELECT pos, CASE WHEN n = 1 THEN title ELSE title || '-' || n END AS slug FROM (SELECT pos, title, row_number() OVER (PARTITION BY title ORDER BY pos) AS n FROM registry)""", ("registry",))
 def win5_unique_slugs(spark, d):
     rows = fx.registry(spark, d).select("pos", F.col("title").alias("base"), F.col("pos").alias("alloc_no"))
@@ -382,6 +389,11 @@ def fn8_link_offsets(spark, d):
     return rows.groupBy("source").agg(F.min_by("target", "offset").alias("target"), F.min("offset").cast("long").alias("offset"))
 
 
+@query("SELECT slug AS source, regexp_extract(body, 'click node-A \"([^\"]+)\\.html', 1) AS target, CAST(instr(body, 'click node-A') - 1 AS INTEGER) AS \"offset\" FROM wiki_pages WHERE body LIKE '%click node-A%'", ("wiki_pages",))
+def fn9_click_links(spark, d):
+    return L.all_links(fx.wiki_pages(spark, d)).where("type = 'mermaid-click'").select("source", "target", "offset")
+
+
 @query("SELECT t.slug, count(c.target) AS cnt FROM tree t LEFT JOIN (SELECT * FROM classified WHERE code IS NULL) c ON t.slug = c.target GROUP BY 1", ("tree", "classified"))
 def joi4_incoming(spark, d):
     slugs = fx.tree(spark, d).select("slug")
@@ -407,7 +419,11 @@ def gra4_cycle_links(spark, d):
     return L.cycle_links(L.classify_links(L.all_links(fx.wiki_pages(spark, d)), t.select("slug")), t)
 
 
-@query()
+@query(""", edge AS (SELECT DISTINCT source AS a, target AS b FROM classified WHERE code IS NULL), reach AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a),
+cnt AS (SELECT t.slug, t.parent_slug, count(c.target) AS n FROM tree t LEFT JOIN (SELECT * FROM classified WHERE code IS NULL) c ON t.slug = c.target GROUP BY 1, 2)
+SELECT (SELECT count(*) FROM wiki_pages) AS total_pages, (SELECT count(*) FROM links) AS total_links,
+(SELECT count(*) FROM classified WHERE code IS NOT NULL) + (SELECT count(*) FROM edge e WHERE EXISTS (SELECT 1 FROM reach r WHERE r.a = e.b AND r.b = e.a)) AS p0,
+(SELECT count(*) FROM cnt WHERE (n = 0 AND parent_slug IS NOT NULL) OR n > 30) AS p1""", ("classified", "tree"))
 def gra5_link_audit(spark, d):
     out = L.link_audit(fx.wiki_pages(spark, d), fx.tree(spark, d))
     return out["totals"].crossJoin(out["audit"])
@@ -648,6 +664,15 @@ def page7_handbook(spark, d):
     return P.handbook_sections(fx.tree(spark, d), fx.wiki_pages(spark, d))
 
 
+@query("SELECT -1 AS pre_no, '# Geo' || chr(10) || chr(10) || '> 生成时间：2026-01-01' || chr(10) || '> 共 ' || (SELECT count(*) FROM pre) || ' 个知识节点。' || chr(10) || chr(10) || '---' || chr(10) || chr(10) AS section UNION ALL SELECT CAST((SELECT count(*) FROM pre) AS INTEGER), '## 附录：本卷如何被编译出来' || chr(10) || chr(10) || '> 每个 stage 的工程取舍。' || chr(10) || chr(10) || '### 编译审计' || chr(10) || chr(10) || (SELECT string_agg('- ' || event_type || '：' || n, chr(10) ORDER BY event_type) FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)) || chr(10) || chr(10)", ("pre",))
+def page7_title_and_appendix(spark, d):
+    audit = table(spark, d, "events").groupBy(F.lit("t").alias("topic"), F.col("event_type").alias("key")).agg(F.count("*").alias("value"))
+    none = P.upsert_decisions(fx.decisions(spark, d)).where("topic = 't'")
+    book = P.handbook(fx.tree(spark, d), fx.wiki_pages(spark, d), "2026-01-01", P.decision_text(none, audit).select("text"))
+    last = book.agg(F.max("pre_no").alias("last"))
+    return book.crossJoin(last).where("pre_no = -1 or pre_no = last").select("pre_no", "section")
+
+
 _UPSERT = """WITH log AS (SELECT 'topic' || (user_id % 5) AS topic, 'stage' || (user_id % 7 + 1) AS stage, event_type AS name, CAST(event_id AS VARCHAR) AS chosen, event_id AS ts FROM events),
 last AS (SELECT topic, stage, name, chosen, min(ts) OVER w AS pos FROM log WINDOW w AS (PARTITION BY topic, stage, CASE WHEN stage = 'stage2' THEN '' ELSE name END) QUALIFY row_number() OVER (PARTITION BY topic, stage, CASE WHEN stage = 'stage2' THEN '' ELSE name END ORDER BY ts DESC) = 1)"""
 

@@ -12,7 +12,7 @@ from wikispark.sources.readers import source_name
 
 def stream_sources(spark: SparkSession, folder: str) -> DataFrame:
     """(source_id, content) of note files as they arrive."""
-    rows = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.md").load(folder)
+    rows = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.{md,txt}").load(folder)
     return rows.select(source_name(F.element_at(F.split(F.input_file_name(), "/"), -1)).alias("source_id"), F.col("value").alias("content"))
 
 
