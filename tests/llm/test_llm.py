@@ -306,6 +306,51 @@ def test_near_copies_of_several_words(spark):
     assert neardup.groups(df.limit(0)).count() == 0
 
 
+def test_tiles_of_texts_that_pivots_leave_apart(spark, monkeypatch):
+    """With tiles far smaller than a bucket, rows that repeat an id and rows without one: the same components as by all pairs."""
+    rng = random.Random(5)
+    base = [f"{rng.randrange(10**6):x}" for _ in range(120)]
+    texts = []
+    for i in range(60):  # a chain: each differs from the one before in two words, the far ones share little
+        base[rng.randrange(120)], base[rng.randrange(120)] = f"x{i}", f"y{i}"
+        texts.append(" ".join(base))
+    texts += [" ".join(w if rng.random() > 0.04 else f"z{rng.randrange(10**6)}" for w in base) for _ in range(60)]
+    texts += texts[:20] * 3
+    sets = [neardup.shingles(t) for t in texts]
+    least = list(range(len(texts)))
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if neardup.similarity(sets[i], sets[j]) >= 0.8]
+    for _ in texts:
+        for i, j in near:
+            least[i] = least[j] = min(least[i], least[j])
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    monkeypatch.setattr(neardup, "TILE", 1500)
+    got = neardup.groups(documents(spark, [*rows, rows[7], rows[7], (None, texts[7], "en", "s"), (None, "alone", "en", "s")])).collect()
+    of = {r.doc_id: r.component_id for r in got if r.doc_id is not None}
+    assert of == dict(enumerate(least)) and len(got) == len(rows) + 4
+    assert sorted((r.component_id is None) for r in got if r.doc_id is None) == [False, True]
+
+
+def test_links_of_a_tile():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    sets = [np.array(sorted(rng.sample(range(30), rng.randrange(20, 30))), np.uint64) for _ in range(40)] + [np.zeros(0, np.uint64)] * 2
+    left = [i % 3 == 0 for i in range(42)]
+    tile = pa.table({"left": left, "root": list(range(100, 142)), "found": [x.tobytes() for x in sets]})
+    near = {(i, j) for i in range(42) for j in range(42) if left[i] and not left[j] and neardup.similarity(sets[i], sets[j]) >= 0.8}
+
+    def classes(links):
+        of = list(range(42))
+        for _ in of:
+            for i, j in links:
+                of[i] = of[j] = min(of[i], of[j])
+        return of
+
+    links = {(x - 100, y - 100) for x, y in zip(*neardup.tile_links(tile, 0.8).to_pydict().values(), strict=True)}
+    assert links <= near and len(links) < len(near) and classes(links) == classes(near)
+
+
 # 6
 
 
