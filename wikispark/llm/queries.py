@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wikispark.llm import bpe, extract, langid, lm, mixing, nearest, quality, simhash, topk, warc
+from wikispark.llm import bpe, extract, langid, lm, merkle, mixing, nearest, quality, simhash, topk, warc
 from wikispark.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(table(spark, sf_dir, "embeddings"), every=100, k=10)
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -69,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_kneser_ney": op9_kneser_ney,
         "op10_nearest": op10_nearest,
+        "op12_merkle": op12_merkle,
     }
 
 
@@ -77,5 +82,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_warc": warc.WARC_SQL,
         "op3_topk": topk.TOPK_SQL,
         "op10_nearest": nearest.NEAREST_SQL,
+        "op12_merkle": merkle.MERKLE_SQL,
         "op4_mix_sources": mixing.MIX_SQL.format(documents="documents"),
     }
