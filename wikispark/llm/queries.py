@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wikispark.llm import bpe, extract, langid, lm, merkle, mixing, nearest, quality, simhash, topk, warc
+from wikispark.llm import bpe, extract, langid, lm, merkle, mixing, nearest, phrases, quality, simhash, spelling, topk, warc
 from wikispark.llm.common import table
 
 
@@ -57,10 +57,18 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(table(spark, sf_dir, "embeddings"), every=100, k=10)
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.digest(phrases.cut(table(spark, sf_dir, "documents")))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -73,7 +81,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_kneser_ney": op9_kneser_ney,
         "op10_nearest": op10_nearest,
+        "op11_phrases": op11_phrases,
         "op12_merkle": op12_merkle,
+        "op13_spelling": op13_spelling,
     }
 
 
@@ -82,6 +92,8 @@ def oracle_sql() -> dict[str, str]:
         "op1_warc": warc.WARC_SQL,
         "op3_topk": topk.TOPK_SQL,
         "op10_nearest": nearest.NEAREST_SQL,
+        "op11_phrases": phrases.PHRASES_SQL,
+        "op13_spelling": spelling.VARIANTS_SQL,
         "op12_merkle": merkle.MERKLE_SQL,
         "op4_mix_sources": mixing.MIX_SQL.format(documents="documents"),
     }
