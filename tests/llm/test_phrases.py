@@ -68,6 +68,14 @@ def test_hashes_of_runs():
     assert len(phrases.grams(words[:5], 8)) == 0
 
 
+def test_word_hashes():
+    words = ["a", "b", "aa", "é", "x" * 63, "x" * 64, "x" * 65, "x" * 300, "y" + "x" * 299, "0", "a"]
+    hashes, starts, ends = phrases.word_hashes("  ".join(words).encode() + b"\x0b")
+    assert len(hashes) == len(words) and hashes[0] == hashes[-1] and len(set(hashes.tolist())) == len(words) - 1
+    assert ("  ".join(words).encode()[starts[3] : ends[3]]).decode() == "é"
+    assert [len(x) for x in phrases.word_hashes(b"")] == [len(x) for x in phrases.word_hashes(b" \n")] == [0, 0, 0]
+
+
 def test_pairs_with_equal_first():
     h, m = np.array([1, 2, 2, 2, 5], np.uint64), np.array([9, 3, 4, 7, 1], np.uint64)
     assert phrases.both_held(np.array([2, 2, 5, 6, 1], np.uint64), np.array([7, 5, 1, 1, 9], np.uint64), h, m).tolist() == [True, False, True, False, True]

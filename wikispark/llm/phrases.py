@@ -35,20 +35,35 @@ from pyspark.sql import types as T
 from wikispark.llm.common import file_system, materialise, parts, remove, shared_dir, write_file
 
 WINDOW, ANCHOR = 35, 8
-CHUNK = 1 << 24  # bytes of text held at a time
+CHUNK = 1 << 23  # bytes of text held at a time
+LONG = 64  # bytes of a word that are hashed along with all other words'
 PART = 13  # bits of a row's number within a part
 HOT, SALTS = 1000, 64  # windows of anchors met so often are dealt singly, by their own hash
 SHARD = 1_500_000  # windows of an automaton's shard
 
 
-class Hashes(dict):
-    """Hashes of words, each taken once."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
+def word_hashes(data: bytes):
+    """(hashes, starts, ends) of the words of a text in bytes: byte by byte for all words at once, long words one by one."""
+    import numpy as np
+    import xxhash
+
+    of = np.frombuffer(data, np.uint8)
+    white = (of == 32) | ((of >= 9) & (of <= 13))
+    edges = np.flatnonzero(np.diff(np.r_[np.True_, white, np.True_]))
+    starts, ends = edges[::2], edges[1::2]
+    sizes = ends - starts
+    order = np.argsort(-np.minimum(sizes, LONG + 1).astype(np.int16), kind="stable")
+    at, hashes = starts[order], sizes[order].astype(np.uint64)
+    lengths = sizes[order]
+    for k in range(min(int(lengths[0]) if len(lengths) else 0, LONG)):
+        n = int(np.searchsorted(-lengths, -k, "left"))  # words with more than k bytes come first
+        step = (hashes[:n] ^ of[at[:n] + k]) * np.uint64(0x9E3779B97F4A7C15)
+        hashes[:n] = step ^ (step >> np.uint64(32))
+    for i in range(int(np.searchsorted(-lengths, -LONG, "left"))):
+        hashes[i] = xxhash.xxh3_64_intdigest(data[at[i] : at[i] + lengths[i]])
+    found = np.empty_like(hashes)
+    found[order] = hashes * np.uint64(0xBF58476D1CE4E5B9)
+    return found ^ (found >> np.uint64(29)), starts, ends
 
 
 def mix(x, y):
@@ -88,17 +103,17 @@ def sliding(values, size: int, take):
 class Chunk:
     """Some texts as one sequence of word hashes: its windows, their anchors and which windows lie within one text."""
 
-    def __init__(self, texts: list, window: int, cache: Hashes) -> None:
+    def __init__(self, texts: list, window: int) -> None:
         import numpy as np
 
-        if len(cache) > 1 << 20:
-            cache.clear()
         self.window, self.reach = window, window - ANCHOR + 1
-        pieces = [np.fromiter(map(cache.__getitem__, ws), np.uint64, len(ws)) for ws in ((t or "").encode("utf-8", "surrogatepass").split() for t in texts)]
-        self.sizes = np.array([len(p) for p in pieces], np.int64)
-        self.words = np.concatenate([*pieces, np.zeros(0, np.uint64)])
+        pieces = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        self.data = b"\n".join(pieces)
+        self.words, self.starts, self.stops = word_hashes(self.data)
+        borders = np.cumsum([len(p) + 1 for p in pieces])
+        self.doc = np.searchsorted(borders, self.starts, "right")
+        self.sizes = np.bincount(self.doc, minlength=len(texts)).astype(np.int64)
         self.ends = np.cumsum(self.sizes)
-        self.doc = np.repeat(np.arange(len(texts)), self.sizes)
         self.hashes = grams(self.words, window)
         n = len(self.hashes)
         self.grams = grams(self.words, ANCHOR)
@@ -120,13 +135,12 @@ def chunks(batches, window: int):
     """(part, Chunk) of batches (text, part)."""
     import numpy as np
 
-    cache = Hashes()
     for b in parts(batches, 0, CHUNK):
         part = b.column(1).to_numpy()
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
         for start, end in zip(cuts[:-1], cuts[1:], strict=True):
             if start < end:
-                yield int(part[start]), Chunk(b.column(0).slice(start, end - start).to_pylist(), window, cache)
+                yield int(part[start]), Chunk(b.column(0).slice(start, end - start).to_pylist(), window)
 
 
 def stored(folder: str, part: int, columns: list[str]):
@@ -331,21 +345,19 @@ def cut(docs: DataFrame, window: int = WINDOW, shard: int = SHARD, hot: int = HO
         import numpy as np
         import pyarrow as pa
 
-        cache = Hashes()
         spans_type = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
         for b in parts(batches, 1, CHUNK):
             texts = b.column(1).to_pylist()
-            c = Chunk(texts, window, cache)
+            c = Chunk(texts, window)
             gone = locate(c, folder, shards)
             removed, spans, kept = [], [], []
-            for text, end, size in zip(texts, c.ends.tolist(), c.sizes.tolist(), strict=True):
+            for end, size in zip(c.ends.tolist(), c.sizes.tolist(), strict=True):
                 mask = gone[end - size : end]
                 turns = np.flatnonzero(np.diff(np.r_[False, mask, False])).reshape(-1, 2)
-                words = (text or "").encode("utf-8", "surrogatepass").split()
                 removed.append(int(mask.sum()))
                 spans.append([{"first": int(x), "last": int(y) - 1} for x, y in turns])
-                left = np.flatnonzero(~mask).tolist() if len(turns) else None
-                kept.append(b" ".join(words if left is None else [words[i] for i in left]).decode("utf-8", "surrogatepass"))
+                stays = np.flatnonzero(np.diff(np.r_[False, ~mask, False])).reshape(-1, 2) + (end - size)
+                kept.append(b" ".join(w for x, y in stays for w in c.data[c.starts[x] : c.stops[y - 1]].split()).decode("utf-8", "surrogatepass"))
             cells = [b.column(0), pa.array(c.sizes), pa.array(removed, pa.int64()), pa.array(spans, spans_type), pa.array(kept, pa.string())]
             yield pa.RecordBatch.from_arrays(cells, names=["doc_id", "n_words", "n_removed", "spans", "kept"])
 
