@@ -182,19 +182,28 @@ def test_similar_vectors(spark):
     want = {(i, j) for i, a in rows for j, b in rows if i < j and cos(a, b) >= 0.6}
     got = {(r.atom_a, r.atom_b) for r in C.near_duplicates(df, 0.6, block=16).collect()}
     assert got == want and (61, 62) in got
-    assert {(r.atom_a, r.atom_b) for r in C.near_duplicates(df, 0.6, mode="lsh").collect()} <= want
-    assert C.near_duplicates(df.limit(0), 0.6).count() == 0
-
-
-def test_lsh_finds_planted_pairs(spark):
-    rng = random.Random(21)
-    base = [[rng.gauss(0, 1) for _ in range(64)] for _ in range(150)]
-    near = [[x + rng.gauss(0, 0.35) for x in v] for v in base]  # a cosine of about 0.94
-    df = spark.createDataFrame(list(enumerate(base + near)), "id long, embedding array<double>")
-    for threshold in (0.92, 0.35):
-        want = {(r.atom_a, r.atom_b) for r in C.near_duplicates(df, threshold).collect()}
-        got = {(r.atom_a, r.atom_b) for r in C.near_duplicates(df, threshold, mode="lsh").collect()}
-        assert len(want) > 100 and got <= want and len(got) >= 0.9 * len(want)
+    assert C.near_duplicates(df.limit(0), 0.6).count() == C.near_duplicates(df.limit(1), 0.6).count() == 0
+    assert {(r.atom_a, r.atom_b) for r in C.near_duplicates(df, -2.0, block=8).collect()} == {(i, j) for i in range(63) for j in range(i + 1, 63)}
+    named = df.withColumn("id", F.format_string("v%02d", "id"))
+    assert {(r.atom_a, r.atom_b) for r in C.near_duplicates(named, 0.6, block=8).collect()} == {(f"v{i:02}", f"v{j:02}") for i, j in want}
+
+
+def test_pruned_pairs_are_complete(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(21)
+    centres = rng.normal(0, 1, (12, 64))
+    base = np.concatenate([c + rng.normal(0, 0.12, (40, 64)) for c in centres])  # twelve narrow clusters
+    rows = np.concatenate([base, base[:60] + rng.normal(0, 0.02, (60, 64)), rng.normal(0, 1, (100, 64))])
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    df = spark.createDataFrame(list(enumerate(rows.tolist())), "id long, embedding array<double>")
+    sims = unit @ unit.T
+    for threshold in (0.35, 0.92, 0.99):
+        want = {(i, j) for i, j in np.argwhere(sims >= threshold).tolist() if i < j}
+        got = {(r.atom_a, r.atom_b) for r in C.near_duplicates(df, threshold, block=20).collect()}
+        assert got == want and len(want) > 50
+    formed, every = C.pairs_formed(df, 0.99, 20)
+    assert every == 640 * 639 // 2 and formed < every / 3
 
 
 def test_cluster_names(spark):

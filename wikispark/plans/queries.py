@@ -229,15 +229,31 @@ def fn7_parse_response(spark, d):
 _UNIT = "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS u FROM v)"
 
 
-@query(f"{_UNIT} SELECT a.vec_id AS atom_a, b.vec_id AS atom_b, round(list_dot_product(a.u, b.u), 6) AS similarity FROM u a JOIN u b ON a.vec_id < b.vec_id WHERE list_dot_product(a.u, b.u) >= 0.35")
+_PAIRS = f"{_UNIT} SELECT a.vec_id AS atom_a, b.vec_id AS atom_b, round(list_dot_product(a.u, b.u), 6) AS similarity FROM u a JOIN u b ON a.vec_id < b.vec_id WHERE list_dot_product(a.u, b.u) >= 0.35"
+
+
+@query(_PAIRS)
 def joi2_near_duplicates(spark, d):
     return C.near_duplicates(fx.vecs(spark, d), 0.35).withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+@query(_PAIRS)
 def joi2_near_duplicates_lsh(spark, d):
-    vecs = fx.vecs(spark, d)
-    return C.near_duplicates(vecs, 0.35, mode="lsh").withColumn("similarity", F.round("similarity", 6))
+    """The same pairs by many small cells: what was a lossy search is complete now."""
+    return C.near_duplicates(fx.vecs(spark, d), 0.35, block=64).withColumn("similarity", F.round("similarity", 6))
+
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+@query(f"""WITH p AS (SELECT min(doc_id) AS id, [{", ".join(f"CAST(length(text) - length(replace(text, '{c}', '')) AS DOUBLE)" for c in _LETTERS)}] AS e FROM documents WHERE text IS NOT NULL GROUP BY text),
+q AS (SELECT id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS u FROM p WHERE list_sum(e) > 0)
+SELECT a.id AS atom_a, b.id AS atom_b, round(list_dot_product(a.u, b.u), 6) AS similarity FROM q a JOIN q b ON a.id < b.id WHERE list_dot_product(a.u, b.u) >= 0.9985""")
+def joi2_letter_profiles(spark, d):
+    """Distinct texts with nearly the same shares of letters: vectors in narrow clusters, which most pairs of cells leave out."""
+    counts = F.array(*[(F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))).cast("double") for c in _LETTERS])
+    texts = table(spark, d, "documents").where("text IS NOT NULL").groupBy("text").agg(F.min("doc_id").alias("id"))
+    return C.near_duplicates(texts.select("id", counts.alias("embedding")), 0.9985, block=256).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("""SELECT label, list_transform(list_sort(list({'i': i, 'x': x})), lambda r: round(r.x, 9)) AS embedding FROM
