@@ -325,6 +325,68 @@ def test_html_of_all_documents(spark, tmp_path):
     assert {r.doc_id: r.chars for r in page4_html(spark, str(tmp_path)).collect()} == {i: len(h) for i, h in enumerate(html)}
 
 
+TREE_ROWS = "slug string, parent_slug string, ordinal int"
+
+
+def test_orders_of_random_trees(spark):
+    rng = random.Random(11)
+    rows = [("r", None, 0), ("alone", None, 1)]
+    for i in range(150):
+        rows.append((f"n{i}", rng.choice(rows)[0] if i % 3 else rows[-1][0], rng.randrange(40)))
+    kids = {}
+    for slug, parent, ordinal in rows:
+        kids.setdefault(parent, []).append((ordinal, slug))
+    want, post = {}, {}
+
+    def walk(slug, depth, path, above, at, left):
+        start = at[0]
+        at[0] += 1
+        for ordinal, kid in sorted(kids.get(slug, [])):
+            walk(kid, depth + 1, [*path, ordinal], [*above, slug], at, left)
+        want[slug] = (start, depth, path, above, at[0] - start)
+        post[slug] = left[0]
+        left[0] += 1
+
+    for ordinal, root in kids[None]:
+        walk(root, 0, [ordinal], [], [0], [0])
+    tree = spark.createDataFrame(rows, TREE_ROWS).repartition(3)
+    assert {r.slug: (r.pre_no, r.depth, r.path, r.ancestors, r.size) for r in T.preorder(tree).collect()} == want
+    assert {r.slug: r.post_no for r in T.postorder(tree).collect()} == post
+    assert T.tree_stats(tree).first() == (152, max(v[1] for v in want.values()) + 1)
+    links = [(a, b) for a in ("r", "n3", "n77", "n149", "gone") for b in [*list(want)[::7], a, "gone"]]
+    parent = {slug: p for slug, p, _ in rows}
+
+    def allowed(a, b):
+        return a in want and b in want and (b in want[a][3] or parent[b] == a or a != b and parent[a] is not None and parent[a] == parent[b])
+
+    out = L.links_outside(spark.createDataFrame(links, "source string, target string"), tree).collect()
+    assert sorted(map(tuple, out)) == sorted((a, b) for a, b in links if not allowed(a, b))
+
+
+def test_orders_of_a_deep_chain_and_a_wide_family(spark, monkeypatch):
+    rounds = []
+    settle = T.settle
+    monkeypatch.setattr(T, "settle", lambda df: rounds.append(1) or settle(df))
+    chain = spark.range(10000).select(F.format_string("n%05d", "id").alias("slug"), F.when(F.col("id") > 0, F.format_string("n%05d", F.col("id") - 1)).alias("parent_slug"), F.lit(0).alias("ordinal"))
+    got = T.orders(chain).agg(F.max("depth"), F.sum("pre_no"), F.max("size"), F.count("*")).first()
+    assert tuple(got) == (9999, 9999 * 5000, 10000, 10000) and len(rounds) <= 15 + 2  # two settle the rows before
+    wide = chain.select("slug", F.when(F.col("slug") != "n00000", "n00000").alias("parent_slug"), F.lit(1).alias("ordinal"))
+    links = chain.where("parent_slug > 'n00000'").select(F.col("slug").alias("source"), F.col("parent_slug").alias("target"))
+    assert L.links_outside(links, wide).count() == 0 and T.orders(wide).where("depth = 1 AND slug = concat('n', lpad(string(pre_no), 5, '0'))").count() == 9999
+
+
+def test_rows_that_no_root_reaches(spark):
+    import pytest
+
+    rows = [("r", None, 0), ("a", "r", 0), ("x", "missing", 0), ("y", "x", 0), ("p", "q", 0), ("q", "p", 0)]
+    for fn in (T.orders, T.lineage, T.preorder, T.postorder, T.tree_stats):
+        with pytest.raises(ValueError, match="missing parent: x, y; in or below a cycle of parents: p, q"):
+            fn(spark.createDataFrame(rows, TREE_ROWS))
+    with pytest.raises(ValueError, match="several rows"):
+        T.orders(spark.createDataFrame([*rows[:2], ("a", "a", 1)], TREE_ROWS))
+    assert T.orders(spark.createDataFrame([], TREE_ROWS)).count() == T.lineage(spark.createDataFrame([], TREE_ROWS)).count() == 0
+
+
 def test_levels_deeper_than_64(spark):
     import pytest
 

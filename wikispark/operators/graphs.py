@@ -29,12 +29,13 @@ def numbered(df: DataFrame, order: list[str], name: str = "no") -> DataFrame:
     """+ name: row numbers from 0 in the given order over all rows, without bringing them into one task.
 
     Rows are sorted by ranges and numbered within each range; ranges are then offset by the sizes of those before them.
+    Numbers are long.
     """
     ranged = settle(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # one row for each partition
     before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     own = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
-    return ranged.withColumn("_own", own).join(sizes.select("_part", before.alias("_before")), "_part").withColumn(name, (F.col("_own") + F.col("_before")).cast("int")).drop("_part", "_own", "_before")
+    return ranged.withColumn("_own", own).join(sizes.select("_part", before.alias("_before")), "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
 
 
 def connected(edges: DataFrame) -> DataFrame:

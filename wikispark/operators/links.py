@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from wikispark.functions import text as X
 from wikispark.operators import graphs
-from wikispark.operators.tree import preorder
+from wikispark.operators.graphs import settle
+from wikispark.operators.tree import orders
 
 
 def all_links(pages: DataFrame, alias: bool = False) -> DataFrame:
@@ -81,8 +82,23 @@ def links_outside_allowed(links: DataFrame, allowed: DataFrame) -> DataFrame:
     return links.select("source", "target").join(own, ["source", "target"], "left_anti")
 
 
+def links_outside(links: DataFrame, tree: DataFrame) -> DataFrame:
+    """(source, target): links to pages that are neither ancestors nor siblings nor children of the page.
+
+    Told from places in the tree, without lists of them: an ancestor's numbers in tree order enclose the page's, a sibling
+    has its parent, a child is below it. A page that is not in the tree allows nothing; one that links to itself is outside.
+    """
+    place = settle(orders(tree).join(tree.select("slug", "parent_slug"), "slug").select("slug", "root", "parent_slug", "pre_no", "size"))
+    of, to = (place.select(*[F.col(c).alias(side + c) for c in place.columns]) for side in ("a_", "b_"))
+    rows = links.select("source", "target").join(of, F.col("source") == F.col("a_slug"), "left").join(to, F.col("target") == F.col("b_slug"), "left")
+    above = (F.col("a_root") == F.col("b_root")) & (F.col("b_pre_no") < F.col("a_pre_no")) & (F.col("a_pre_no") < F.col("b_pre_no") + F.col("b_size"))
+    beside = (F.col("a_parent_slug") == F.col("b_parent_slug")) & (F.col("source") != F.col("target"))
+    allowed = above | beside | (F.col("b_parent_slug") == F.col("source"))
+    return rows.where(~F.coalesce(allowed, F.lit(False))).select("source", "target")
+
+
 def root_of(tree: DataFrame) -> DataFrame:
-    return preorder(tree).where("pre_no = 0").select("slug")
+    return tree.where(F.col("parent_slug").isNull()).select("slug")
 
 
 def resolve_links(pages: DataFrame, slug_map: DataFrame) -> DataFrame:

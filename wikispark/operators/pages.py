@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wikispark.functions import text as X
 from wikispark.operators.graphs import settle
-from wikispark.operators.tree import preorder
+from wikispark.operators.tree import orders
 
 NO_QUOTE, NO_ATOMS, SEE_WIKI = "(无)", "(本节点无直接关联的 atom，请基于子节点概要 roll-up 撰写)", "*(详见 wiki)*"
 
@@ -85,13 +85,13 @@ def site_pages(tree: DataFrame, wiki_pages: DataFrame) -> DataFrame:
 
 def site_index(tree: DataFrame) -> DataFrame:
     """(cnt, slugs): how many pages, and their slugs in tree order."""
-    rows = preorder(tree)
+    rows = orders(tree)
     return rows.agg(F.count("*").alias("cnt"), F.transform(F.sort_array(F.collect_list(F.struct("pre_no", "slug"))), lambda x: x["slug"]).alias("slugs"))
 
 
 def handbook_sections(tree: DataFrame, wiki_pages: DataFrame) -> DataFrame:
     """(pre_no, section): a heading of the node's depth and its body, in tree order; one row a section, written in order by range."""
-    order = settle(preorder(tree))
+    order = settle(orders(tree))
     kids = tree.where(F.col("parent_slug").isNotNull()).select(F.col("parent_slug").alias("k")).distinct()
     pages = wiki_pages.select(F.col("slug").alias("p"), "body")
     rows = order.join(tree.select("slug", "label"), "slug").join(pages, F.col("slug") == F.col("p"), "left").join(kids, F.col("slug") == F.col("k"), "left")
@@ -102,7 +102,7 @@ def handbook_sections(tree: DataFrame, wiki_pages: DataFrame) -> DataFrame:
 
 def handbook(tree: DataFrame, wiki_pages: DataFrame, date: str, appendix: DataFrame | None = None) -> DataFrame:
     """(pre_no, section): a title block before the sections and the appendix(text) after them; joined by line ends in order, the handbook."""
-    n = preorder(tree).agg(F.count("*").alias("n"))
+    n = tree.agg(F.count("*").alias("n"))
     root = tree.where(F.col("parent_slug").isNull()).agg(F.min(X.non_empty(F.col("label"))).alias("label"))
     title = root.crossJoin(n).select(F.lit(-1).alias("pre_no"), F.concat(F.lit("# "), F.coalesce("label", F.lit("知识手册")), F.lit(f"\n\n> 生成时间：{date}\n> 共 "), F.col("n").cast("string"), F.lit(" 个知识节点。\n\n---\n\n")).alias("section"))
     rows = title.unionByName(handbook_sections(tree, wiki_pages))

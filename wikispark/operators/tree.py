@@ -16,44 +16,95 @@ from wikispark.operators.vectors import block_pairs, centroids
 TREE = "slug string, parent_slug string, kind string, label string, ordinal int"
 
 
+def _placed(tree: DataFrame, ended: DataFrame, open_: DataFrame) -> None:
+    """Raises if rows have a parent that is missing (ended without a root) or lie in or below a cycle of parents (still open)."""
+    gone = ended.where("root IS NULL").select("slug").distinct().limit(5).collect()
+    stuck = open_.select("slug").distinct().limit(5).collect()
+    said = [f"{what}: {', '.join(sorted(str(r.slug) for r in rows))}" for what, rows in (("under a missing parent", gone), ("in or below a cycle of parents", stuck)) if rows]
+    if said:
+        raise ValueError(f"no root reaches all nodes of the tree; {'; '.join(said)}")
+
+
+def _owned(tree: DataFrame) -> tuple[DataFrame, int]:
+    """The columns that orders need, and how many rows; a slug in two rows is an error."""
+    own = settle(tree.select("slug", "parent_slug", "ordinal"))
+    n, slugs = own.agg(F.count("*"), F.countDistinct("slug")).first()
+    if n != slugs:
+        raise ValueError("a slug of the tree is in several rows, or null")
+    return own, n
+
+
+def lineage(tree: DataFrame) -> DataFrame:
+    """(slug, root, depth from 0, path: ordinals from the root, ancestors: root first) of every node.
+
+    Each round a node puts the list of the ancestor it has come to before its own, so lists double: log2(depth) + 1 rounds.
+    Rows that no root reaches are an error that names some of them.
+    """
+    own, n = _owned(tree)
+    up = F.col("parent_slug")
+    state = own.select("slug", F.when(up.isNull(), F.col("slug")).alias("root"), up.alias("next"), F.array("ordinal").alias("path"), F.when(up.isNull(), F.array().cast("array<string>")).otherwise(F.array(up)).alias("ancestors"))
+    for _ in range(n.bit_length() + 1):
+        ahead = state.select(F.col("slug").alias("k"), F.col("root").alias("r"), F.col("next").alias("further"), F.col("path").alias("p"), F.col("ancestors").alias("a"))
+        joined = state.join(ahead, state["next"] == ahead["k"], "left")
+        lists = [F.concat(F.coalesce(theirs, F.array().cast(kind)), mine).alias(mine) for mine, theirs, kind in (("path", "p", "array<int>"), ("ancestors", "a", "array<string>"))]
+        state = settle(joined.select("slug", F.coalesce("root", "r").alias("root"), F.col("further").alias("next"), *lists))
+        if not state.where("next IS NOT NULL").limit(1).count():
+            break
+    _placed(tree, state.where("next IS NULL"), state.where("next IS NOT NULL"))
+    return state.select("slug", "root", F.size("ancestors").alias("depth"), "path", "ancestors")
+
+
 def levels(tree: DataFrame) -> DataFrame:
-    """(slug, depth from 0, path: ordinals from the root, ancestors: root first), one join for each level of the tree; a node below itself is an error."""
-    root = F.col("parent_slug").isNull()
-    own = tree.select("slug", "parent_slug", "ordinal")
-    level = own.where(root).select("slug", F.lit(0).alias("depth"), F.array("ordinal").alias("path"), F.array().cast("array<string>").alias("ancestors"))
-    found = level
-    while True:
-        up = level.select(F.col("slug").alias("p"), "depth", "path", "ancestors")
-        level = settle(own.join(up, own["parent_slug"] == up["p"]).select("slug", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("ordinal")).alias("path"), F.concat("ancestors", F.array("p")).alias("ancestors")))
-        n, again = level.agg(F.count("*"), F.max(F.array_contains("ancestors", F.col("slug")))).first()
-        if not n:
-            return found
-        if again:
-            raise ValueError("a node of the tree is its own ancestor")
-        found = found.unionByName(level)
+    """(slug, depth, path, ancestors) by `lineage`."""
+    return lineage(tree).select("slug", "depth", "path", "ancestors")
+
+
+def orders(tree: DataFrame) -> DataFrame:
+    """(slug, root, pre_no from 0, depth from 0, size: nodes from here down) of every node, by ranking a tour of the tree.
+
+    The tour enters a node, its children by ordinal (ties by slug), and leaves it: two events a node, each with the next
+    one. Every round an event takes over what the event that it has come to has counted up to the end, and its next, so
+    log2(2 n) + 1 rounds rank all of them whatever the tree's depth. Each root has its own tour. Rows that no root reaches
+    are an error that names some of them.
+    """
+    own, n = _owned(tree)
+    family = W.partitionBy("parent_slug").orderBy("ordinal", "slug")
+    first = own.where(F.col("parent_slug").isNotNull()).groupBy(F.col("parent_slug").alias("k")).agg(F.min_by("slug", F.struct("ordinal", "slug")).alias("first"))
+    rows = own.withColumn("sibling", F.when(F.col("parent_slug").isNotNull(), F.lead("slug").over(family))).join(first, F.col("slug") == F.col("k"), "left")
+    enter, leave = (lambda c: F.struct(F.lit(True).alias("enters"), F.col(c).alias("slug"))), (lambda c: F.struct(F.lit(False).alias("enters"), F.col(c).alias("slug")))
+    none = F.lit(None).cast("struct<enters:boolean,slug:string>")
+    down = rows.select(enter("slug").alias("event"), F.when(F.col("first").isNotNull(), enter("first")).otherwise(leave("slug")).alias("next"), F.lit(1).cast("long").alias("n"), F.lit(1).alias("deep"), F.lit(None).cast("string").alias("root"))
+    on = F.when(F.col("sibling").isNotNull(), enter("sibling")).when(F.col("parent_slug").isNotNull(), leave("parent_slug")).otherwise(none)
+    up = rows.select(leave("slug").alias("event"), on.alias("next"), F.lit(0).cast("long").alias("n"), F.lit(-1).alias("deep"), F.when(F.col("parent_slug").isNull(), F.col("slug")).alias("root"))
+    state = settle(down.unionByName(up))
+    for _ in range((2 * n).bit_length() + 1):
+        ahead = state.select(F.col("event").alias("k"), F.col("next").alias("further"), F.col("n").alias("m"), F.col("deep").alias("d"), F.col("root").alias("r"))
+        joined = state.join(ahead, state["next"] == ahead["k"], "left")
+        zero = F.lit(0)
+        state = settle(joined.select("event", F.col("further").alias("next"), (F.col("n") + F.coalesce("m", zero)).alias("n"), (F.col("deep") + F.coalesce("d", zero)).alias("deep"), F.coalesce("root", "r").alias("root")))
+        if not state.where("next IS NOT NULL").limit(1).count():
+            break
+    named = state.select(F.col("event.enters").alias("enters"), F.col("event.slug").alias("slug"), "next", "n", "deep", "root")
+    _placed(tree, named.where("next IS NULL"), named.where("next IS NOT NULL"))
+    left = named.where("NOT enters").select("slug", F.col("n").alias("after"))
+    entered = named.where("enters").select("slug", "root", "n", (-F.col("deep")).alias("depth"))
+    whole = entered.where("slug = root").select("root", F.col("n").alias("all"))
+    return entered.join(left, "slug").join(whole, "root").select("slug", "root", (F.col("all") - F.col("n")).alias("pre_no"), "depth", (F.col("n") - F.col("after")).alias("size"))
 
 
 def preorder(tree: DataFrame) -> DataFrame:
-    """(slug, path, pre_no from 0, depth, ancestors): parents before children, children by ordinal."""
-    rows = settle(levels(tree))
-    # depth-first numbers without a global sort: a node's number is its parent's plus one plus the sizes of the siblings before it
-    sizes = rows.select(F.explode(F.concat("ancestors", F.array("slug"))).alias("slug")).groupBy("slug").agg(F.count("*").alias("size"))
-    own = tree.select("slug", "parent_slug", "ordinal").join(sizes, "slug")
-    before = F.coalesce(F.sum("size").over(W.partitionBy("parent_slug").orderBy("ordinal").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    step = own.select("slug", F.when(F.col("parent_slug").isNull(), 0).otherwise(before + 1).alias("step"), "size")
-    chain = rows.select("slug", F.explode(F.concat("ancestors", F.array("slug"))).alias("via"))
-    number = chain.join(step.select(F.col("slug").alias("via"), "step"), "via").groupBy("slug").agg(F.sum("step").alias("pre_no"))
-    return rows.join(number, "slug").join(sizes, "slug").select("slug", "path", "pre_no", "depth", "ancestors", "size")
+    """(slug, path, pre_no from 0, depth, ancestors, size): parents before children, children by ordinal."""
+    return orders(tree).join(lineage(tree).select("slug", "path", "ancestors"), "slug").select("slug", "path", "pre_no", "depth", "ancestors", "size")
 
 
 def postorder(tree: DataFrame) -> DataFrame:
     """(slug, post_no from 0): children before parents."""
-    return preorder(tree).select("slug", (F.col("pre_no") + F.col("size") - 1 - F.col("depth")).alias("post_no"))
+    return orders(tree).select("slug", (F.col("pre_no") + F.col("size") - 1 - F.col("depth")).alias("post_no"))
 
 
 def tree_stats(tree: DataFrame) -> DataFrame:
     """(nodes, depth), the root at depth 1."""
-    return levels(tree).agg(F.count("*").alias("nodes"), (F.max("depth") + 1).alias("depth"))
+    return orders(tree).agg(F.count("*").alias("nodes"), (F.max("depth") + 1).alias("depth"))
 
 
 def page_context(tree: DataFrame) -> DataFrame:
@@ -77,7 +128,7 @@ def allowed_links(ctx: DataFrame) -> DataFrame:
 
 def nav_outline(tree: DataFrame) -> DataFrame:
     """(pre_no, slug, label, depth): the outline of the site, one shared table; a page marks its own row by comparison."""
-    return preorder(tree).join(tree.select("slug", "label"), "slug").select("pre_no", "slug", "label", "depth")
+    return orders(tree).join(tree.select("slug", "label"), "slug").select("pre_no", "slug", "label", "depth")
 
 
 def tree_to_json(tree: DataFrame, page_atoms: DataFrame | None = None) -> DataFrame:
@@ -87,7 +138,7 @@ def tree_to_json(tree: DataFrame, page_atoms: DataFrame | None = None) -> DataFr
         tree = tree.join(held, tree["slug"] == held["h"], "left").drop("h")
     else:
         tree = tree.withColumn("atoms", F.lit(None).cast("array<string>"))
-    rows = settle(levels(tree).join(tree.select("slug", "parent_slug", "kind", "label", "ordinal", "atoms"), "slug"))
+    rows = settle(orders(tree).select("slug", "depth").join(tree.select("slug", "parent_slug", "kind", "label", "ordinal", "atoms"), "slug"))
     deepest = rows.agg(F.max("depth")).first()[0]
     field = lambda name, c: F.concat(F.lit(f'"{name}":'), F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2))
     below = None
@@ -219,7 +270,7 @@ def build_tree(leaves: DataFrame, topic: str = "", max_size: int = 5, model: Cal
         rest = rest.unionByName(up.select("slug", "label", "embedding", F.lit("intermediate").alias("kind"), "group_no"))
         nodes = numbered(rest, ["group_no"]).drop("group_no")
     root = spark.createDataFrame([("root-" + (topic or "topic"), None, "root", topic or "root", 0)], TREE)
-    top = nodes.select("slug", F.lit("root-" + (topic or "topic")).alias("parent_slug"), "kind", "label", F.col("no").alias("ordinal"))
+    top = nodes.select("slug", F.lit("root-" + (topic or "topic")).alias("parent_slug"), "kind", "label", F.col("no").cast("int").alias("ordinal"))
     return root.unionByName(top).unionByName(done)
 
 

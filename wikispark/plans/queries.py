@@ -454,7 +454,7 @@ def top4_errors(spark, d):
 @query("""SELECT l.source, l.target FROM links l WHERE NOT EXISTS (SELECT 1 FROM tree t JOIN walk w ON t.slug = w.slug WHERE t.slug = l.source AND (list_contains(w.ancestors, l.target)
 OR EXISTS (SELECT 1 FROM tree o WHERE o.slug = l.target AND o.slug <> t.slug AND o.parent_slug = t.parent_slug) OR EXISTS (SELECT 1 FROM tree o WHERE o.slug = l.target AND o.parent_slug = t.slug)))""", ("links", "walk"))
 def set4_links_outside(spark, d):
-    return L.links_outside_allowed(L.all_links(fx.wiki_pages(spark, d)), T.allowed_links(T.page_context(fx.tree(spark, d))))
+    return L.links_outside(L.all_links(fx.wiki_pages(spark, d)), fx.tree(spark, d))
 
 
 @query("SELECT DISTINCT slug, regexp_replace(regexp_replace(body, '\\[\\[(concept-s[0-9]+|concept-n[0-9]+)\\]\\]', '<a href=\"pages/\\1.html\">\\1</a>', 'g'), '\\[\\[([^\\]]*)\\]\\]', '<span class=\"pending\">\\1</span>', 'g') AS html FROM wiki_pages", ("wiki_pages",))
