@@ -9,8 +9,8 @@ so equal windows have equal anchors at the same place and about one run in fifte
 2. Compile: phrases go by hash to shards of a bounded number of windows, each an Aho-Corasick automaton of its phrases
    and the sorted hashes of the confirmed windows around them, written to the shared folder.
 3. Locate: all documents stream through all shards. An automaton finds every occurrence of a phrase; the windows around it
-   are held against the confirmed ones, and words of those that are there go. A document that shares no anchor with a shard
-   is not run through it.
+   are held against the confirmed ones, and words of those that are there go. Stretches of a text around an anchor
+   of the shard are run through it, so that all shards together read the repeated text, not the corpus times their number.
 
 Words are coded as 16 bits in an automaton, so that its nodes have at most 256 children; what such a code takes for a
 phrase without being it fails at the confirmed windows. Shards grow with the distinct repeated text, and each is read once
@@ -39,7 +39,7 @@ CHUNK = 1 << 23  # bytes of text held at a time
 LONG = 64  # bytes of a word that are hashed along with all other words'
 PART = 13  # bits of a row's number within a part
 HOT, SALTS = 1000, 64  # windows of anchors met so often are dealt singly, by their own hash
-SHARD = 1_500_000  # windows of an automaton's shard
+SHARD = 1_000_000  # windows of an automaton's shard
 
 
 def word_hashes(data: bytes):
@@ -50,7 +50,7 @@ def word_hashes(data: bytes):
     of = np.frombuffer(data, np.uint8)
     white = (of == 32) | ((of >= 9) & (of <= 13))
     edges = np.flatnonzero(np.diff(np.r_[np.True_, white, np.True_]))
-    starts, ends = edges[::2], edges[1::2]
+    starts, ends = edges[::2].astype(np.int32), edges[1::2].astype(np.int32)
     sizes = ends - starts
     order = np.argsort(-np.minimum(sizes, LONG + 1).astype(np.int16), kind="stable")
     at, hashes = starts[order], sizes[order].astype(np.uint64)
@@ -111,7 +111,7 @@ class Chunk:
         self.data = b"\n".join(pieces)
         self.words, self.starts, self.stops = word_hashes(self.data)
         borders = np.cumsum([len(p) + 1 for p in pieces])
-        self.doc = np.searchsorted(borders, self.starts, "right")
+        self.doc = np.searchsorted(borders, self.starts, "right").astype(np.int32)
         self.sizes = np.bincount(self.doc, minlength=len(texts)).astype(np.int64)
         self.ends = np.cumsum(self.sizes)
         self.hashes = grams(self.words, window)
@@ -289,7 +289,7 @@ def compile_shards(found: DataFrame, shards: int) -> str:
         h = lists.flatten().to_numpy().view(np.uint64)
         m = np.repeat(group.column("anchor").to_numpy().view(np.uint64), lists.value_lengths().to_numpy())
         order = np.lexsort((m, h))
-        write_file(f"{folder}/{shard}", lambda out: pickle.dump((automaton, h[order], m[order], np.unique(m)), out, protocol=5))
+        write_file(f"{folder}/{shard}", lambda out: [pickle.dump(x, out, protocol=5) for x in (np.unique(m), (automaton, h[order], m[order]))])
         return pa.table({"shard": pa.array([shard], pa.int32()), "windows": pa.array([len(h)], pa.int64())})
 
     rows = found.withColumn("shard", F.expr(f"cast(pmod(xxhash64(anchor), {shards}) as int)"))
@@ -297,33 +297,42 @@ def compile_shards(found: DataFrame, shards: int) -> str:
     return folder
 
 
+def spread(starts, length: int, n: int):
+    """Which of n places lie in a run of `length` from one of the starts."""
+    import numpy as np
+
+    edges = np.zeros(n + length + 1, np.int32)
+    np.add.at(edges, starts, 1)
+    np.add.at(edges, starts + length, -1)
+    return np.cumsum(edges[:n]) > 0
+
+
 def locate(c: Chunk, folder: str, shards: int):
     """Which words of a chunk lie in a confirmed window."""
     import numpy as np
 
-    edges = np.zeros(len(c.words) + 1, np.int64)
-    for shard in range(shards if c.valid.any() else 0):
+    n, gone = len(c.words), np.zeros(len(c.words), bool)
+    valid = np.flatnonzero(c.valid)
+    own, of = np.unique(c.anchors[valid], return_inverse=True)
+    for shard in range(shards if len(valid) else 0):
         fs, path = file_system(f"{folder}/{shard}")
         if fs.get_file_info(path).type.name != "File":
             continue  # no phrase fell to this shard
         with fs.open_input_file(path) as file:
-            automaton, of_h, of_m, anchors = pickle.load(file)
-        met = np.zeros(len(c.sizes), bool)
-        met[c.doc[: len(c.valid)][c.valid & held(c.anchors, anchors)]] = True
-        chosen = np.flatnonzero(met[c.doc])
+            near = valid[held(own, pickle.load(file))[of]]
+            if not len(near):
+                continue
+            automaton, of_h, of_m = pickle.load(file)
+        chosen = np.flatnonzero(spread(near, c.window, n))
         codes = c.words[chosen].astype("<u2").tobytes().decode("latin-1")
-        ends = np.array([end for end, _ in automaton.iter(codes)], np.int64)
-        del automaton
+        ends = np.fromiter((end for end, _ in automaton.iter(codes)), np.int64)
+        del automaton, codes
         ends = ends[ends % 2 == 1] // 2  # the place of the last word, where both of its bytes ended
         starts = chosen[ends - (ANCHOR - 1)]
-        near = np.zeros(len(c.words) + 1, np.int64)
-        np.add.at(near, np.maximum(starts - c.reach + 1, 0), 1)
-        np.add.at(near, starts + 1, -1)
-        asked = np.flatnonzero((np.cumsum(near)[: len(c.valid)] > 0) & c.valid)
+        asked = np.flatnonzero(spread(np.maximum(starts - c.reach + 1, 0), c.reach, len(c.valid)) & c.valid)
         asked = asked[both_held(c.hashes[asked], c.anchors[asked], of_h, of_m)]
-        np.add.at(edges, asked, 1)
-        np.add.at(edges, asked + c.window, -1)
-    return np.cumsum(edges[:-1]) > 0
+        gone |= spread(asked, c.window, n)
+    return gone
 
 
 def cut(docs: DataFrame, window: int = WINDOW, shard: int = SHARD, hot: int = HOT) -> DataFrame:
@@ -349,6 +358,7 @@ def cut(docs: DataFrame, window: int = WINDOW, shard: int = SHARD, hot: int = HO
         for b in parts(batches, 1, CHUNK):
             texts = b.column(1).to_pylist()
             c = Chunk(texts, window)
+            c.grams = None  # only for the anchors, which are there
             gone = locate(c, folder, shards)
             removed, spans, kept = [], [], []
             for end, size in zip(c.ends.tolist(), c.sizes.tolist(), strict=True):
