@@ -114,6 +114,37 @@ def test_host_repeats(spark):
     assert extract.extract(pages.limit(0)).count() == 0
 
 
+def test_article_blocks_on_most_pages_of_a_host_go(spark):
+    rng = random.Random(9)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    call, quote = "Subscribe to our newsletter today and never miss a story", words(30)
+    rows, want = [], {}
+    for i in range(12):
+        own = [words(50), words(40)]
+        shown = [own[0], quote, own[1]] if i < 5 else own  # a passage that 5 of 12 articles quote stays
+        page = f"<p>{shown[0]}</p><p>{call}</p>" + "".join(f"<p>{x}</p>" for x in shown[1:]) + '<div class="discussion">Great post! says Bob</div>'
+        page += '<p class="site-notice">We use cookies on this site</p><div class="newsletter-cta">Join now</div></article><article class="teaser">Read next'
+        rows.append((i, f"http://one/{i}", f"<body><article>{page}</article></body>"))
+        want[i] = " ".join(shown)
+    copy = f"<article><p>{call}</p><p>{want[0]}</p></article>"
+    rows += [(20 + i, f"http://two/{i}", copy) for i in range(4)] + [(30, "http://three/", f"<article><p>{call}</p></article>")]
+    want |= {20 + i: f"{call} {want[0]}" for i in range(4)} | {30: call}  # copies of one page, and a lone one, repeat nothing
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r for r in extract.extract(pages).collect()}
+    assert {i: r.text for i, r in got.items()} == want
+    bare = {i: extract.main_text(extract.blocks(h), [], extract.LEAST)[0] for i, _, h in rows}
+    assert sum(bare[i] != want[i] for i in want) == 12  # without the array, the call stays on these pages
+    assert all(got[i].repeated >= len(call.split()) for i in range(12))
+
+
+def test_end_tags_that_nothing_opened_cost_nothing():
+    import time
+
+    began = time.process_time()
+    assert extract.blocks("<div>" * 20000 + "x" + "</foo>" * 20000) == [(extract.OPEN, "x")]
+    assert time.process_time() - began < 0.5
+
+
 # 3 and 10
 
 VECTORS = [None, [], [float("nan")] * 4, [None, 1.0, 1.0, 1.0], [float("inf")] * 4, [0.0] * 4]

@@ -9,10 +9,11 @@ is a substring repeated across pages (a longer repeat is a union of such runs).
 and go, unless their rank is `text`; what no repeat covers stays if it is `doubtful` or `open`, and goes if it is `aside`.
 `repeated` counts the words that go as repeats, `structural` those that structure alone tells.
 
-The rank `text` is kept because articles quote the same passages and come in near copies; suffixes that lie wholly within
-it decide nothing and are not sorted. Near copies of one page count as one page: each page has three minima of its hashed
-tokens, and a repeat counts only if its pages differ in each of them (pages of which 0.8 is shared do so by chance once in
-125 times). Sorting is a shuffle by host and prefix, so a host with a third of all pages is dealt out like any other, and
+In the rank `text` articles quote the same passages and come in near copies, so there a repeat must be a whole block, from
+its mark to the next, on at least FEWEST kinds of pages and at least half of those of the host that have an article; shorter
+suffixes that lie wholly within it decide nothing and are not sorted. Near copies of one page count as one: each page has
+three minima of its hashed tokens, and a repeat counts only if its pages differ in each of them (pages of which 0.8 is
+shared do so by chance once in 125 times); kinds of pages are told by the first of them. Sorting is a shuffle by host and prefix, so a host with a third of all pages is dealt out like any other, and
 a prefix that many pages share is reduced to its extreme keys before it is shuffled.
 
 Definitions. White space within a block becomes one space, blocks are joined by one space, character references are
@@ -24,6 +25,7 @@ that is not closed at the next block element.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 from pyspark.sql import DataFrame
@@ -34,6 +36,7 @@ from wikispark.llm.common import materialise, parts
 
 LEAST = 8  # tokens of a repeat, block marks included
 SALTS = 8
+FEWEST = 3
 MARK = ""  # starts a block; no word is empty
 TEXT, DOUBTFUL, OPEN, ASIDE = range(4)
 
@@ -45,9 +48,9 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 CLOSES_ITSELF = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar", "toolbar"}
-NO_TEXT = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsored", "promo", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "newsletter", "subscribe", "signup", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "share", "sharing", "social", "related", "recommended", "comment", "comments", "disqus", "respond", "pagination", "pager"}
-BOXES = {"area", "banner", "bar", "block", "body", "box", "buttons", "container", "form", "icons", "inner", "item", "items", "links", "list", "posts", "section", "slot", "thread", "unit", "widget", "wrap", "wrapper"}
-LIKELY = {"header", "masthead", "banner", "notice", "notices", "alert", "announcement", "toolbar", "search", "login", "widget", "copyright", "disclaimer", "legal"}
+NO_TEXT = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsored", "promo", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "newsletter", "subscribe", "signup", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "share", "sharing", "social", "related", "recommended", "comment", "comments", "discussion", "teaser", "teasers", "notice", "notices", "announcement", "disqus", "respond", "pagination", "pager"}
+BOXES = {"area", "cta", "site", "page", "banner", "bar", "block", "body", "box", "buttons", "container", "form", "icons", "inner", "item", "items", "links", "list", "posts", "section", "slot", "thread", "unit", "widget", "wrap", "wrapper"}
+LIKELY = {"header", "masthead", "banner", "alert", "toolbar", "search", "login", "widget", "copyright", "disclaimer", "legal"}
 
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
@@ -78,6 +81,7 @@ def blocks(html: str) -> list[tuple[int, str]]:
     out: list[tuple[bool, bool, bool, bool, str]] = []
     held: list[str] = []
     stack: list[tuple[str, str]] = []  # open containers: (tag, what they make of their content)
+    opened: Counter = Counter()  # of them, by tag
     depth = {"unseen": 0, "aside": 0, "doubtful": 0, "article": 0, "main": 0, "": 0}
 
     def flush():
@@ -87,10 +91,13 @@ def blocks(html: str) -> list[tuple[int, str]]:
             held.clear()
 
     def leave(tag):
+        if not opened[tag]:
+            return
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] == tag:
-                for _, kind in stack[i:]:
+                for name, kind in stack[i:]:
                     depth[kind] -= 1
+                    opened[name] -= 1
                 del stack[i:]
                 return
 
@@ -140,6 +147,7 @@ def blocks(html: str) -> list[tuple[int, str]]:
                 if tag in INLINE:
                     flush()
                 stack.append((tag, kind))
+                opened[tag] += 1
                 depth[kind] += 1
     flush()
     inside = 0 if any(a and not x for a, _, x, _, _ in out) else 1 if any(m and not x for _, m, x, _, _ in out) else None
@@ -163,12 +171,14 @@ def stream(page: list[tuple[int, str]]) -> tuple[list[str], list[int]]:
 
 
 def main_text(page: list[tuple[int, str]], starts: list[int], least: int) -> tuple[str, int, int]:
-    """The text, and how many words went as repeats and by structure; a repeat covers `least` tokens from a start."""
-    covered = {p for s in starts for p in range(s, s + least)}
+    """The text, and how many words went as repeats and by structure; a repeat covers `least` tokens from a start, or, where
+    the start is negative, the block of rank text with the number -1 - start."""
+    covered_blocks = {s for s in starts if s < 0}
+    covered = {p for s in starts if s >= 0 for p in range(s, s + least)}
     kept, at, repeated, structural = [], 0, 0, 0
-    for rank, text in page:
+    for number, (rank, text) in enumerate(page):
         words = text.split(" ")
-        left = words if rank == TEXT else [w for i, w in enumerate(words, at + 1) if i not in covered]
+        left = ([] if -1 - number in covered_blocks else words) if rank == TEXT else [w for i, w in enumerate(words, at + 1) if i not in covered]
         repeated += len(words) - len(left)
         if rank == ASIDE:
             structural += len(left)
@@ -204,21 +214,29 @@ def families(h, ranks: list[int], least: int) -> list[int]:
 
 
 def suffixes(pages: DataFrame, least: int) -> DataFrame:
-    """(key of host and prefix, page, start, f0, f1, f2): every suffix by its first `least` tokens, of which not all are text."""
+    """(key of host and prefix, page, start, f0, f1, f2): every suffix by its first `least` tokens, of which not all are text;
+    and each block of rank text by all of its tokens, with -1 - its number as start and the host as f2."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        import xxhash
 
         for b in parts(batches, 2):
             cols: list[list] = [[np.zeros(0, np.int64)] for _ in range(6)]
             for page, host, html in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                tokens, ranks = stream(blocks(html))
+                page_blocks = blocks(html)
+                tokens, ranks = stream(page_blocks)
                 h = window_hashes(tokens, least)
                 at = np.flatnonzero(np.convolve(np.array(ranks) != TEXT, np.ones(least, int))[least - 1 : least - 1 + len(h)]) if len(h) else []
+                kinds = families(h, ranks, least)
+                own = [(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), host & (1 << 64) - 1), -1 - i) for i, (rank, text) in enumerate(page_blocks) if rank == TEXT]
+                if own:
+                    for c, x in zip(cols, (np.array([k for k, _ in own], np.uint64).view(np.int64), page, [i for _, i in own], *kinds[:2], host), strict=True):
+                        c.append(np.broadcast_to(np.asarray(x, np.int64), len(own)))
                 if len(at):
                     key = (h[at] ^ np.uint64(host & (1 << 64) - 1)) * np.uint64(0x9E3779B97F4A7C15)
-                    for c, x in zip(cols, (key.view(np.int64), page, at, *families(h, ranks, least)), strict=True):
+                    for c, x in zip(cols, (key.view(np.int64), page, at, *kinds), strict=True):
                         c.append(np.broadcast_to(np.asarray(x, np.int64), len(at)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["key", "page", "start", "f0", "f1", "f2"])
 
@@ -228,14 +246,24 @@ def suffixes(pages: DataFrame, least: int) -> DataFrame:
 def repeats(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """(page, starts): where substrings repeated across distinct pages of a host start."""
     array = materialise(suffixes(pages, least), "suffixes")
+    within, array = array.where("start < 0"), array.where("start >= 0")
     runs = array.groupBy("key").agg(*[g(f).alias(f"{n}{f}") for f in ("f0", "f1", "f2") for n, g in (("min_", F.min), ("max_", F.max))])
-    runs = runs.where("min_f0 < max_f0 and min_f1 < max_f1 and min_f2 < max_f2")
-    runs = runs.select(F.col("key").alias("r_key"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("r_salt"))
-    salt = F.pmod(F.xxhash64("page"), F.lit(SALTS)).cast("int")
-    at = array.join(runs, (F.col("key") == F.col("r_key")) & (salt == F.col("r_salt")))
+    runs = runs.where("min_f0 < max_f0 and min_f1 < max_f1 and min_f2 < max_f2").select("key")
+    kinds = within.select("key", "f2", "f0").distinct().groupBy("key", "f2").agg(F.count("*").alias("n"))
+    of_host = within.select("f2", "f0").distinct().groupBy("f2").agg(F.count("*").alias("all"))
+    whole = kinds.where(F.col("n") >= FEWEST).join(of_host, "f2").where("2 * n >= `all`").select("key")
+    found = [_met(rows, keys) for rows, keys in ((array, runs), (within, whole))]
+    at = found[0].unionByName(found[1])
     return materialise(at.groupBy("page").agg(F.collect_set(F.col("start").cast("int")).alias("starts")), "repeats")
 
 
+def _met(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """(page, start) of the rows whose key is among the keys; a key that very many rows have is dealt out."""
+    keys = keys.select(F.col("key").alias("r_key"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("r_salt"))
+    salt = F.pmod(F.xxhash64("page"), F.lit(SALTS)).cast("int")
+    return rows.join(keys, (F.col("key") == F.col("r_key")) & (salt == F.col("r_salt"))).select("page", "start")
+
+
 def extract(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """page_id, url, text, n_chars, repeated, structural of every row."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
