@@ -249,6 +249,19 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).count() == 0 == mixing.mixed(df.limit(0)).count()
 
 
+def test_mixing_of_rows_that_repeat_an_id(spark):
+    rows = [(1, " ".join("w" * 10), "en", "a")] * 100 + [(2, f"t{i} " * 10, "en", "a") for i in range(50)] + [(None, "n " * 10, "en", "a")] * 50 + [(i, "x " * 10, "en", "b") for i in range(10, 400)]
+    df = documents(spark, rows)
+    got = mixing.mix(df.repartition(6)).collect()
+    for source in "ab":
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 10
+    for doc_id in (1, 2, None):  # some of the copies of one id are taken once more than others
+        assert len({r.taken for r in got if r.doc_id == doc_id}) == 2
+    assert sorted(map(str, mixing.mix(df).collect())) == sorted(map(str, got))
+    assert sum(len(r.text.split()) for r in mixing.mixed(df).collect()) == sum(r.taken for r in got)
+
+
 # 5
 
 
@@ -561,6 +574,25 @@ def test_quality(spark):
 # 9
 
 
+def test_quality_learns_from_long_documents_and_very_many_lines(spark):
+    rng = random.Random(8)
+    junk = lambda n: "\n".join("BUY NOW!!! $$$ " * 4 for _ in range(n))
+    good = lambda n: "\n".join(english(rng, 12) for _ in range(n))
+    rows = [(i, (junk if i % 2 else good)(600), "en", "s") for i in range(24)] + [(50, junk(20000), "en", "s"), (51, good(5), "en", "s")]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(24)] + [(50, 0)], "doc_id long, quality int")
+    got = {r.doc_id: r.predicted for r in quality.learn_and_score(documents(spark, rows), labels).collect()}
+    assert got == {i: 1 - i % 2 for i in range(24)} | {50: 0, 51: 1}
+    assert quality.sampled_features(junk(20000).encode()).shape == (quality.SAMPLE_LINES, 3 * quality.OWN + 3)
+    import numpy as np
+
+    text = good(300).encode()
+    whole, part = quality.features([text])[2], quality.sampled_features(text, 40)
+    assert any(np.array_equal(part, whole[i : i + 40]) for i in range(261))
+    same = documents(spark, [(1, junk(3), "en", "s")] * 5000 + [(2, good(3), "en", "s")])
+    taught = quality.train(same, spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int"))
+    assert isinstance(taught, quality.Crf)
+
+
 def test_language_model(spark):
     from collections import Counter, defaultdict
 
@@ -666,7 +698,8 @@ def test_pipeline(spark, tmp_path):
     unique = {t: i for i, t in sorted(((i, texts[i]) for i in seen["quality"]), reverse=True)}
     assert seen["near_dedup"] == set(unique.values()) and seen["mix"] <= seen["near_dedup"]
     out = corpus_pipeline.run(spark, path)
-    assert {r.doc_id for r in out.collect()} == seen["mix"] and out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert {r.doc_id for r in out.collect()} == seen["mix"] and out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    assert all(hashlib.sha256(r.ids).hexdigest() == r.ids_sha256 and len(r.ids) == 4 * r.n_tokens for r in out.collect())
 
 
 def test_entry_has_every_query():

@@ -143,6 +143,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def digest(encoded: DataFrame) -> DataFrame:
+def digest(encoded: DataFrame, *also: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of ids and decoded text of every row, and the columns named."""
     sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
-    return encoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), sha("ids").alias("ids_sha256"), sha("decoded").alias("decoded_sha256"))
+    return encoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), sha("ids").alias("ids_sha256"), sha("decoded").alias("decoded_sha256"), *also)

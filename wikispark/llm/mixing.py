@@ -7,7 +7,7 @@ takes a superset, and a target above the source's size takes whole repeats first
 
 Definitions. size: words of the text, null or empty text 0. Sources are ranked by code point, null last (null is a
 source of its own), and weigh 5, 2, 1, 5, 2, 1 ...; a document without an id is hashed by its text; rows with equal ids
-share their hash and are taken or left together. An empty table gives an empty result; sources of size 0 get target 0.
+are told apart by their texts and, where these are equal too, by numbers, and each has a hash of its own. An empty table gives an empty result; sources of size 0 get target 0.
 """
 
 from __future__ import annotations
@@ -16,10 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wikispark.llm.common import WORD, materialise, packed
+from wikispark.llm.common import WORD, materialise
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
+SALTS = 1024  # of equal rows
 LEVELS = ((20, 4096), (8, 4096), (0, 256))  # (bits to the right of this level's digit, digits)
 
 
@@ -27,9 +28,34 @@ def size_of(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def hash_of(doc_id: Column, text: Column) -> Column:
-    """The first 32 bits of MD5, which SQL engines share."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), text, F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
+def first_bits(digest: Column) -> Column:
+    """The first 32 bits of an MD5 digest, which SQL engines share."""
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+
+
+def hashed(docs: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """The columns of docs(doc_id, text) and h, a 32-bit hash of each row: of its id, or its text without one.
+
+    Rows that share it are hashed by id, text and a number among equal ones: numbered by a salt first, then by the counts
+    of the salts before, so that very many equal rows are not dealt to one task.
+    """
+    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")).cast("binary"))
+    rows = docs.select(*[c.alias(k) for k, c in columns.items()], digest.alias("m"))
+    often = docs.groupBy(digest.alias("often")).agg(F.count("*").alias("n")).where("n > 1").select("often")
+    often = materialise(often, "mix-often")
+    if not often.limit(1).count():
+        return rows.select(*columns, first_bits(F.col("m")).alias("h"))
+    words = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    rows = docs.select(*[c.alias(k) for k, c in columns.items()], digest.alias("m"), words.alias("t"), (F.monotonically_increasing_id() % SALTS).alias("salt"))
+    rows = rows.join(often, F.col("m") == F.col("often"), "left")
+    several = materialise(rows.where("often IS NOT NULL"), "mix-several")
+    counts = several.groupBy("m", "t", "salt").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("m", "t").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    places = counts.select("m", "t", "salt", before.alias("before"))
+    nth = F.row_number().over(W.partitionBy("m", "t", "salt").orderBy("m")) - 1
+    numbered = several.withColumn("nth", nth).join(places, ["m", "t", "salt"])
+    own = F.md5(F.concat_ws(":", "m", "t", (F.col("nth") + F.col("before")).cast("string")).cast("binary"))
+    return rows.where("often IS NULL").select(*columns, first_bits(F.col("m")).alias("h")).unionByName(numbered.select(*columns, first_bits(own).alias("h")))
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -86,7 +112,8 @@ def thresholds(sized: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT)
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row; docs needs doc_id, text and source."""
-    sized = materialise(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id"), F.col("text")).alias("h")), "mix-sizes")
+    own = {"doc_id": F.col("doc_id"), "source": F.col("source"), "size": size_of(F.col("text"))}
+    sized = materialise(hashed(docs, own), "mix-sizes")
     plan = thresholds(sized, weights, max_repeat).withColumnRenamed("source", "p_source")
     out = sized.join(plan, F.col("source").eqNullSafe(F.col("p_source")), "left")
     times = F.col("copies") + (F.col("h") < F.col("below")).cast("long")
@@ -95,9 +122,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataF
 
 def mixed(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """The mix itself: the rows of docs, each as often as it is taken."""
-    sized = materialise(docs.select("source", size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id"), F.col("text")).alias("h")), "mix-sizes")
-    plan = thresholds(sized, weights, max_repeat)
-    rows = packed(docs, src=F.col("source"), h=hash_of(F.col("doc_id"), F.col("text")))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = hashed(docs, {"row": row, "src": F.col("source"), "size": size_of(F.col("text"))})
+    plan = thresholds(materialise(rows.select(F.col("src").alias("source"), "size", "h"), "mix-sizes"), weights, max_repeat)
     out = rows.join(plan, F.col("src").eqNullSafe(F.col("source")))
     times = (F.col("copies") + (F.col("h") < F.col("below")).cast("long")).cast("int")
     return out.select("row", F.explode(F.array_repeat(F.lit(0), times)).alias("again")).select("row.*")
@@ -106,8 +133,8 @@ def mixed(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) -> Dat
 MIX_SQL = """
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 8) AS BIGINT) AS h
-  FROM {documents}),
+         CAST('0x' || substr(CASE WHEN n = 1 THEN m ELSE md5(m || ':' || t || ':' || (row_number() OVER (PARTITION BY m, t) - 1)) END, 1, 8) AS BIGINT) AS h
+  FROM (SELECT *, count(*) OVER (PARTITION BY m) AS n FROM (SELECT *, md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS m, md5(coalesce(text, '')) AS t FROM {documents}))),
 sums AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rk
   FROM sized GROUP BY source),

@@ -5,7 +5,7 @@ so equal windows have equal anchors at the same place and about one run in fifte
 
 1. Confirm: anchors are counted; windows whose anchor occurs once cannot recur. The others meet by anchor and hash of the
    window (128 bits together), packed by anchor; those that start in two places are confirmed, each with one part of the
-   corpus that holds it. That part names the words of their anchors: the phrases.
+   corpus that holds it. That part names the first words of their anchors: the phrases.
 2. Compile: phrases go by hash to shards of a bounded number of windows, each an Aho-Corasick automaton of its phrases
    and the sorted hashes of the confirmed windows around them, written to the shared folder.
 3. Locate: all documents stream through all shards. An automaton finds every occurrence of a phrase; the windows around it
@@ -14,7 +14,7 @@ so equal windows have equal anchors at the same place and about one run in fifte
 
 Words are coded as 16 bits in an automaton, so that its nodes have at most 256 children; what such a code takes for a
 phrase without being it fails at the confirmed windows. Shards grow with the distinct repeated text, and each is read once
-for every CHUNK bytes of text. The parts of step 1 are rows of one file of the table that step 1 writes, and their
+for every LOCATED bytes of text. The parts of step 1 are rows of one file of the table that step 1 writes, and their
 anchors and windows come back in a folder for each part.
 
 Definitions. Words are runs of characters other than ASCII white space, unchanged. A window goes if its words also start
@@ -35,7 +35,8 @@ from pyspark.sql import types as T
 from wikispark.llm.common import file_system, materialise, parts, remove, shared_dir, write_file
 
 WINDOW, ANCHOR = 35, 8
-CHUNK = 1 << 23  # bytes of text held at a time
+CODED = 5  # words at the start of an anchor that an automaton knows as the phrase
+CHUNK, LOCATED = 1 << 23, 1 << 24  # bytes of text held at a time, and where automata are read for each
 LONG = 64  # bytes of a word that are hashed along with all other words'
 PART = 13  # bits of a row's number within a part
 HOT, SALTS = 1000, 64  # windows of anchors met so often are dealt singly, by their own hash
@@ -263,7 +264,7 @@ def phrases(parted: DataFrame, windows: str, window: int) -> DataFrame:
             starts = np.flatnonzero(np.r_[True, m[1:] != m[:-1]][: len(m)])
             around = kept[starts][:, None] + np.arange(c.reach)
             place = kept[starts] + (c.grams[around] == m[starts][:, None]).argmax(axis=1) if len(starts) else starts
-            codes = c.words[place[:, None] + np.arange(ANCHOR)].astype("<u2") if len(starts) else np.zeros((0, ANCHOR), "<u2")
+            codes = c.words[place[:, None] + np.arange(CODED)].astype("<u2") if len(starts) else np.zeros((0, CODED), "<u2")
             ends = pa.array(np.r_[starts, len(m)].astype(np.int32))
             cells = [pa.array(m[starts].view(np.int64)), pa.array([x.tobytes() for x in codes], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(h.view(np.int64)))]
             yield pa.RecordBatch.from_arrays(cells, names=["anchor", "words", "hashes"])
@@ -312,6 +313,8 @@ def locate(c: Chunk, folder: str, shards: int):
     import numpy as np
 
     n, gone = len(c.words), np.zeros(len(c.words), bool)
+    coded = c.words.astype("<u2")
+    c.words = c.grams = None  # what is needed of them is at hand
     valid = np.flatnonzero(c.valid)
     own, of = np.unique(c.anchors[valid], return_inverse=True)
     for shard in range(shards if len(valid) else 0):
@@ -324,11 +327,11 @@ def locate(c: Chunk, folder: str, shards: int):
                 continue
             automaton, of_h, of_m = pickle.load(file)
         chosen = np.flatnonzero(spread(near, c.window, n))
-        codes = c.words[chosen].astype("<u2").tobytes().decode("latin-1")
+        codes = coded[chosen].tobytes().decode("latin-1")
         ends = np.fromiter((end for end, _ in automaton.iter(codes)), np.int64)
         del automaton, codes
         ends = ends[ends % 2 == 1] // 2  # the place of the last word, where both of its bytes ended
-        starts = chosen[ends - (ANCHOR - 1)]
+        starts = chosen[ends - (CODED - 1)]
         asked = np.flatnonzero(spread(np.maximum(starts - c.reach + 1, 0), c.reach, len(c.valid)) & c.valid)
         asked = asked[both_held(c.hashes[asked], c.anchors[asked], of_h, of_m)]
         gone |= spread(asked, c.window, n)
@@ -355,10 +358,9 @@ def cut(docs: DataFrame, window: int = WINDOW, shard: int = SHARD, hot: int = HO
         import pyarrow as pa
 
         spans_type = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-        for b in parts(batches, 1, CHUNK):
+        for b in parts(batches, 1, LOCATED):
             texts = b.column(1).to_pylist()
             c = Chunk(texts, window)
-            c.grams = None  # only for the anchors, which are there
             gone = locate(c, folder, shards)
             removed, spans, kept = [], [], []
             for end, size in zip(c.ends.tolist(), c.sizes.tolist(), strict=True):

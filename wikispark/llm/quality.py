@@ -3,9 +3,9 @@
 Every line is good or bad. A line's features and those of its neighbours give it a score, and the chain gives one for
 keeping or changing the label from line to line; forward and backward sums give each line's probability of being good,
 and the mean over lines weighted by their length is the document's quality. The field is fitted here on a bounded sample
-of labelled documents (about `sample` documents of at most SAMPLE_CHARS characters, half of each label as far as there
-are, chosen by a hash of the id): features are computed in Spark, the few thousand short documents come to the driver. A
-line takes its document's label, of which the share NOISE is taken as wrong, line by line: so the chain sees changes of
+of labelled documents (about `sample` documents, half of each label as far as there are, chosen by a hash of the id):
+features are computed in Spark, and of each document at most SAMPLE_LINES consecutive lines come to the driver, from a
+place that a hash of the text names, so that long documents teach as well and the driver holds a bounded number. A line takes its document's label, of which the share NOISE is taken as wrong, line by line: so the chain sees changes of
 label, and scores stay graded where the labels could be told apart without doubt.
 
 Scoring reads every text whole, in batches of bounded size. Texts of more than LINES lines run through the chain in blocks
@@ -13,7 +13,8 @@ of lines with carried state: forward over the blocks, then backward; what is kep
 
 Definitions. Lines end at LF; a null or empty text is one empty line; lines without characters weigh nothing unless all
 are so. If the labelled documents are of one kind only, every score is 1 or 0 accordingly; without any, 1. Labels that
-are null or of unknown documents teach nothing; of rows that repeat an id or a label each counts.
+are null or of unknown documents teach nothing; of rows that repeat an id the text with the smallest hash teaches, once for
+each label that the id has.
 """
 
 from collections import Counter
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 
 from wikispark.llm.common import packed, parts, row_bucket, text_runs
 
-SAMPLE, SAMPLE_CHARS = 3000, 20_000
+SAMPLE, SAMPLE_LINES = 3000, 128
 STEPS, RATE, DECAY = 80, 0.2, 1e-4
 THRESHOLD = 0.7
 NOISE = 0.02
@@ -98,6 +99,23 @@ def features(texts: list[bytes]):
     return counts, *line_features(lines, np.array(repeated), first, last)
 
 
+def sampled_features(text: bytes, most: int = SAMPLE_LINES):
+    """The features of a text's lines, or of `most` consecutive ones from a place that its hash names."""
+    import numpy as np
+    import xxhash
+
+    own = text.split(b"\n")
+    seen, n = Counter(own), len(own)
+    at = xxhash.xxh64_intdigest(text) % (n - most + 1) if n > most else 0
+    end = min(n, at + most)
+    a, b = max(0, at - 1), min(n, end + 1)  # with the neighbours
+    lines = own[a:b]
+    repeated = np.array([float(seen[line] > 1 and len(line) > 0) for line in lines])
+    first, last = np.zeros(len(lines)), np.zeros(len(lines))
+    first[0], last[-1] = a == 0, b == n
+    return line_features(lines, repeated, first, last)[1][at - a : end - a]
+
+
 def scan(carry, moves):
     """The states after each move (a row vector times its matrix), scaled to a sum of 1: chunks of moves side by side."""
     import numpy as np
@@ -274,15 +292,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Crf | flo
     n = {k: x for k, x in labels.groupBy((F.col("quality") > 0).alias("good")).count().collect()}
     share = F.when(F.col("quality") > 0, F.lit(sample / 2 / max(1, n.get(True, 0)))).otherwise(F.lit(sample / 2 / max(1, n.get(False, 0))))
     labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < share * (1 << 40))
-    rows = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(labels), "doc_id")  # about `sample` rows
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(labels), "doc_id")  # about `sample` ids
+    rows = rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches):
         import pyarrow as pa
 
-        for b in (b for b in batches if b.num_rows):
-            counts, _, x = features([t.encode("utf-8", "surrogatepass") for t in b.column(0).to_pylist()])
-            start = np.cumsum(counts) - counts
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([x[a : a + k].tobytes() for a, k in zip(start, counts, strict=True)], pa.binary())], names=["quality", "x"])
+        for b in batches:
+            each = [sampled_features(t.encode("utf-8", "surrogatepass")).tobytes() for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(each, pa.binary())], names=["quality", "x"])
 
     got = rows.select("text", "quality").mapInArrow(run, "quality int, x binary").orderBy("x", "quality").toPandas()
     if not len(got):
