@@ -332,7 +332,8 @@ def locate(c: Chunk, folder: str, shards: int):
         del automaton, codes
         ends = ends[ends % 2 == 1] // 2  # the place of the last word, where both of its bytes ended
         starts = chosen[ends - (CODED - 1)]
-        asked = np.flatnonzero(spread(np.maximum(starts - c.reach + 1, 0), c.reach, len(c.valid)) & c.valid)
+        first = np.maximum(starts - c.reach + 1, 0)
+        asked = np.flatnonzero(spread(first[first < len(c.valid)], c.reach, len(c.valid)) & c.valid)
         asked = asked[both_held(c.hashes[asked], c.anchors[asked], of_h, of_m)]
         gone |= spread(asked, c.window, n)
     return gone
