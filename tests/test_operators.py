@@ -248,6 +248,20 @@ def test_cycles(spark):
     assert cycle(edges) == {(a, b) for a, b in edges if (b, a) in reach}
 
 
+def test_long_rings_and_paths_take_logarithmic_rounds(spark, monkeypatch):
+    rounds = []
+    settle = G.settle
+    monkeypatch.setattr(G, "settle", lambda df: rounds.append(1) or settle(df))
+    n = 5000
+    ring = spark.range(n).select(F.col("id").alias("a"), ((F.col("id") + 1) % n).alias("b"))
+    assert G.cycle_edges(ring).count() == n and len(rounds) <= 25
+    rounds.clear()
+    short = spark.range(400).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))  # a path, two rings that share a run, a loop, a tail
+    more = spark.createDataFrame([(200, 100), (250, 250), (150, 0)], "a long, b long")
+    got = {(r.a, r.b) for r in G.cycle_edges(short.unionByName(more)).collect()}
+    assert got == {(i, i + 1) for i in range(200)} | {(200, 100), (150, 0), (250, 250)} and len(rounds) <= 60
+
+
 def test_audit(spark):
     tree = spark.createDataFrame([("r", None, "root", "R", 0), ("x", "r", "leaf-cluster", "X", 0), ("y", "r", "leaf-cluster", "Y", 1)], T.TREE)
     pages = spark.createDataFrame([("r", "[[x]] [[r]]"), ("x", "é[[r]] [[nope]] [[y|Y]]\nclick node-1 \"y.html\" click B \"cb\"")], "slug string, body string")

@@ -52,17 +52,42 @@ def connected(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def _trim(edges: DataFrame) -> DataFrame:
-    """Drops edges at nodes without predecessors or without successors, again and again: none of them lies on a cycle."""
-    n = edges.count()
-    while n:
-        tails, heads = edges.select(F.col("a").alias("b")).distinct(), edges.select(F.col("b").alias("a")).distinct()
-        edges = settle(edges.join(tails, "b", "left_semi").join(heads, "a", "left_semi").select("a", "b"))
-        m = edges.count()
-        if m == n:
-            break
-        n = m
-    return edges
+def _follow(edges: DataFrame, on: DataFrame) -> DataFrame:
+    """edges(a, b), on(a, b, x, y: the only edge that follows) → (a, b, x, y) with (x, y) the last edge of the chain of each.
+
+    Pointers double: a chain of any length is followed in a logarithm of it. What still has a next edge after that lies on
+    a ring, all of whose nodes have one edge in and one out; its edges get null.
+    """
+    state = settle(on)
+    for _ in range(max(1, edges.count()).bit_length() + 1):
+        ahead = state.select(F.col("a").alias("ka"), F.col("b").alias("kb"), F.col("x").alias("fx"), F.col("y").alias("fy"))
+        joined = state.join(ahead, (F.col("x") == F.col("ka")) & (F.col("y") == F.col("kb")), "left")
+        state = settle(joined.select("a", "b", F.coalesce("fx", "x").alias("x"), F.coalesce("fy", "y").alias("y"), F.col("fx").isNotNull().alias("moved")))
+        if not state.where("moved").limit(1).count():
+            return edges.join(state.select("a", "b", "x", "y"), ["a", "b"], "left").select("a", "b", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
+    ring = state.select("a", "b", F.when(~F.col("moved"), F.col("x")).alias("x"), F.when(~F.col("moved"), F.col("y")).alias("y"), F.lit(True).alias("chained"))
+    return edges.join(ring, ["a", "b"], "left").select("a", "b", F.when(F.col("chained"), F.col("x")).otherwise(F.col("a")).alias("x"), F.when(F.col("chained"), F.col("y")).otherwise(F.col("b")).alias("y"))
+
+
+def _contract(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct edges (a, b) without loops → (chains(a, b, from_a, to_b), dead ends left out), one step of rake and compress.
+
+    Edges at nodes without predecessors or successors go: none of them lies on a cycle. Of the rest, runs of edges through
+    nodes with one edge in and one out become one edge from the first node to the last; rings get null ends.
+    """
+    tails, heads = edges.select(F.col("a").alias("b")).distinct(), edges.select(F.col("b").alias("a")).distinct()
+    edges = settle(edges.join(tails, "b", "left_semi").join(heads, "a", "left_semi").select("a", "b"))
+    out = edges.groupBy(F.col("a").alias("v")).agg(F.count("*").alias("outs"), F.first("b").alias("next"))
+    into = edges.groupBy(F.col("b").alias("w")).agg(F.count("*").alias("ins"))
+    inner = out.join(into, out["v"] == into["w"]).where("outs = 1 AND ins = 1").select("v", "next")
+    inner = settle(inner)
+    on = edges.join(inner, edges["b"] == inner["v"]).select("a", "b", F.col("b").alias("x"), F.col("next").alias("y"))
+    if not inner.limit(1).count():
+        return edges.select("a", "b", F.col("a").alias("from_a"), F.col("b").alias("to_b")), edges
+    last = settle(_follow(edges, on))
+    start = last.join(inner, last["a"] == inner["v"], "left_anti").select(F.col("a").alias("from_a"), "x", "y")
+    chains = last.join(start, ["x", "y"], "left").select("a", "b", "from_a", F.when(F.col("from_a").isNotNull(), F.col("y")).alias("to_b"))
+    return settle(chains), edges
 
 
 def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -75,28 +100,50 @@ def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _core_cycles(edges: DataFrame) -> DataFrame:
+    """Cycle edges of a graph that contraction leaves as it is.
+
+    Colors spread forward from many pivots at once (the smallest node that reaches each node), and backward within a color
+    from its namesake: what both reach is one component. What is left between and beside them goes on.
+    """
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    color = _spread(nodes.withColumn("color", F.col("node")), edges)
+    ca, cb = color.select(F.col("node").alias("a"), F.col("color").alias("ca")), color.select(F.col("node").alias("b"), F.col("color").alias("cb"))
+    inside = settle(edges.join(ca, "a").join(cb, "b").where("ca = cb"))
+    back = _spread(color.withColumn("color", F.when(F.col("node") == F.col("color"), 0).otherwise(1)), inside.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    core = settle(back.where("color = 0").select("node"))
+    found = inside.join(core, inside["a"] == core["node"], "left_semi").join(core, inside["b"] == core["node"], "left_semi").select("a", "b")
+    rest = settle(inside.join(core, inside["a"] == core["node"], "left_anti").join(core, inside["b"] == core["node"], "left_anti").select("a", "b"))
+    return settle(found.unionByName(cycle_edges(rest))) if rest.limit(1).count() else settle(found)
+
+
 def cycle_edges(edges: DataFrame) -> DataFrame:
     """Edges (a, b) of a directed graph with both ends in one strongly connected component, self-loops included.
 
-    What has no predecessor or successor is trimmed; then colors spread forward (the smallest node that reaches each node),
-    and backward within a color from its namesake: what both reach is one component. Found components leave, and the rest
-    goes on until nothing is left.
+    Dead ends go and chains become one edge, again and again, so that long paths and rings cost a logarithm of their length
+    (`_contract`); chains that close are cycles. Colors spread over the core that stays, and what is found there is carried
+    back to the edges that chains stand for.
     """
-    edges = edges.select("a", "b").distinct()
-    loops = edges.where("a = b")
-    rest, found = _trim(settle(edges.where("a <> b"))), loops
-    while rest.limit(1).count():
-        nodes = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        color = _spread(nodes.withColumn("color", F.col("node")), rest)
-        ca, cb = color.select(F.col("node").alias("a"), F.col("color").alias("ca")), color.select(F.col("node").alias("b"), F.col("color").alias("cb"))
-        inside = settle(rest.join(ca, "a").join(cb, "b").where("ca = cb"))
-        back = _spread(color.withColumn("color", F.when(F.col("node") == F.col("color"), 0).otherwise(1)), inside.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        core = back.where("color = 0").select("node")
-        in_core = inside.join(core, inside["a"] == core["node"], "left_semi").join(core, inside["b"] == core["node"], "left_semi").select("a", "b")
-        found = found.unionByName(in_core)
-        outside = rest.join(core, rest["a"] == core["node"], "left_anti").join(core, rest["b"] == core["node"], "left_anti")
-        rest = _trim(settle(outside.select("a", "b")))
-    return found.distinct()
+    edges = settle(edges.select("a", "b").distinct())
+    n, steps = edges.count(), []
+    loops = [edges.where("a = b")]
+    rest = edges.where("a <> b")
+    while True:
+        chains, kept = _contract(rest)
+        m = kept.count()
+        if not m:
+            break
+        steps.append(chains)
+        rest = settle(chains.where("from_a <> to_b").select(F.col("from_a").alias("a"), F.col("to_b").alias("b")).distinct())
+        left = rest.count()
+        settled, n = left > 0.9 * n, left  # little was left to contract
+        if settled or not left:
+            break
+    found = _core_cycles(rest) if steps and n else edges.where("false")
+    for chains in reversed(steps):  # a chain is on a cycle if its ends are one node, if it is a ring, or if its edge is
+        up = found.select(F.col("a").alias("from_a"), F.col("b").alias("to_b"), F.lit(True).alias("on"))
+        found = settle(chains.join(up, ["from_a", "to_b"], "left").where("`on` OR from_a IS NULL OR from_a = to_b").select("a", "b"))
+    return loops[0].unionByName(found).distinct()
 
 
 def top_ancestors(parents: DataFrame) -> DataFrame:
