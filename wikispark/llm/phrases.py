@@ -36,7 +36,7 @@ from wikispark.llm.common import file_system, materialise, parts, remove, shared
 
 WINDOW, ANCHOR = 35, 8
 CODED = 5  # words at the start of an anchor that an automaton knows as the phrase
-CHUNK, LOCATED = 1 << 23, 1 << 24  # bytes of text held at a time, and where automata are read for each
+CHUNK, LOCATED = 1 << 22, 1 << 23  # bytes of text held at a time, and where automata are read for each
 LONG = 64  # bytes of a word that are hashed along with all other words'
 PART = 13  # bits of a row's number within a part
 HOT, SALTS = 1000, 64  # windows of anchors met so often are dealt singly, by their own hash
@@ -315,14 +315,14 @@ def locate(c: Chunk, folder: str, shards: int):
     n, gone = len(c.words), np.zeros(len(c.words), bool)
     coded = c.words.astype("<u2")
     c.words = c.grams = None  # what is needed of them is at hand
-    valid = np.flatnonzero(c.valid)
-    own, of = np.unique(c.anchors[valid], return_inverse=True)
-    for shard in range(shards if len(valid) else 0):
+    runs = np.flatnonzero(np.r_[True, c.anchors[1:] != c.anchors[:-1]][: len(c.anchors)])  # of windows with one anchor
+    own, sizes = c.anchors[runs], np.diff(np.r_[runs, len(c.anchors)])
+    for shard in range(shards if c.valid.any() else 0):
         fs, path = file_system(f"{folder}/{shard}")
         if fs.get_file_info(path).type.name != "File":
             continue  # no phrase fell to this shard
         with fs.open_input_file(path) as file:
-            near = valid[held(own, pickle.load(file))[of]]
+            near = np.flatnonzero(np.repeat(held(own, pickle.load(file)), sizes) & c.valid)
             if not len(near):
                 continue
             automaton, of_h, of_m = pickle.load(file)
