@@ -12,6 +12,7 @@ from wikispark.operators import links as L
 from wikispark.operators import notes as N
 from wikispark.operators import pages as P
 from wikispark.operators import registry as R
+from wikispark.operators import search as Q
 from wikispark.operators import tree as T
 from wikispark.operators import vectors as C
 from wikispark.sources import readers as S
@@ -285,10 +286,26 @@ def test_language(spark):
     assert {r.c: r.x for r in rows.select("c", X.guess_language(F.col("c")).alias("x")).collect()} == cases
 
 
-def test_search(spark):
-    index = spark.createDataFrame([("a", "Radar Wave", None, "x"), ("b", "Wave", "radar", ""), ("c", "Other", "", "")], "slug string, title string, summary string, keywords string")
-    asked = spark.createDataFrame([(1, " RADAR  wave "), (2, ""), (3, "wa x"), (4, "zzz")], "query_id int, query string")
-    assert {(r.query_id, r.slug) for r in R.search(asked, index).collect()} == {(1, "a"), (1, "b"), (3, "a")}
+def test_search(spark, tmp_path):
+    index = spark.createDataFrame([("a", "Radar Wave", None, "x"), ("b", "Wave", "radar", ""), ("c", "Other", "", ""), ("d", None, None, None)], "slug string, title string, summary string, keywords string")
+    asked = spark.createDataFrame([(1, " RADAR  wave "), (2, ""), (3, "wa x"), (4, "zzz"), (5, "wave radar"), (6, "é"), (7, "O"), (8, None), (9, "er h")], "query_id int, query string")
+    want = {(1, "a"), (1, "b"), (3, "a"), (5, "a"), (5, "b"), (7, "c"), (9, "c")}
+    assert {(r.query_id, r.slug) for r in Q.search(asked, index).collect()} == want
+    Q.write_index(index, f"file://{tmp_path}/index")
+    found = Q.search(asked, Q.read_index(spark, f"file://{tmp_path}/index"))
+    assert {(r.query_id, r.slug) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_search_with_runs_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(Q, "BLOCK", 7)
+    rng = random.Random(1)
+    texts = {f"p{i}": " ".join("".join(rng.choice("abc") for _ in range(rng.randrange(1, 6))) for _ in range(6)) for i in range(60)}
+    index = spark.createDataFrame([(k, v, None, None) for k, v in texts.items()], "slug string, title string, summary string, keywords string")
+    asked = ["a", "ab", "abc", "ca bb", "abcab", "c a b", "bbb aa", "cabc ba"]
+    got = {(r.query_id, r.slug) for r in Q.search(spark.createDataFrame(list(enumerate(asked)), "query_id int, query string"), index).collect()}
+    assert got == {(i, k) for i, q in enumerate(asked) for k, v in texts.items() if all(t in v + "  " for t in q.split())}
 
 
 def test_link_graph_radius(spark):

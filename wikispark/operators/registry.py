@@ -1,4 +1,4 @@
-"""Analytics over the page registry: search, related pages, navigation, groupings, statistics, the link graph."""
+"""Analytics over the page registry: related pages, navigation, groupings, statistics, the link graph."""
 
 from __future__ import annotations
 
@@ -13,29 +13,6 @@ UNSORTED = "未分类"
 OTHERS = "其他"
 
 
-def search(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """queries(query_id, query), index(slug, title, summary, keywords) → (query_id, slug): every term is part of the row's text.
-
-    Rows are looked up by their terms' character trigrams where a term has three characters, so that a query meets only rows
-    with its rarest trigram; shorter terms are checked on what remains, and queries of short terms only meet all rows.
-    """
-    text = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("summary", F.lit("")), F.lit(" "), F.coalesce("keywords", F.lit(""))))
-    rows = index.select("slug", text.alias("haystack"))
-    asked = queries.select("query_id", X.search_terms(F.col("query")).alias("terms")).where(F.size("terms") > 0)
-    longest = F.array_max(F.transform("terms", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))
-    asked = asked.withColumn("longest", longest)
-    keyed = asked.where(F.col("longest.n") >= 3).select("query_id", "terms", F.explode(F.array_distinct(X.ngrams(F.col("longest.t")))).alias("gram"))
-    held = rows.select("slug", F.explode(F.array_distinct(X.ngrams(F.col("haystack")))).alias("gram"))
-    held = held.join(keyed.select("gram").distinct(), "gram", "left_semi")
-    often = held.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = keyed.join(often, "gram", "left").groupBy("query_id").agg(F.min_by(F.struct("gram", "terms"), F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("k")).select("query_id", "k.gram", "k.terms")
-    near = held.join(rarest, "gram").select("query_id", "slug", "terms")
-    found = near.join(rows, "slug").where(X.search_match(F.col("terms"), F.col("haystack"))).select("query_id", "slug")
-    short = asked.where(F.col("longest.n") < 3).select("query_id", "terms")
-    few = rows.join(short, F.forall("terms", lambda t: F.contains("haystack", t))).select("query_id", "slug")
-    return found.unionByName(few)
-
-
 def related_pages(registry: DataFrame, limit: int = 5, most_tags: int = 8) -> DataFrame:
     """registry(slug, type, tags, pos) → (slug, related_slug, score, rank): the pages that share most tags.
 

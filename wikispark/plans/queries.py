@@ -16,6 +16,7 @@ from wikispark.operators import links as L
 from wikispark.operators import notes as N
 from wikispark.operators import pages as P
 from wikispark.operators import registry as R
+from wikispark.operators import search as Q
 from wikispark.operators import tree as T
 from wikispark.operators import vectors as C
 from wikispark.plans import fixtures as fx
@@ -544,13 +545,31 @@ def win4_prev_next(spark, d):
     return R.prev_next(first)
 
 
-@query("""WITH q AS (SELECT item_id AS query_id, list_filter(string_split_regex(lower(trim((string_split(text, ' '))[1] || ' ' || (string_split(text, ' '))[2])), '\\s+'), lambda t: t <> '') AS terms FROM benchmark)
-SELECT query_id, doc_id AS slug FROM q JOIN (SELECT doc_id, lower(source || ' ' || lang || ' ' || text) AS h FROM documents) ON len(terms) > 0 AND len(list_filter(terms, lambda t: NOT contains(h, t))) = 0""")
+_ASKED = """WITH i AS (SELECT item_id, text, string_split(text, ' ') AS w FROM benchmark), a AS (SELECT item_id * 4 AS query_id, w[1] || ' ' || w[2] AS query FROM i UNION ALL SELECT item_id * 4 + 1, text FROM i
+UNION ALL SELECT item_id * 4 + 2, substr(text, 1, 1) FROM i UNION ALL SELECT item_id * 4 + 3, substr(text, 2, 2) FROM i),
+q AS (SELECT query_id, list_filter(string_split_regex(lower(trim(query)), '\\s+'), lambda t: t <> '') AS terms FROM a)
+SELECT query_id, doc_id AS slug FROM q JOIN (SELECT doc_id, lower(source || ' ' || lang || ' ' || text) AS h FROM documents) ON len(terms) > 0 AND len(list_filter(terms, lambda t: NOT contains(h, t))) = 0"""
+
+
+def _searched(spark, d):
+    """Each item's first two words, its whole text, its first letter, and the two characters after that; in all documents."""
+    words, item = F.split("text", " "), F.col("item_id") * 4
+    forms = [(0, F.concat(words[0], F.lit(" "), words[1])), (1, F.col("text")), (2, F.substring("text", 1, 1)), (3, F.substring("text", 2, 2))]
+    asked = table(spark, d, "benchmark").select(F.explode(F.array(*[F.struct((item + n).alias("query_id"), q.alias("query")) for n, q in forms])).alias("q")).select("q.*")
+    return asked, table(spark, d, "documents").select(F.col("doc_id").alias("slug"), F.col("source").alias("title"), F.col("lang").alias("summary"), F.col("text").alias("keywords"))
+
+
+@query(_ASKED)
 def fn11_search(spark, d):
-    words = F.split("text", " ")
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(words[0], F.lit(" "), words[1]).alias("query"))
-    index = table(spark, d, "documents").select(F.col("doc_id").alias("slug"), F.col("source").alias("title"), F.col("lang").alias("summary"), F.col("text").alias("keywords"))
-    return R.search(asked, index)
+    return Q.search(*_searched(spark, d))
+
+
+@query(_ASKED)
+def fn11_stored_index(spark, d):
+    asked, index = _searched(spark, d)
+    path = Wr.scratch(spark, "search-index")
+    Q.write_index(index, path)
+    return Q.search(asked, Q.read_index(spark, path))
 
 
 @query("SELECT page_id AS page, CAST(0 AS INTEGER) AS pos, 1 AS level, 'section-1' AS id, trim(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')) AS text FROM pages WHERE regexp_matches(html, '(?s)<h1[^>]*>.*</h1>')")
