@@ -11,6 +11,7 @@ from wikispark.operators import graphs as G
 from wikispark.operators import links as L
 from wikispark.operators import notes as N
 from wikispark.operators import pages as P
+from wikispark.operators import rebuild as B
 from wikispark.operators import registry as R
 from wikispark.operators import search as Q
 from wikispark.operators import tree as T
@@ -427,3 +428,25 @@ def test_levels_deeper_than_64(spark):
     assert deepest.depth == 66 and deepest.ancestors == [f"n{i}" for i in range(66)]
     with pytest.raises(ValueError):
         T.levels(spark.createDataFrame([("a", None, 0), ("b", "a", 0), ("b", "b", 1)], schema))
+
+
+def test_rebuild_equals_a_full_build(spark, tmp_path):
+    notes = {f"n{i}": ("t%d" % (i % 3), f"First {i}. Second {i}\nThird. First {i}.") for i in range(40)} | {"empty": ("t0", ""), "null": (None, None)}
+    frame = lambda own: spark.createDataFrame([(k, *v) for k, v in own.items()], "source_id string, topic string, content string")
+    read = lambda root: {n: sorted(map(str, spark.read.parquet(f"{root}/{n}").collect())) for n in ("sources", "atoms", "pages", "topics")}
+    files = lambda root: {p: p.stat().st_mtime_ns for p in (tmp_path / root / "atoms").rglob("*.parquet")}
+    root, full = f"file://{tmp_path}/a", f"file://{tmp_path}/b"
+    B.build(frame(notes), root, 16)
+    before = files("a")
+    assert {r.action: r.sources for r in B.rebuild(frame(notes), root, 16).collect()} == {"left alone": 42} and files("a") == before
+    changed = {k: v for k, v in notes.items() if k != "n7"} | {"n3": ("t0", "Other. Text"), "n4": ("t9", notes["n4"][1]), "new": ("t5", "A. B")}
+    report = {r.action: (r.sources, r.atoms) for r in B.rebuild(frame(changed), root, 16).collect()}
+    assert report["changed"] == (2, 5) and report["new"] == (1, 2) and report["deleted"] == (1, 3)
+    assert report["copied"][0] + report["left alone"][0] == 39 and report["left alone"][0] > 20
+    B.build(frame(changed), full, 16)
+    assert read(root) == read(full)
+    after = files("a")
+    assert sum(before.get(p) == t for p, t in after.items()) >= 8  # parts that nothing touched keep their files
+    few = {k: v for k, v in changed.items() if k == "n3"}
+    B.rebuild(frame(few), root, 16)
+    assert [r.source_id for r in spark.read.parquet(f"{root}/pages").collect()] == ["n3"] and [r.pages for r in spark.read.parquet(f"{root}/topics").collect()] == [1]

@@ -15,6 +15,7 @@ from wikispark.operators import atoms as A
 from wikispark.operators import links as L
 from wikispark.operators import notes as N
 from wikispark.operators import pages as P
+from wikispark.operators import rebuild as B
 from wikispark.operators import registry as R
 from wikispark.operators import search as Q
 from wikispark.operators import tree as T
@@ -736,6 +737,16 @@ def inc1_diff(spark, d):
     return P.diff_sources(old, s.where("topic <> 'fr'").select("source_id", "content"))
 
 
+@query("""SELECT 'doc-' || doc_id AS source_id, lang AS topic, count(k.seq) AS n, md5(coalesce(string_agg('- [definition] ' || claim || chr(10) || '  证据：' || quote, chr(10) ORDER BY k.seq), '')) AS body_md5
+FROM documents LEFT JOIN kept k ON k.source_id = 'doc-' || doc_id WHERE lang <> 'fr' GROUP BY 1, 2""", ("kept",))
+def inc1_rebuild(spark, d):
+    """Pages built from all but German documents, some with other texts, then brought up to all but French ones."""
+    s, root = fx.sources(spark, d), Wr.scratch(spark, "compiled")
+    B.build(s.where("topic <> 'de'").withColumn("content", F.trim("content", F.lit("."))), root)
+    B.rebuild(s.where("topic <> 'fr'"), root)
+    return spark.read.parquet(f"{root}/pages").select("source_id", "topic", "n", F.md5(F.col("body").cast("binary")).alias("body_md5"))
+
+
 def queries() -> dict[str, Query]:
     return {name: fn for name, (fn, _) in FOUND.items()}
 
