@@ -217,6 +217,52 @@ def test_cluster_names(spark):
     assert {x for x, _ in names([0] * 7 + [-1] * 9)} == {"cluster-0", "noise"} and {x for x, _ in names([0] * 15)} == {"cluster-0-0", "cluster-0-1", "cluster-0-2"}
 
 
+def _greedy(vectors, target, max_size, all_mutual):
+    """Groups by merging the closest pair that fits, or all pairs that are each other's best at once."""
+    import numpy as np
+
+    groups = {i: [i] for i in range(len(vectors))}
+    goal = -(-len(vectors) // target)
+    while len(groups) > goal:
+        ids = sorted(groups)
+        mean = np.array([vectors[groups[g]].sum(axis=0) for g in ids])
+        mean /= np.linalg.norm(mean, axis=1, keepdims=True)
+        s = np.round(mean @ mean.T, 12)
+        size = np.array([len(groups[g]) for g in ids])
+        s[(size[:, None] + size[None, :] > max_size) | np.eye(len(ids), dtype=bool)] = -np.inf
+        best = s.argmax(axis=1)
+        pairs = sorted((-s[i, j], ids[i], ids[j]) for i, j in enumerate(best) if s[i, j] > -np.inf and i < j and best[j] == i)
+        if not pairs:
+            break
+        for _, a, b in pairs[: len(groups) - goal] if all_mutual else pairs[:1]:
+            groups[a] += groups.pop(b)
+    return sorted(map(sorted, groups.values()))
+
+
+def test_groups_of_kept_partner_lists(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    clusters = np.repeat(rng.normal(0, 1, (12, 8)), 4, axis=0) + rng.normal(0, 0.02, (48, 8))
+    for vectors, keep, block in ((rng.normal(0, 1, (90, 6)), 2, 2048), (np.round(rng.normal(0, 1, (70, 2)), 1), 3, 25), (clusters, 8, 2048)):
+        vectors = vectors[np.linalg.norm(vectors, axis=1) > 0]
+        df = spark.createDataFrame(list(enumerate(vectors.tolist())), "id long, embedding array<double>")
+        got = {}
+        for r in T.group_once(df, 4, 5, keep, block).collect():
+            got.setdefault(r.group_no, []).append(r.id)
+        assert sorted(map(sorted, got.values())) == _greedy(vectors, 4, 5, True)
+        assert max(map(len, got.values())) <= 5
+    assert sorted(map(sorted, got.values())) == _greedy(clusters, 4, 5, False)  # the same as one pair after another where clusters are told apart
+
+
+def test_strongest_pairs(spark):
+    rng = random.Random(2)
+    rows = [(i, i + 1, round(rng.uniform(-1, 1), 2)) for i in range(300)] + [(900, 901, 1.0), (902, 903, -1.0)]
+    df = spark.createDataFrame(rows, "x long, y long, s double")
+    for most in (0, 1, 77, 302, 400):
+        assert sorted(map(tuple, T.strongest(df, most, 16).collect())) == sorted(sorted(rows, key=lambda r: (-r[2], r[0]))[:most])
+
+
 def test_tree_building(spark):
     rng = random.Random(5)
     rows = [(f"concept-{i:03d}", f"l{i}", [rng.gauss(0, 1) for _ in range(4)]) for i in range(37)]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wikispark.functions import text as X
 from wikispark.functions import vectors as V
 from wikispark.operators.graphs import numbered, settle
-from wikispark.operators.vectors import block_pairs, centroids
+from wikispark.operators.vectors import centroids
 
 TREE = "slug string, parent_slug string, kind string, label string, ordinal int"
 
@@ -194,52 +194,109 @@ def group_label(labels) -> object:
     return F.concat(F.array_join(F.slice(labels, 1, 2), "、"), F.when(F.size(labels) > 2, " 等").otherwise(""))
 
 
-def _best_partners(max_size: int):
-    """For each row of the first block its best partner in the second, among those that fit together."""
+def _partners(groups: DataFrame, keep: int, max_size: int, block: int) -> DataFrame:
+    """groups(g, u, size, fresh, least_s) → (x, y, s): candidates for lists of the `keep` best partners that fit.
 
-    def compare(ia, a, ib, b, same):
+    Each fresh group is held against all groups, in tiles: it gets its keep + 1 best of a tile, and every other group gets
+    as many of the tile's fresh ones that are not below the last similarity of its own list. Similarities have 12 digits.
+    """
+    kind = groups.schema["g"].dataType.simpleString()
+    n, fresh = groups.agg(F.count("*"), F.count_if("fresh")).first()
+    rows, cols = max(1, -(-fresh // block)), max(1, -(-n // block))
+    tile = F.pmod(F.xxhash64("g"), F.lit(1 << 30))
+    own = groups.select("g", "u", "size", "fresh", F.coalesce("least_s", F.lit(-9.0)).alias("least_s"))
+    left = own.where("fresh").select((tile % rows).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("j"), F.lit(True).alias("left"), "*")
+    right = own.select(F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("i"), (tile % cols).cast("int").alias("j"), F.lit(False).alias("left"), "*")
+
+    def run(table):
         import numpy as np
-
-        order = np.argsort(np.array(ib, dtype=object if isinstance(ib[0], str) else None), kind="stable")  # ties to smaller ids
-        s = np.round(a["u"] @ b["u"][order].T, 12)
-        fits = a["size"][:, None] + b["size"][order][None, :] <= max_size
-        fits &= np.array([[p != q for q in (ib[o] for o in order)] for p in ia]) if same else True
-        s = np.where(fits, s, -np.inf)
-        for i, j in enumerate(s.argmax(axis=1).tolist()):
-            if s[i, j] > -np.inf:
-                yield ia[i], ib[order[j]], float(s[i, j])
-
-    return compare
-
-
-def group_once(nodes: DataFrame, target: int = 4, max_size: int = 5) -> DataFrame:
+        import pyarrow as pa
+
+        table = table.sort_by("g")
+        ids, size, is_left, is_fresh = (table.column(c).combine_chunks() for c in ("g", "size", "left", "fresh"))
+        u = table.column("u").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        size, is_left, is_fresh = (c.to_numpy(zero_copy_only=False) for c in (size, is_left, is_fresh))
+        least = table.column("least_s").to_numpy()
+        a, b = np.flatnonzero(is_left), np.flatnonzero(~is_left)
+        named = ids.dictionary_encode().indices.to_numpy()
+        s = np.round(u[a] @ u[b].T, 12)
+        s[(size[a][:, None] + size[b][None, :] > max_size) | (named[a][:, None] == named[b][None, :])] = -np.inf
+        found = []
+        for of, with_, sims, low in ((a, b, s, np.full(len(a), -9.0)), (b[~is_fresh[b]], a, s[:, ~is_fresh[b]].T, least[b[~is_fresh[b]]])):
+            if len(of) and len(with_):
+                best = np.argsort(-sims, axis=1, kind="stable")[:, : keep + 1]  # ids are in order, so ties go to smaller ones
+                top = np.take_along_axis(sims, best, axis=1)
+                i, k = np.nonzero((top > -np.inf) & (top >= low[:, None]))
+                found.append((of[i], with_[best[i, k]], top[i, k]))
+        x, y, v = (np.concatenate([f[c] for f in found] or [np.zeros(0)]) for c in range(3))
+        return pa.table([ids.take(pa.array(x.astype(np.int64))), ids.take(pa.array(y.astype(np.int64))), pa.array(v.astype(float))], names=["x", "y", "s"])
+
+    return left.unionByName(right).groupBy("i", "j").applyInArrow(run, f"x {kind}, y {kind}, s double")
+
+
+def strongest(pairs: DataFrame, most: int, bins: int = 4096) -> DataFrame:
+    """The `most` rows of pairs(x, y, s), with s within -1 and 1, that have the largest s (ties to smaller x, y).
+
+    A histogram tells the bin in which the number is reached; only rows of that bin are ordered.
+    """
+    bin_ = F.least(F.lit(bins - 1), F.floor((F.col("s") + 1) / 2 * bins)).alias("bin")
+    counts = {r.bin: r.n for r in pairs.groupBy(bin_).agg(F.count("*").alias("n")).collect()}
+    taken = 0
+    for at in sorted(counts, reverse=True):
+        if taken + counts[at] > most:
+            edge = pairs.where(bin_ == at).orderBy(F.col("s").desc(), "x", "y").limit(most - taken)
+            return pairs.where(bin_ > at).unionByName(edge)
+        taken += counts[at]
+    return pairs
+
+
+def group_once(nodes: DataFrame, target: int = 4, max_size: int = 5, keep: int = 8, block: int = 2048) -> DataFrame:
     """nodes(id, embedding) → (id, group_no): rounds in which groups that are each other's best partner merge.
 
     Partners are the most similar pair by centroid under the size limit (ties to smaller ids); rounds end at about
-    n / target groups or when no pair may merge. Each round at least the closest pair of all merges.
+    n / target groups or when no pair may merge. Each round at least the closest pair of all merges. Every group keeps a
+    list of its `keep` best partners, and where it was cut off, what came last: as long as the list is not used up, its first
+    entry is the best of all. So only groups that a round has merged, or whose list is used up, are compared with all
+    others again; the rest learns of merged groups from the same tiles.
     """
     n, kind = nodes.count(), nodes.schema["id"].dataType.simpleString()
     if n <= max_size:
-        return nodes.select("id", F.lit(0).alias("group_no"))
-    state = settle(nodes.select("id", F.col("id").alias("g"), "embedding"))
-    goal = -(-n // target)
-    while True:
-        groups = settle(centroids(state, "g").join(state.groupBy("g").agg(F.count("*").alias("size")), "g"))
-        left = groups.count()
-        if left <= goal:
-            break
-        units = groups.select(F.col("g").alias("id"), V.unit(F.col("embedding")).alias("u"), F.col("size").cast("int").alias("size"))
-        ends = block_pairs(units, ["u", "size"], _best_partners(max_size), ["x", "y", "s"], f"x {kind}, y {kind}, s double", both=True)
-        rank = F.row_number().over(W.partitionBy("x").orderBy(F.col("s").desc(), F.least("x", "y"), F.greatest("x", "y")))
-        best = ends.withColumn("r", rank).where("r = 1")
-        other = best.select(F.col("x").alias("y"), F.col("y").alias("x"))
-        mutual = best.join(other, ["x", "y"]).where("x < y").select("x", "y", "s").orderBy(F.col("s").desc(), "x", "y").limit(left - goal)
-        merges = settle(mutual.select(F.col("y").alias("from_g"), F.col("x").alias("to_g")))
-        if not merges.limit(1).count():
+        return nodes.select("id", F.lit(0).cast("long").alias("group_no"))
+    members = nodes.select("id", F.col("id").alias("g"))
+    groups = settle(nodes.select(F.col("id").alias("g"), F.col("embedding").cast("array<double>").alias("total"), F.lit(1).alias("size"), F.lit(True).alias("fresh")))
+    lists = groups.sparkSession.createDataFrame([], f"x {kind}, y {kind}, s double")
+    bounds = groups.sparkSession.createDataFrame([], f"b {kind}, least_s double, least_y {kind}")
+    left, goal = n, -(-n // target)
+    while left > goal:
+        units = settle(groups.join(bounds, F.col("g") == F.col("b"), "left").select("g", V.unit(F.col("total")).alias("u"), "size", "fresh", "least_s"))
+        known = _partners(units, keep, max_size, block).unionByName(lists).join(bounds, F.col("x") == F.col("b"), "left")
+        known = known.where("least_s IS NULL OR s > least_s OR (s = least_s AND y <= least_y)")
+        rank = F.row_number().over(W.partitionBy("x").orderBy(F.col("s").desc(), "y"))
+        ranked = settle(known.withColumn("rank", rank).where(F.col("rank") <= keep + 1).select("x", "y", "s", "rank", "least_s", "least_y"))
+        cut = ranked.groupBy("x").agg(F.max("rank").alias("n"), F.max_by(F.struct("s", "y"), F.when(F.col("rank") <= keep, F.col("rank"))).alias("last"), F.first("least_s").alias("ls"), F.first("least_y").alias("ly"))
+        cut = cut.select(F.col("x").alias("b"), F.when(F.col("n") > keep, F.col("last.s")).otherwise(F.col("ls")).alias("least_s"), F.when(F.col("n") > keep, F.col("last.y")).otherwise(F.col("ly")).alias("least_y"))
+        bounds = settle(bounds.join(cut.select("b"), "b", "left_anti").unionByName(cut.where("least_s IS NOT NULL")))
+        best = ranked.where("rank = 1").select("x", "y", "s")
+        merges = best.join(best.select(F.col("y").alias("x"), F.col("x").alias("y")), ["x", "y"]).where("x < y")
+        merges = settle(merges)
+        found = merges.count()
+        if found > left - goal:
+            merges = settle(strongest(merges, left - goal))
+        if not found:
             break
-        state = settle(state.join(merges, state["g"] == merges["from_g"], "left").select("id", F.coalesce("to_g", "g").alias("g"), "embedding"))
-    numbers = numbered(state.groupBy("g").agg(F.min("id").alias("least")), ["least"], "group_no")
-    return state.join(numbers, "g").select("id", "group_no")
+        gone = settle(merges.select(F.explode(F.array("x", "y")).alias("g")))
+        lists = settle(ranked.where(F.col("rank") <= keep).select("x", "y", "s").join(gone.withColumnRenamed("g", "x"), "x", "left_anti").join(gone.withColumnRenamed("g", "y"), "y", "left_anti"))
+        bounds = settle(bounds.join(gone.withColumnRenamed("g", "b"), "b", "left_anti"))
+        used_up = bounds.join(lists.select(F.col("x").alias("b")), "b", "left_anti").select(F.col("b").alias("g"), F.lit(True).alias("again"))
+        side = lambda c, name: groups.select(F.col("g").alias(c), F.col("total").alias(f"total_{name}"), F.col("size").alias(f"size_{name}"))
+        joined = merges.join(side("x", "a"), "x").join(side("y", "b"), "y").select(F.col("x").alias("g"), F.zip_with("total_a", "total_b", lambda p, q: p + q).alias("total"), (F.col("size_a") + F.col("size_b")).alias("size"), F.lit(True).alias("fresh"))
+        rest = groups.join(gone, "g", "left_anti").join(used_up, "g", "left").select("g", "total", "size", F.coalesce("again", F.lit(False)).alias("fresh"))
+        groups = settle(rest.unionByName(joined))
+        bounds = bounds.join(lists.select(F.col("x").alias("b")), "b", "left_semi")
+        members = settle(members.join(merges.select(F.col("y").alias("g"), F.col("x").alias("to_g")), "g", "left").select("id", F.coalesce("to_g", "g").alias("g")))
+        left -= min(found, left - goal)
+    numbers = numbered(members.groupBy("g").agg(F.min("id").alias("least")), ["least"], "group_no")
+    return members.join(numbers, "g").select("id", "group_no")
 
 
 def build_tree(leaves: DataFrame, topic: str = "", max_size: int = 5, model: Callable | None = None) -> DataFrame:
