@@ -243,8 +243,8 @@ def test_groups_of_kept_partner_lists(spark):
     import numpy as np
 
     rng = np.random.default_rng(4)
-    clusters = np.repeat(rng.normal(0, 1, (12, 8)), 4, axis=0) + rng.normal(0, 0.02, (48, 8))
-    for vectors, keep, block in ((rng.normal(0, 1, (90, 6)), 2, 2048), (np.round(rng.normal(0, 1, (70, 2)), 1), 3, 25), (clusters, 8, 2048)):
+    clusters = np.repeat(rng.normal(0, 1, (6, 8)), 4, axis=0) + rng.normal(0, 0.02, (24, 8))
+    for vectors, keep, block in ((np.round(rng.normal(0, 1, (40, 2)), 1), 2, 15), (clusters, 8, 2048)):
         vectors = vectors[np.linalg.norm(vectors, axis=1) > 0]
         df = spark.createDataFrame(list(enumerate(vectors.tolist())), "id long, embedding array<double>")
         got = {}

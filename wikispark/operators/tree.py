@@ -266,7 +266,7 @@ def group_once(nodes: DataFrame, target: int = 4, max_size: int = 5, keep: int =
     groups = settle(nodes.select(F.col("id").alias("g"), F.col("embedding").cast("array<double>").alias("total"), F.lit(1).alias("size"), F.lit(True).alias("fresh")))
     lists = groups.sparkSession.createDataFrame([], f"x {kind}, y {kind}, s double")
     bounds = groups.sparkSession.createDataFrame([], f"b {kind}, least_s double, least_y {kind}")
-    left, goal = n, -(-n // target)
+    left, goal, merged = n, -(-n // target), []
     while left > goal:
         units = settle(groups.join(bounds, F.col("g") == F.col("b"), "left").select("g", V.unit(F.col("total")).alias("u"), "size", "fresh", "least_s"))
         known = _partners(units, keep, max_size, block).unionByName(lists).join(bounds, F.col("x") == F.col("b"), "left")
@@ -275,7 +275,7 @@ def group_once(nodes: DataFrame, target: int = 4, max_size: int = 5, keep: int =
         ranked = settle(known.withColumn("rank", rank).where(F.col("rank") <= keep + 1).select("x", "y", "s", "rank", "least_s", "least_y"))
         cut = ranked.groupBy("x").agg(F.max("rank").alias("n"), F.max_by(F.struct("s", "y"), F.when(F.col("rank") <= keep, F.col("rank"))).alias("last"), F.first("least_s").alias("ls"), F.first("least_y").alias("ly"))
         cut = cut.select(F.col("x").alias("b"), F.when(F.col("n") > keep, F.col("last.s")).otherwise(F.col("ls")).alias("least_s"), F.when(F.col("n") > keep, F.col("last.y")).otherwise(F.col("ly")).alias("least_y"))
-        bounds = settle(bounds.join(cut.select("b"), "b", "left_anti").unionByName(cut.where("least_s IS NOT NULL")))
+        bounds = bounds.join(cut.select("b"), "b", "left_anti").unionByName(cut.where("least_s IS NOT NULL"))
         best = ranked.where("rank = 1").select("x", "y", "s")
         merges = best.join(best.select(F.col("y").alias("x"), F.col("x").alias("y")), ["x", "y"]).where("x < y")
         merges = settle(merges)
@@ -284,17 +284,20 @@ def group_once(nodes: DataFrame, target: int = 4, max_size: int = 5, keep: int =
             merges = settle(strongest(merges, left - goal))
         if not found:
             break
-        gone = settle(merges.select(F.explode(F.array("x", "y")).alias("g")))
+        gone = merges.select(F.explode(F.array("x", "y")).alias("g"))
         lists = settle(ranked.where(F.col("rank") <= keep).select("x", "y", "s").join(gone.withColumnRenamed("g", "x"), "x", "left_anti").join(gone.withColumnRenamed("g", "y"), "y", "left_anti"))
-        bounds = settle(bounds.join(gone.withColumnRenamed("g", "b"), "b", "left_anti"))
+        bounds = bounds.join(gone.withColumnRenamed("g", "b"), "b", "left_anti")
         used_up = bounds.join(lists.select(F.col("x").alias("b")), "b", "left_anti").select(F.col("b").alias("g"), F.lit(True).alias("again"))
         side = lambda c, name: groups.select(F.col("g").alias(c), F.col("total").alias(f"total_{name}"), F.col("size").alias(f"size_{name}"))
         joined = merges.join(side("x", "a"), "x").join(side("y", "b"), "y").select(F.col("x").alias("g"), F.zip_with("total_a", "total_b", lambda p, q: p + q).alias("total"), (F.col("size_a") + F.col("size_b")).alias("size"), F.lit(True).alias("fresh"))
         rest = groups.join(gone, "g", "left_anti").join(used_up, "g", "left").select("g", "total", "size", F.coalesce("again", F.lit(False)).alias("fresh"))
         groups = settle(rest.unionByName(joined))
-        bounds = bounds.join(lists.select(F.col("x").alias("b")), "b", "left_semi")
-        members = settle(members.join(merges.select(F.col("y").alias("g"), F.col("x").alias("to_g")), "g", "left").select("id", F.coalesce("to_g", "g").alias("g")))
+        bounds = settle(bounds.join(lists.select(F.col("x").alias("b")), "b", "left_semi"))
+        merged.append(merges.select(F.col("y").alias("g"), F.col("x").alias("to_g")))
         left -= min(found, left - goal)
+    for step in merged:
+        members = members.join(step, "g", "left").select("id", F.coalesce("to_g", "g").alias("g"))
+    members = settle(members)
     numbers = numbered(members.groupBy("g").agg(F.min("id").alias("least")), ["least"], "group_no")
     return members.join(numbers, "g").select("id", "group_no")
 

@@ -684,9 +684,21 @@ def page5_site(spark, d):
     return P.site_pages(fx.tree(spark, d), fx.wiki_pages(spark, d))
 
 
-@query("SELECT doc_id, length(" + _CLEAN.format(_HTML.format("text")) + ") AS chars FROM documents WHERE text NOT LIKE '%`%' AND text NOT LIKE '%>%' AND NOT contains(text, chr(13))")
+_LINES = "regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g')"
+_INLINE = [("(?m)^#### (.+)$", r"<h4>\1</h4>"), ("(?m)^### (.+)$", r"<h3>\1</h3>"), ("(?m)^## (.+)$", r"<h2>\1</h2>"), ("(?m)^# (.+)$", r"<h1>\1</h1>"), (r"\*\*(.+?)\*\*", r"<strong>\1</strong>"), (r"\*(.+?)\*", r"<em>\1</em>"), ("`([^`]+)`", r"<code>\1</code>"),
+    ("(?m)^- (.+)$", r"<li>\1</li>"), ("(?m)^> (.+)$", r"<blockquote>\1</blockquote>"), ("(?m)^---$", "<hr>"), (r"\[\[([^\]]+)\]\]", r'<a href="\1.html">\1</a>'), (r"((?:<li>.*</li>\n?)+)", r"<ul>\1</ul>")]
+_WHOLE = _LINES
+for _a, _b in [*_INLINE, (r"\n{2,}", "</p><p>")]:
+    _WHOLE = f"regexp_replace({_WHOLE}, '{_a}', '{_b}', 'g')"
+_WHOLE = f"'<p>' || {_WHOLE} || '</p>'"
+for _a, _b in [("<p></p>", ""), ("<p>(<h[1-6]>)", r"\1"), ("(</h[1-6]>)</p>", r"\1"), ("<p>(<ul>)", r"\1"), ("(</ul>)</p>", r"\1"), ("<p>(<blockquote>)", r"\1"), ("(</blockquote>)</p>", r"\1"), ("<p>(<hr>)</p>", r"\1")]:
+    _WHOLE = f"regexp_replace({_WHOLE}, '{_a}', '{_b}', 'g')"
+
+
+@query(f"SELECT doc_id, length(html) AS chars, md5(html) AS html_md5 FROM (SELECT doc_id, {_WHOLE} AS html FROM documents)")
 def page4_html(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.length(P.markdown_to_html(F.col("text"))).cast("long").alias("chars"))
+    rows = table(spark, d, "documents").select("doc_id", P.markdown_to_html(F.col("text")).alias("html"))
+    return rows.select("doc_id", F.length("html").cast("long").alias("chars"), F.md5(F.col("html").cast("binary")).alias("html_md5"))
 
 
 @query("SELECT count(*) AS cnt, list(slug ORDER BY pre_no) AS slugs FROM pre", ("pre",))
