@@ -10,6 +10,7 @@ from wikispark.functions import text as X
 from wikispark.operators.graphs import settle
 from wikispark.operators.tree import orders
 
+# Texts that stand for what a page lacks.
 NO_QUOTE, NO_ATOMS, SEE_WIKI = "(无)", "(本节点无直接关联的 atom，请基于子节点概要 roll-up 撰写)", "*(详见 wiki)*"
 
 
@@ -59,6 +60,7 @@ def _wrap_lists(html: Column) -> Column:
 def markdown_to_html(body: Column, links: str = "page") -> Column:
     """The rules in their fixed order; anchor mode has no horizontal rules and no clean-up."""
     page = links == "page"
+    # fixed values: the rules and their order
     md = F.regexp_replace(F.coalesce(body, F.lit("")), "\r\n?", "\n")
     rules = [(r"(?m)^#### (.+)$", "<h4>$1</h4>"), (r"(?m)^### (.+)$", "<h3>$1</h3>"), (r"(?m)^## (.+)$", "<h2>$1</h2>"), (r"(?m)^# (.+)$", "<h1>$1</h1>"), (r"\*\*(.+?)\*\*", "<strong>$1</strong>"), (r"\*(.+?)\*", "<em>$1</em>"), (r"`([^`]+)`", "<code>$1</code>"), (r"(?m)^- (.+)$", "<li>$1</li>"), (r"(?m)^> (.+)$", "<blockquote>$1</blockquote>")]
     for pattern, to in rules + [(r"(?m)^---$", "<hr>")] * page:

@@ -310,6 +310,16 @@ def fn4_cosine(spark, d):
     return fx.vecs(spark, d).select("id", F.round(V.norm(F.col("embedding")), 6).alias("length"), V.cosine(F.col("embedding"), zero).alias("none"))
 
 
+@query(f"{_UNIT} SELECT a.vec_id AS id, round(list_dot_product(a.u, b.u), 6) AS next_one, round(list_dot_product(a.u, c.u), 6) AS mirrored FROM u a JOIN u b ON b.vec_id = a.vec_id + 1 JOIN u c ON c.vec_id = (SELECT max(vec_id) FROM u) - a.vec_id")
+def fn4_cosine_pairs(spark, d):
+    v = fx.vecs(spark, d).select("id", "embedding")
+    last = v.agg(F.max("id").alias("last"))
+    nxt = v.select((F.col("id") - 1).alias("id"), F.col("embedding").alias("b"))
+    mirrored = v.crossJoin(F.broadcast(last)).select((F.col("last") - F.col("id")).alias("id"), F.col("embedding").alias("c"))
+    rows = v.join(nxt, "id").join(mirrored, "id")
+    return rows.select("id", F.round(V.cosine(F.col("embedding"), F.col("b")), 6).alias("next_one"), F.round(V.cosine(F.col("embedding"), F.col("c")), 6).alias("mirrored"))
+
+
 @query()
 def udf2_embed(spark, d):
     docs = table(spark, d, "documents")
