@@ -493,6 +493,10 @@ def test_rebuild_equals_a_full_build(spark, tmp_path):
     assert read(root) == read(full)
     after = files("a")
     assert sum(before.get(p) == t for p, t in after.items()) >= 8  # parts that nothing touched keep their files
+    stale = spark.read.parquet(f"{root}/sources").withColumn("sha", F.when(F.col("source_id") == "n3", "").otherwise(F.col("sha"))).collect()  # as if cut off before the hashes
+    B._write(spark.createDataFrame(stale, "source_id string, topic string, sha string, part int"), root, "sources")
+    B.rebuild(frame(changed), root, 16)
+    assert read(root) == read(full)
     few = {k: v for k, v in changed.items() if k == "n3"}
     B.rebuild(frame(few), root, 16)
     assert [r.source_id for r in spark.read.parquet(f"{root}/pages").collect()] == ["n3"] and [r.pages for r in spark.read.parquet(f"{root}/topics").collect()] == [1]

@@ -106,9 +106,11 @@ def rebuild(sources: DataFrame, root: str, parts: int = PARTS, fn: Callable | No
     again = F.col("topic").eqNullSafe(F.col("moved_topic"))
     counts = topic_counts(fresh["pages"].unionByName(old_pages.where(~inside)).join(topics, again, "left_semi"))
     counts = settle(counts.unionByName(_read(spark, root, "topics").join(topics, again, "left_anti")))
-    for name, rows in fresh.items():
-        left = {r.part for r in rows.select("part").distinct().collect()}
-        _write(rows, root, name)
+    for name in ("atoms", "pages", "topics", "sources"):  # hashes last: a rebuild that was cut off is done again by the next one
+        if name == "topics":
+            counts.write.mode("overwrite").parquet(f"{root}/topics")
+            continue
+        left = {r.part for r in fresh[name].select("part").distinct().collect()}
+        _write(fresh[name], root, name)
         _drop(spark, root, name, "part", [p for p in touched if p not in left])
-    counts.write.mode("overwrite").parquet(f"{root}/topics")
     return report
