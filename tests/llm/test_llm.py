@@ -57,6 +57,19 @@ def test_warc_streams(tmp_path):
 # 2
 
 
+def test_inflating_is_bounded_and_ends_whole():
+    import gzip
+    import io
+
+    members = [gzip.compress(b"\0" * 30_000_000 + b"end"), gzip.compress(b""), gzip.compress(b"x" * 10)]
+    pieces = list(warc.inflate(io.BytesIO(b"".join(members))))
+    assert b"".join(pieces) == b"\0" * 30_000_000 + b"end" + b"x" * 10 and max(map(len, pieces)) <= warc.PIECE
+    for cut in (1, 5, 12):
+        with pytest.raises(EOFError):
+            list(warc.inflate(io.BytesIO(b"".join(members)[:-cut])))
+    assert list(warc.inflate(io.BytesIO(b""))) == []
+
+
 def test_blocks():
     text = lambda page: extract.main_text(extract.blocks(page), [], 10)[0]
     page = '<body class="nav-open"><div id="cookie-banner">We</div><header>Site</header><main><article><header><h1>T&amp;</h1></header><p>a <b>b</b>c &lt;x&gt; 1<2<p>d<br>e<aside>rel</aside><ul><li class="ad">buy<li>y</ul><div class="comments">hi</div><script>var t="</p>";</script></article></main><form>f</form><footer>f'

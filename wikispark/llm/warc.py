@@ -49,14 +49,18 @@ def headers(raw: bytes) -> tuple[dict[str, str], int]:
 
 
 def inflate(stream) -> Iterator[bytes]:
-    """The content of a gzip file of any number of members, in pieces."""
-    engine = zlib.decompressobj(31)
+    """The content of a gzip file of any number of members, in pieces of at most PIECE bytes; an end within a member is an error."""
+    engine, begun = zlib.decompressobj(31), False
     while raw := stream.read(PIECE):
         while raw:
-            yield engine.decompress(raw)
-            raw = engine.unused_data
+            yield engine.decompress(raw, PIECE)
+            raw, begun = engine.unconsumed_tail, True
             if engine.eof:
-                engine = zlib.decompressobj(31)
+                raw, engine, begun = engine.unused_data, zlib.decompressobj(31), False
+    if begun:
+        yield engine.flush()
+        if not engine.eof:
+            raise EOFError("the archive ends within a gzip member")
 
 
 def records(pieces: Iterator[bytes]) -> Iterator[bytes]:
