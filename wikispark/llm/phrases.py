@@ -40,7 +40,7 @@ CHUNK, LOCATED = 1 << 22, 1 << 23  # bytes of text held at a time, and where aut
 LONG = 64  # bytes of a word that are hashed along with all other words'
 PART = 13  # bits of a row's number within a part
 HOT, SALTS = 1000, 64  # windows of anchors met so often are dealt singly, by their own hash
-SHARD = 1_000_000  # windows of an automaton's shard
+SHARD = 600_000  # windows of an automaton's shard
 
 
 def word_hashes(data: bytes):
