@@ -36,7 +36,7 @@ from wikispark.llm.common import file_system, materialise, parts, remove, shared
 
 WINDOW, ANCHOR = 35, 8
 CODED = 5  # words at the start of an anchor that an automaton knows as the phrase
-CHUNK, LOCATED = 1 << 22, 1 << 23  # bytes of text held at a time, and where automata are read for each
+CHUNK, LOCATED = 1 << 21, 5 << 20  # bytes of text held at a time, and where automata are read for each
 LONG = 64  # bytes of a word that are hashed along with all other words'
 PART = 13  # bits of a row's number within a part
 HOT, SALTS = 1000, 64  # windows of anchors met so often are dealt singly, by their own hash
