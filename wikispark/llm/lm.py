@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from wikispark.llm.common import file_system, freed, materialise, parts, remove, row_bucket, shared_dir, write_file
 
 CELL_BYTES = 12_000_000  # of training text for each cell
-PASSES = 4
+PASSES = 3
 TEXT_BYTES, EVENTS = 2_000_000, 250_000  # of text read, and of events counted or scored, at a time
 PIECE = 1 << 18  # bytes hashed at a time
 KEPT = 256_000_000  # bytes of arrays that a worker keeps where files cannot be mapped
@@ -118,24 +118,43 @@ def word_hashes(raw: bytes):
     return mixed(np.concatenate(sums)[1:]) & np.uint64(MASK), np.concatenate(starts)[1:]
 
 
-def events(texts: list[str | None]):
-    """(u, v, w, tokens of each text): every token with the two before it."""
+def events(texts):
+    """(hashes of the distinct words; u, v, w as places among them; tokens of each text): every token with the two before it."""
     import numpy as np
-
-    own = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    h, at = word_hashes(b"\n".join(own))
-    ends = np.cumsum([len(t) + 1 for t in own])
-    counts = np.diff(np.searchsorted(at, ends), prepend=0) + 1
+    import pyarrow.compute as pc
+
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    of_text = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])
+    found = split.flatten().dictionary_encode()
+    named = pc.binary_length(found.dictionary).to_numpy(zero_copy_only=False) > 0  # white space at an end leaves an empty word
+    ids = np.zeros(len(named) + 2, np.uint64)
+    start, end = len(named), len(named) + 1
+    ids[:start][named] = word_hashes("\n".join(found.dictionary.to_pylist()).encode())[0]
+    ids[start:] = START, END
+    codes = found.indices.to_numpy()
+    kept = named[codes] if len(codes) else np.zeros(0, bool)
+    counts = np.diff(np.concatenate([[0], np.cumsum(kept)])[of_text]) + 1
     last = np.cumsum(counts) - 1
-    w = np.full(int(counts.sum()), END, np.uint64)
+    w = np.full(int(counts.sum()), end, np.int32)
     word = np.ones(len(w), bool)
     word[last] = False
-    w[word] = h
+    w[word] = codes[kept]
     v = np.roll(w, 1)
-    v[last - counts + 1] = START
+    v[last - counts + 1] = start
     u = np.roll(v, 1)
-    u[last - counts + 1] = START
-    return u, v, w, counts
+    u[last - counts + 1] = start
+    return ids, u, v, w, counts
+
+
+def distinct(keys):
+    """(the distinct keys in order of appearance, the place of the first of each, which of them each key is)."""
+    import numpy as np
+    import pandas as pd
+
+    back, key = pd.factorize(keys)
+    first = np.zeros(len(key), np.int64)
+    first[back[::-1]] = np.arange(len(keys) - 1, -1, -1)
+    return key, first, back
 
 
 # sorted arrays in files
@@ -281,10 +300,10 @@ def _frequent(cells: int):
         import pyarrow as pa
 
         for b in (b for b in parts(batches, 0, TEXT_BYTES) if b.num_rows):
-            _, v, _, _ = events(b.column(0).to_pylist())
-            first, (n,) = added(v, (np.ones(len(v), np.int64),))
+            ids, _, v, _, _ = events(b.column(0))
+            n = np.bincount(v, minlength=len(ids))
             much = n >= max(2, len(v) / (4 * cells))
-            yield pa.RecordBatch.from_arrays([pa.array(v[first][much].view(np.int64)), pa.array(n[much]), pa.array([len(v)] + [0] * (int(much.sum()) - 1) if much.any() else [], pa.int64())], names=["word", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[much].view(np.int64)), pa.array(n[much]), pa.array([len(v)] + [0] * (int(much.sum()) - 1) if much.any() else [], pa.int64())], names=["word", "n", "tokens"])
 
     return run
 
@@ -300,10 +319,12 @@ def _count(folder: str, cells: int, passes: int, turn: int):
         import pyarrow as pa
 
         for b in (b for b in parts(batches, 0, TEXT_BYTES) if b.num_rows):
-            whole = events(b.column(0).to_pylist())[:3]
+            ids, *whole, _ = events(b.column(0))
+            ways = spread(folder, ids)
             for i in range(0, len(whole[0]), EVENTS):
-                u, v, w = (x[i : i + EVENTS] for x in whole)
-                cell = cell_of(v, spread(folder, v), u, cells)
+                of_v = ways[whole[1][i : i + EVENTS]]
+                u, v, w = (ids[x[i : i + EVENTS]] for x in whole)
+                cell = cell_of(v, of_v, u, cells)
                 mine = cell % passes == turn
                 if not mine.any():
                     continue
@@ -479,33 +500,40 @@ def _discounted(c, d):
     return np.maximum(c - np.select([c == 1, c == 2, c > 2], d, 0.0), 0)
 
 
-def token_scores(model: Model, u, v, w):
-    """(count of each token, log10 of its base probability, log10 of its model probability)."""
+def word_rows(model: Model, ids):
+    """By word: (count, log10 of the base probability, probability by words, sum of its pairs, mass left to words, cells it is dealt over)."""
     import numpy as np
 
-    folder, (of_t, of_b, of_w) = model.folder, model.discounts
-    ids, inverse = np.unique(np.concatenate([w, v]), return_inverse=True)
-    to_w, to_v = inverse[: len(w)], inverse[len(w) :]
+    _, of_b, of_w = model.discounts
     key = mixed(ids)
-    c, k, pairs, *n = find_in(lambda p: f"{folder}/words-{p:07d}", (key % np.uint64(model.parts)).astype(np.int64), key, WORD_ROW)
+    c, k, pairs, *n = find_in(lambda p: f"{model.folder}/words-{p:07d}", (key % np.uint64(model.parts)).astype(np.int64), key, WORD_ROW)
     base = np.log10((c + 1) / (model.tokens + (model.vocabulary + 1)))
     p1 = _discounted(k, of_w) / max(model.pairs, 1) + model.left / (model.vocabulary + 1)
     left = np.where(pairs > 0, sum(d * x for d, x in zip(of_b, n, strict=True)) / np.maximum(pairs, 1), 1.0)
-    ways = spread(folder, v)
+    return c, base, p1, np.maximum(pairs, 1), left, spread(model.folder, ids)
+
+
+def token_scores(model: Model, ids, rows, u, v, w):
+    """log10 of the model's probability of each token; u, v, w: places among ids, whose rows are those of `word_rows`."""
+    import numpy as np
+
+    folder, (of_t, of_b, _) = model.folder, model.discounts
+    _, _, p1, pairs, left, ways = rows
+    of_u, of_v, of_w, dealt = ids[u], ids[v], ids[w], ways[v]
 
-    key, first, back = np.unique(joined(v, w), return_index=True, return_inverse=True)
-    cell, hot = cell_of(v[first], ways[first], w[first], model.cells), ways[first] > 1
+    key, first, back = distinct(joined(of_v, of_w))
+    cell, hot = cell_of(of_v[first], dealt[first], of_w[first], model.cells), dealt[first] > 1
     (kb,) = find_in(lambda p: f"{folder}/{'hot-' * (p % 2)}bigrams-{p // 2:07d}", 2 * cell + hot, key, ONE)
-    p2 = _discounted(kb, of_b)[back] / np.maximum(pairs, 1)[to_v] + left[to_v] * p1[to_w]
+    p2 = _discounted(kb, of_b)[back] / pairs[v] + left[v] * p1[w]
 
-    of_events = cell_of(v, ways, u, model.cells)
-    key, first, at_context = np.unique(joined(u, v), return_index=True, return_inverse=True)
-    total, *n = find_in(lambda p: f"{folder}/contexts-{p:07d}", of_events[first], key, CONTEXT)
+    key, first, at_context = distinct(joined(of_u, of_v))
+    of_context = cell_of(of_v[first], dealt[first], of_u[first], model.cells)
+    total, *n = find_in(lambda p: f"{folder}/contexts-{p:07d}", of_context, key, CONTEXT)
     left = np.where(total > 0, sum(d * x for d, x in zip(of_t, n, strict=True)) / np.maximum(total, 1), 1.0)
-    key, first, back = np.unique(joined(joined(u, v), w), return_index=True, return_inverse=True)
-    (c3,) = find_in(lambda p: f"{folder}/trigrams-{p:07d}", of_events[first], key, ONE)
+    key, first, back = distinct(joined(key[at_context], of_w))
+    (c3,) = find_in(lambda p: f"{folder}/trigrams-{p:07d}", of_context[at_context[first]], key, ONE)
     p3 = _discounted(c3, of_t)[back] / np.maximum(total, 1)[at_context] + left[at_context] * p2
-    return c[to_w], base[to_w], np.log10(p3)
+    return np.log10(p3)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -520,14 +548,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         import pyarrow as pa
 
         for b in (b for b in parts(batches, len(carried), TEXT_BYTES) if b.num_rows):
-            *whole, counts = events(b.column(len(carried)).to_pylist())
-            known, base, full = (np.zeros(len(whole[0])) for _ in range(3))
-            for i in range(0, len(known), EVENTS):
-                c, base[i : i + EVENTS], full[i : i + EVENTS] = token_scores(model, *(x[i : i + EVENTS] for x in whole))
-                known[i : i + EVENTS] = c > 0
+            ids, *whole, counts = events(b.column(len(carried)))
+            rows = word_rows(model, ids)
+            known, base, full = rows[0][whole[2]] > 0, rows[1][whole[2]], np.zeros(len(whole[2]))
+            for i in range(0, len(full), EVENTS):
+                full[i : i + EVENTS] = token_scores(model, ids, rows, *(x[i : i + EVENTS] for x in whole))
             at = np.cumsum(counts) - counts
             columns = [b.column(i) for i in range(len(carried))]
-            columns += [pa.array(counts, pa.int64()), pa.array(np.add.reduceat(known, at).astype(np.int64)), pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(full, at))]
+            columns += [pa.array(counts, pa.int64()), pa.array(np.add.reduceat(known.astype(np.int64), at)), pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(full, at))]
             yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
     return docs.select(*carried, "text").mapInArrow(run, schema)
