@@ -26,6 +26,7 @@ scores 0. Rows that repeat a document are counted and scored as often as they st
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 from math import ceil
 
 from pyspark.sql import DataFrame
@@ -65,15 +66,19 @@ class Model:
 # words to hashes
 
 
+@lru_cache
 def _tables():
+    """(number of each byte, zero for white space; powers of an odd base; those of its inverse; which bytes are white space)."""
     import numpy as np
 
-    rng = np.random.default_rng(42)
-    of_byte, of_place, of_page = (rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1) for n in (256, 4096, 4096))
+    base = 0x9E3779B97F4A7C15
     fold, space = np.arange(256, dtype=np.uint8), np.zeros(256, bool)
     fold[65:91] += 32
     space[[9, 10, 11, 12, 13, 32]] = True
-    return of_byte[fold], of_place, of_page, space
+    of_byte = (np.random.default_rng(42).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1))[fold]
+    of_byte[space] = 0
+    powers, back = (np.cumprod(np.array([1] + [b] * PIECE, np.uint64)) for b in (base, pow(base, -1, 1 << 64)))
+    return of_byte, powers, back, space
 
 
 def mixed(h):
@@ -92,57 +97,51 @@ def joined(a, b):
 
 
 def word_hashes(raw: bytes):
-    """(hash, first byte) of every word of raw: the sum of a number for each byte times one for its place, mixed."""
+    """(hash, first byte) of every word of raw: the sum of a number for each byte times a power for its place, mixed."""
     import numpy as np
 
-    of_byte, of_place, of_page, white = _tables()
+    of_byte, powers, back, white = _tables()
     sums, starts = [np.zeros(1, np.uint64)], [np.full(1, -1)]
-    length = 0  # of the word that a piece cuts
+    cut = None  # the power at which a word that a piece has cut goes on
     for at in range(0, len(raw), PIECE):
         b = np.frombuffer(raw, np.uint8, min(PIECE, len(raw) - at), at)
-        space, i = white[b], np.arange(len(b))
-        before = np.maximum.accumulate(np.where(space, i, -1))
-        place = i - before - 1
-        place[before < 0] += length
-        value = of_byte[b] * of_place[place & 4095]
-        if place.max() > 4095:
-            value *= np.where(place > 4095, of_page[(place >> 12) & 4095], np.uint64(1))
-        value[space] = 0
-        first = np.flatnonzero(~space & np.concatenate([[length == 0], space[:-1]]))
-        if length and not space[0]:
-            sums[-1][-1:] += value[: first[0] if len(first) else None].sum(dtype=np.uint64)
+        space = white[b]
+        value = of_byte[b] * powers[: len(b)]
+        first = np.flatnonzero(~space & np.concatenate([[cut is None], space[:-1]]))
+        if cut is not None:
+            sums[-1][-1:] += value[: first[0] if len(first) else None].sum(dtype=np.uint64) * cut
         if len(first):
-            sums.append(np.add.reduceat(value, first))
+            sums.append(np.add.reduceat(value, first) * back[first])
             starts.append(first + at)
-        length = int(place[-1]) + 1 if not space[-1] else 0
+        if space[-1]:
+            cut = None
+        elif len(first):
+            cut = powers[len(b) - first[-1] :][:1]
+        else:
+            cut = cut * powers[len(b) :][:1]
     return mixed(np.concatenate(sums)[1:]) & np.uint64(MASK), np.concatenate(starts)[1:]
 
 
-def events(texts):
+def events(texts: list[str | None]):
     """(hashes of the distinct words; u, v, w as places among them; tokens of each text): every token with the two before it."""
     import numpy as np
-    import pyarrow.compute as pc
-
-    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
-    of_text = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])
-    found = split.flatten().dictionary_encode()
-    named = pc.binary_length(found.dictionary).to_numpy(zero_copy_only=False) > 0  # white space at an end leaves an empty word
-    ids = np.zeros(len(named) + 2, np.uint64)
-    start, end = len(named), len(named) + 1
-    ids[:start][named] = word_hashes("\n".join(found.dictionary.to_pylist()).encode())[0]
-    ids[start:] = START, END
-    codes = found.indices.to_numpy()
-    kept = named[codes] if len(codes) else np.zeros(0, bool)
-    counts = np.diff(np.concatenate([[0], np.cumsum(kept)])[of_text]) + 1
+    import pandas as pd
+
+    own = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    h, at = word_hashes(b"\n".join(own))
+    codes, found = pd.factorize(h)
+    ids = np.concatenate([found, np.array([START, END], np.uint64)])
+    ends = np.cumsum([len(t) + 1 for t in own])
+    counts = np.diff(np.searchsorted(at, ends), prepend=0) + 1
     last = np.cumsum(counts) - 1
-    w = np.full(int(counts.sum()), end, np.int32)
+    w = np.full(int(counts.sum()), len(found) + 1, np.int32)
     word = np.ones(len(w), bool)
     word[last] = False
-    w[word] = codes[kept]
+    w[word] = codes
     v = np.roll(w, 1)
-    v[last - counts + 1] = start
+    v[last - counts + 1] = len(found)
     u = np.roll(v, 1)
-    u[last - counts + 1] = start
+    u[last - counts + 1] = len(found)
     return ids, u, v, w, counts
 
 
@@ -300,7 +299,7 @@ def _frequent(cells: int):
         import pyarrow as pa
 
         for b in (b for b in parts(batches, 0, TEXT_BYTES) if b.num_rows):
-            ids, _, v, _, _ = events(b.column(0))
+            ids, _, v, _, _ = events(b.column(0).to_pylist())
             n = np.bincount(v, minlength=len(ids))
             much = n >= max(2, len(v) / (4 * cells))
             yield pa.RecordBatch.from_arrays([pa.array(ids[much].view(np.int64)), pa.array(n[much]), pa.array([len(v)] + [0] * (int(much.sum()) - 1) if much.any() else [], pa.int64())], names=["word", "n", "tokens"])
@@ -319,7 +318,7 @@ def _count(folder: str, cells: int, passes: int, turn: int):
         import pyarrow as pa
 
         for b in (b for b in parts(batches, 0, TEXT_BYTES) if b.num_rows):
-            ids, *whole, _ = events(b.column(0))
+            ids, *whole, _ = events(b.column(0).to_pylist())
             ways = spread(folder, ids)
             for i in range(0, len(whole[0]), EVENTS):
                 of_v = ways[whole[1][i : i + EVENTS]]
@@ -548,7 +547,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         import pyarrow as pa
 
         for b in (b for b in parts(batches, len(carried), TEXT_BYTES) if b.num_rows):
-            ids, *whole, counts = events(b.column(len(carried)))
+            ids, *whole, counts = events(b.column(len(carried)).to_pylist())
             rows = word_rows(model, ids)
             known, base, full = rows[0][whole[2]] > 0, rows[1][whole[2]], np.zeros(len(whole[2]))
             for i in range(0, len(full), EVENTS):
