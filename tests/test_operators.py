@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from wikispark.functions import models as M
@@ -54,6 +55,70 @@ def test_model_failures_keep_lines(spark):
     assert abs(sum(x * x for x in M.embed(spark.createDataFrame([("abc",)], "t string"), "t").first().embedding) - 1) < 1e-9
 
 
+def test_outcomes_of_slow_failing_and_short_answers(spark):
+    import time
+
+    rows = spark.createDataFrame([(i, t, None) for i, t in enumerate(["ok", "slow", "fail", "short", None, ""])], "id int, t string, error string")
+
+    def model(items):
+        if items == ["slow"]:
+            time.sleep(30)
+        if items == ["fail"]:
+            raise ValueError("x" * 500)
+        return [] if items == ["short"] else [f"<{t}>" for t in items]
+
+    began = time.time()
+    got = {r.id: r for r in M.outcomes(rows, "t", model, "string", 1.0, batch=1, tries=2, suffix="_of_call").collect()}
+    assert time.time() - began < 20
+    assert [got[i].value_of_call for i in range(6)] == ["<ok>", None, None, None, "<None>", "<>"]
+    assert [got[i].attempts_of_call for i in range(6)] == [1, 2, 2, 2, 1, 1]
+    assert (got[0].error_of_call, got[1].error_of_call, got[3].error_of_call) == (None, "no answer within 1 s", "0 values for 1 items")
+    assert got[2].error_of_call.startswith("ValueError: xxx") and len(got[2].error_of_call) == 200
+    assert M.outcomes(rows.limit(0), "t", model, "string", 1.0).count() == 0
+    with pytest.raises(Exception, match="0 values for 1 items"):
+        M.outcomes(rows.where("t = 'short'"), "t", model, "string", 1.0, on_error="raise").collect()
+    ctx = spark.createDataFrame([("a", "A", "- x", "ok"), ("b", None, None, "fail")], "slug string, label string, bullets string, prompt string")
+    assert {tuple(r)[:2] for r in M.compose_pages(ctx, model).collect()} == {("a", "<ok>"), ("b", "## b\n\n")}
+    assert {r.error for r in M.compose_pages(ctx).collect()} == {None}
+
+
+def test_leaves_of_a_failing_model_group_in_sequence(spark):
+    members = spark.createDataFrame([(f"cluster-{i:02d}", 0, f"a{i}") for i in range(13)], "label string, pos int, atom_id string")
+    atoms = spark.createDataFrame([(f"a{i}", f"claim {i}", [f"tag{i}"]) for i in range(12)], "atom_id string, claim string, draft_tags array<string>")
+
+    def model(labels):
+        if "tag7" in labels:
+            raise RuntimeError
+        return [[1.0, 2.0]] * len(labels)
+
+    leaves = T.embedded_leaves(members, atoms, model, batch=1)
+    assert {tuple(r.embedding) for r in leaves.collect()} == {(0.0,)} and leaves.where("embedding_error IS NOT NULL").count() == 1
+    assert {r.label for r in leaves.collect()} == {*(f"tag{i}" for i in range(12)), "cluster-12"}
+    assert {len(r.embedding) for r in T.embedded_leaves(members, atoms).collect()} == {64}
+    got = T.group_once(leaves.select(F.col("leaf_no").alias("id"), "embedding")).collect()
+    groups = [{r.id for r in got if r.group_no == g} for g in sorted({r.group_no for r in got})]
+    assert groups == [{0, 1, 12}, {2, 3, 4, 5}, {6, 7, 8, 9}, {10, 11}]
+
+
+def test_groups_in_sequence_by_brute_force():
+    for n in range(6, 80):
+        for target, most in ((4, 5), (3, 7), (2, 2), (4, 6), (5, 9)):
+            goal, groups = -(-n // target), [[i] for i in range(n)]
+            while len(groups) > goal:
+                pair = next(((i, j) for i in range(len(groups)) for j in range(i + 1, len(groups)) if len(groups[i]) + len(groups[j]) <= most), None)
+                if pair is None:
+                    break
+                merged = groups[pair[0]] + groups[pair[1]]
+                groups = [g for i, g in enumerate(groups) if i not in pair] + [merged]
+            found = []
+            for size, many, ranges in T.sequence_runs(n, goal, most):
+                if many > 1:
+                    found += [list(range(ranges[0][0] + i * size, ranges[0][0] + (i + 1) * size)) for i in range(many)]
+                else:
+                    found.append([x for start, length in ranges for x in range(start, start + length)])
+            assert sorted(map(sorted, found)) == sorted(map(sorted, groups)), (n, target, most)
+
+
 def test_chunks(spark):
     rows = [("a", ""), ("b", "x" * 8000), ("c", "x" * 8001), ("d", "x" * 7800), ("e", " \n\t"), ("f", "🙂" * 8001), ("g", None)]
     out = N.chunk(spark.createDataFrame(rows, "source_id string, content string")).collect()

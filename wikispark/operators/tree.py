@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wikispark.functions import text as X
 from wikispark.functions import vectors as V
+from wikispark.functions.models import embed_or_constant
 from wikispark.operators.graphs import numbered, settle
 from wikispark.operators.vectors import centroids
 
@@ -175,6 +176,12 @@ def unique_slugs(df: DataFrame, base: str = "base", order: str = "alloc_no", tak
         out = out.withColumn("_n", F.max(F.col("_n") - F.col("_k")).over(own) + F.col("_k"))  # numbers of a base keep rising
 
 
+def embedded_leaves(members: DataFrame, atoms: DataFrame, fn: Callable | None = None, **policy) -> DataFrame:
+    """`leaf_nodes` with embedding and embedding_error: labels by the model, or by hashed n-grams without one; if any batch failed, the
+    same vector of one zero for all leaves, which then group in sequence. policy: batch, seconds, tries, on_error."""
+    return embed_or_constant(leaf_nodes(members, atoms), "label", fn, **policy)
+
+
 def leaf_nodes(members: DataFrame, atoms: DataFrame) -> DataFrame:
     """members(label, pos, atom_id), atoms(atom_id, claim, draft_tags) → (cluster, leaf_no, label, slug).
 
@@ -250,6 +257,51 @@ def strongest(pairs: DataFrame, most: int, bins: int = 4096) -> DataFrame:
     return pairs
 
 
+def sequence_runs(n: int, goal: int, max_size: int) -> list[tuple[int, int, list[tuple[int, int]]]]:
+    """Where all similarities are equal: groups of the places 0 to n - 1 after the first two groups of a list that fit together
+    are merged and put last, until goal groups are left or none fit.
+
+    Each entry is (size, how many, ranges): that many groups of neighbours from the start of the one range on, or one group
+    of several ranges (start, length). A run of equal groups is merged in one step, so there are few entries, whatever n is.
+    """
+    runs, left = [(1, n, [(0, n)])], n
+
+    def without_first(run: tuple) -> list:
+        size, many, ranges = run
+        return [(size, many - 1, [(ranges[0][0] + size, ranges[0][1] - size)])] if many > 1 else []
+
+    def first_of(run: tuple) -> list[tuple[int, int]]:
+        return [(run[2][0][0], run[0])] if run[1] > 1 else run[2]
+
+    while left > goal:
+        at = next((i for i, r in enumerate(runs) if (r[1] > 1 and 2 * r[0] <= max_size) or any(r[0] + q[0] <= max_size for q in runs[i + 1 :])), None)
+        if at is None:
+            break
+        size, many, ranges = runs[at]
+        if many > 1 and 2 * size <= max_size:
+            merges, start = min(many // 2, left - goal), ranges[0][0]
+            used = 2 * size * merges
+            rest = [(size, many - 2 * merges, [(start + used, ranges[0][1] - used)])] if many > 2 * merges else []
+            runs = [*runs[:at], *rest, *runs[at + 1 :], (2 * size, merges, [(start, used)])]
+        else:
+            merges, to = 1, next(i for i in range(at + 1, len(runs)) if size + runs[i][0] <= max_size)
+            merged = (size + runs[to][0], 1, first_of(runs[at]) + first_of(runs[to]))
+            runs = [*runs[:at], *without_first(runs[at]), *runs[at + 1 : to], *without_first(runs[to]), *runs[to + 1 :], merged]
+        left -= merges
+    return runs
+
+
+def _in_sequence(nodes: DataFrame, n: int, goal: int, max_size: int) -> DataFrame:
+    """(id, group_no) by `sequence_runs` over the ids in order."""
+    place, group = F.col("_place"), F.lit(None).cast("long")
+    for size, many, ranges in sequence_runs(n, goal, max_size):
+        for start, length in ranges:
+            least = F.lit(min(r[0] for r in ranges)) if many == 1 else place - (place - start) % size
+            group = F.when(place.between(start, start + length - 1), least).otherwise(group)
+    rows = settle(numbered(nodes.select("id"), ["id"], "_place").select("id", group.alias("g")))
+    return rows.join(numbered(rows.select("g").distinct(), ["g"], "group_no"), "g").select("id", "group_no")
+
+
 def group_once(nodes: DataFrame, target: int = 4, max_size: int = 5, keep: int = 8, block: int = 2048) -> DataFrame:
     """nodes(id, embedding) → (id, group_no): rounds in which groups that are each other's best partner merge.
 
@@ -257,11 +309,13 @@ def group_once(nodes: DataFrame, target: int = 4, max_size: int = 5, keep: int =
     n / target groups or when no pair may merge. Each round at least the closest pair of all merges. Every group keeps a
     list of its `keep` best partners, and where it was cut off, what came last: as long as the list is not used up, its first
     entry is the best of all. So only groups that a round has merged, or whose list is used up, are compared with all
-    others again; the rest learns of merged groups from the same tiles.
+    others again; the rest learns of merged groups from the same tiles. Without any vector but zeros see `sequence_runs`.
     """
     n, kind = nodes.count(), nodes.schema["id"].dataType.simpleString()
     if n <= max_size:
         return nodes.select("id", F.lit(0).cast("long").alias("group_no"))
+    if not nodes.where(F.exists("embedding", lambda x: x != 0)).limit(1).count():
+        return _in_sequence(nodes, n, -(-n // target), max_size)
     members = nodes.select("id", F.col("id").alias("g"))
     groups = settle(nodes.select(F.col("id").alias("g"), F.col("embedding").cast("array<double>").alias("total"), F.lit(1).alias("size"), F.lit(True).alias("fresh")))
     lists = groups.sparkSession.createDataFrame([], f"x {kind}, y {kind}, s double")
