@@ -28,17 +28,59 @@ def atom_bullets(page_atoms: DataFrame, atoms: DataFrame) -> DataFrame:
     return rows.groupBy("slug").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", line.alias("t")))), lambda x: x["t"]), "\n").alias("bullets"))
 
 
+# The parts of the prompt for a page, in order.
+ASK = "你是知识页面撰写引擎。请为以下知识节点撰写一个 wiki 页面。\n\n节点："
+LEAF, NOT_LEAF = "（叶子（知识点））\nslug：", "（非叶子（概述/总结））\nslug："
+ATOMS, ALLOWED = "\n\n关联的知识原子：\n", "\n\n允许引用的页面 slug（白名单，使用 [[slug]] 格式）：\n"
+RULES = "\n\n=== 严格规则 ===\n\n【结构】\n1. "
+LEAF_STORY = "叶子节点直接写知识点，不需要故事弧。"
+STORY = """非叶子节点必须以故事弧开头！按以下5段结构组织：
+   1. 目的：为了达成什么目标？
+   2. 困难：遇到了什么矛盾/挑战？
+   3. 方法：采取什么核心思路/原理？
+   4. 结果：取得了什么关键结论？
+   5. 局限：有什么未解决的问题？
+   每段用 H3 标题分隔。"""
+LIMIT = "\n2. 字数硬上限："
+STYLE = """ 中文字
+
+【写作风格 — 三条编译规则】
+3. **长的变短**：长篇叙述必须拆成短句（≤40 字/句），每句独立一行或用分号隔开。
+   用"因为…所以…""但是…""因此…"等逻辑连词串联思路。
+   禁止出现连续 3 行以上的"文字墙"（大段密集中文无换行）。
+4. **短的变长**：遇到纯名词/术语列表时，每个名词必须展开为：
+   **名词** — 一句话解释它是什么、为什么重要。
+   多个名词要串联成一个完整的逻辑链（不是罗列，而是因果/递进关系）。
+   关键名词用 **加粗** 并前后各加一个空格。
+5. **公式和化学式**：
+   - 数学公式用 LaTeX 包裹：inline 用 $...$，display 用 $$...$$
+   - 化学方程式也用 LaTeX：$A + B \\to C$
+
+【链接与表述】
+6. 仅允许引用白名单中的 slug，使用 [[slug]] 格式
+7. 用"高中生能充分理解"的语言，但保持专业准确
+8. 多引用其他概念（白名单内），让知识变成网
+9. 不要写 slug、不要写 frontmatter、不要写标题（系统自动加）
+10. **Mermaid 图表规则**（Mermaid v11+）：
+   - subgraph 标签必须用引号包裹
+   - 节点标签中的 < > | & ; 必须转义或避免使用
+   - 箭头语法：`-->` (实线), `-.->` (虚线)
+
+请直接输出 Markdown 正文。"""
+
+
 def page_prompts(ctx: DataFrame, bullets: DataFrame) -> DataFrame:
-    """(slug, prompt, word_limit): what a model is asked for a page: node, atoms, allow-list, story rule, limit."""
+    """(slug, prompt, word_limit): what a model is asked for a page: node, atoms, allow-list, then ten rules, of which the first is
+    the story in five parts (leaves have none) and the second the limit. Without a label the slug stands for it."""
     allowed = F.array_join(F.array_distinct(F.concat("ancestors", "siblings", "children")), ", ")
-    leaf = F.col("kind") == "leaf-cluster"
+    leaf = F.coalesce(F.col("kind") == "leaf-cluster", F.lit(False))
     rows = ctx.join(bullets.withColumnRenamed("slug", "b"), F.col("slug") == F.col("b"), "left")
-    rule = F.when(leaf, "叶子节点直接写知识点").otherwise("目的、困难、方法、结果、局限，各用 H3 标题")
-    text = F.concat_ws(
-        "\n", F.concat(F.lit("节点："), "label", F.when(leaf, "（叶子）").otherwise("（非叶子）")), F.concat(F.lit("slug："), "slug"), F.lit("原子："), F.coalesce("bullets", F.lit(NO_ATOMS)),
-        F.concat(F.lit("白名单："), allowed), F.concat(F.lit("结构："), rule), F.concat(F.lit("字数上限："), X.word_limit(F.col("kind")).cast("string")),
+    limit = X.word_limit(F.col("kind"))
+    text = F.concat(
+        F.lit(ASK), F.coalesce("label", "slug"), F.when(leaf, LEAF).otherwise(NOT_LEAF), "slug", F.lit(ATOMS), F.coalesce(X.non_empty(F.col("bullets")), F.lit(NO_ATOMS)), F.lit(ALLOWED), allowed,
+        F.lit(RULES), F.when(leaf, LEAF_STORY).otherwise(STORY), F.lit(LIMIT), limit.cast("string"), F.lit(STYLE),
     )
-    return rows.select("slug", text.alias("prompt"), X.word_limit(F.col("kind")).alias("word_limit"))
+    return rows.select("slug", text.alias("prompt"), limit.alias("word_limit"))
 
 
 def _wrap_lists(html: Column) -> Column:

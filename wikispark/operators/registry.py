@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wikispark.functions import text as X
-from wikispark.operators.graphs import top_ancestors
+from wikispark.operators.graphs import numbered, settle, top_ancestors
 
 UNSORTED = "未分类"
 OTHERS = "其他"
@@ -152,6 +152,26 @@ def domain_outline(registry: DataFrame) -> DataFrame:
     return top.groupBy(F.col("top").alias("domain")).agg(F.count("*").alias("cnt"), F.array_join(rows, ", ").alias("pages"))
 
 
+def outline(registry: DataFrame) -> DataFrame:
+    """registry(slug, parent_ids) → (pos from 0, level, domain, section, slug, cnt): the outline as rows in order, not as lists.
+
+    Level 1: a domain (top-most ancestor) with its pages' number; level 2: a section (the ancestor next below the domain, or
+    the page itself) with that of its pages, itself included; level 3: each further page of the section. Pages without a
+    parent are in no domain. A cycle of parents has its smallest id as its domain. Rows that repeat a slug are one page.
+    """
+    parents = registry.select("slug", F.try_element_at("parent_ids", F.lit(1)).alias("parent")).where("parent IS NOT NULL")
+    parents = parents.groupBy("slug").agg(F.min("parent").alias("parent"))
+    tops = settle(top_ancestors(parents))
+    below = parents.join(tops, "slug").where("parent <> top").select("slug", "parent")  # without what hangs on a domain itself
+    second = top_ancestors(below).select(F.col("slug").alias("s"), F.col("top").alias("section"))
+    pages = settle(tops.join(second, F.col("slug") == F.col("s"), "left").select("slug", F.col("top").alias("domain"), F.coalesce("section", "slug").alias("section")))
+    none = F.lit(None).cast("string")
+    heads = pages.groupBy("domain").agg(F.count("*").alias("cnt")).select(F.lit(1).alias("level"), "domain", none.alias("section"), none.alias("slug"), "cnt")
+    parts = pages.groupBy("domain", "section").agg(F.count("*").alias("cnt")).select(F.lit(2).alias("level"), "domain", "section", none.alias("slug"), "cnt")
+    rest = pages.where("slug <> section").select(F.lit(3).alias("level"), "domain", "section", "slug", F.lit(1).cast("long").alias("cnt"))
+    return numbered(heads.unionByName(parts).unionByName(rest), ["domain", "section", "slug"], "pos")  # nulls come first
+
+
 def topic_catalog(topics: DataFrame, live: DataFrame, prebuilt: DataFrame) -> DataFrame:
     """topics(topic), live/prebuilt(topic, pages) → (topic, served_from, pages): live output wins, then prebuilt, else missing."""
     rows = topics.join(live.select("topic", F.col("pages").alias("l")), "topic", "left").join(prebuilt.select("topic", F.col("pages").alias("p")), "topic", "left")

@@ -149,7 +149,14 @@ def fix1_apply(spark, d):
     return out.select("source_id", F.sha2("content", 256).alias("content_sha"), "fixed")
 
 
-@query()
+@query(f""", found AS (SELECT source_id, text, CASE
+WHEN text LIKE '```%' OR text LIKE '    %' OR starts_with(text, chr(9)) OR regexp_matches(text, '\\$[^$]+\\$') THEN NULL
+WHEN regexp_matches(text, '[{X.MATH_SYMBOLS}]') THEN 'math_symbol'
+WHEN regexp_matches(text, '(^|[^$`A-Za-z0-9_])([A-Za-z]+)([0-9]+)($|[^A-Za-z0-9_$`])') THEN 'bare_superscript'
+WHEN len(list_filter(regexp_extract_all(text, '\\b([A-Z][a-z]?(?:[0-9]+)?(?:[A-Z][a-z]?(?:[0-9]+)?){{1,}})\\b', 1), lambda m: regexp_matches(m, '[A-Z][a-z]?[0-9]') AND length(m) BETWEEN 3 AND 20)) > 0 THEN 'chemical_formula' END AS reason FROM lines),
+marked AS (SELECT source_id, reason, reason <> 'math_symbol' OR trim(regexp_replace(text, '^[0-9]+\\.\\s*', ''), ' ') <> text AS fix FROM found WHERE reason IS NOT NULL),
+per AS (SELECT source_id, count(*) AS candidates, CAST(sum(CAST(fix AS INTEGER)) AS BIGINT) AS fixed FROM marked GROUP BY source_id)
+SELECT source_id, CAST(sum(candidates) AS BIGINT) AS candidates, CAST(coalesce(sum(fixed), 0) AS BIGINT) AS fixed, CAST(coalesce(sum(CAST(fixed > 0 AS INTEGER)), 0) AS BIGINT) AS changed FROM per GROUP BY ROLLUP (source_id)""", ("lines",))
 def agg7_formula_totals(spark, d):
     src, found, fixes = _fixes(spark, d)
     return N.formula_totals(found, N.apply_line_fixes(src, found, fixes))
@@ -320,6 +327,20 @@ def fn4_cosine_pairs(spark, d):
     return rows.select("id", F.round(V.cosine(F.col("embedding"), F.col("b")), 6).alias("next_one"), F.round(V.cosine(F.col("embedding"), F.col("c")), 6).alias("mirrored"))
 
 
+@query("SELECT slug, '[' || label || '] ' || length(body) AS body, CASE WHEN label LIKE '%7' THEN 'ValueError: no answer for this page' END AS error FROM (SELECT t.slug, t.label, p.body FROM tree t JOIN wiki_pages p ON t.slug = p.slug WHERE t.label NOT LIKE '%7') UNION ALL SELECT t.slug, '## ' || t.label || chr(10) || chr(10) || p.body, 'ValueError: no answer for this page' FROM tree t JOIN wiki_pages p ON t.slug = p.slug WHERE t.label LIKE '%7'", ("tree", "wiki_pages"))
+def udf3_compose(spark, d):
+    """Page bodies by a model that gives a text's label and length, and fails where the label ends in a 7."""
+    rows = fx.tree(spark, d).select("slug", "label").join(fx.wiki_pages(spark, d).select("slug", F.col("body").alias("bullets")), "slug")
+
+    def model(prompts):
+        label, _, text = prompts[0].partition("\0")
+        if label.endswith("7"):
+            raise ValueError("no answer for this page")
+        return [f"[{label}] {len(text)}"]
+
+    return M.compose_pages(rows.withColumn("prompt", F.concat("label", F.lit("\0"), "bullets")), model)
+
+
 @query()
 def udf2_embed(spark, d):
     docs = table(spark, d, "documents")
@@ -386,12 +407,28 @@ def win5_unique_slugs(spark, d):
     return T.unique_slugs(rows).select("pos", "slug")
 
 
-@query()
+@query(""", first AS (SELECT source_id, CAST(dense_rank() OVER (ORDER BY source_id) - 1 AS BIGINT) AS no, coalesce(nullif(words[1], ''), nullif(substr(claim, 1, 20), '')) AS label FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY seq) AS rn FROM kept) WHERE rn = 1),
+leaf AS (SELECT 'cluster-' || no AS cluster, row_number() OVER (ORDER BY 'cluster-' || no) - 1 AS leaf_no, label FROM first),
+named AS (SELECT *, 'concept-' || coalesce(nullif(substr(regexp_replace(regexp_replace(lower(label), '[^a-z0-9一-鿿]+', '-', 'g'), '^-|-$', '', 'g'), 1, 40), ''), CAST(leaf_no AS VARCHAR)) AS base FROM leaf)
+SELECT cluster, leaf_no, label, CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS slug FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY leaf_no) AS n FROM named)""", ("kept",))
 def tre3_leaf_nodes(spark, d):
     kept = A.dedup_atoms(fx.raw_atoms(spark, d))
     return T.leaf_nodes(C.clusters_per_source(kept), kept.select("atom_id", "claim", "draft_tags"))
 
 
+@query()
+def tre3_embedded_leaves(spark, d):
+    """Leaves with vectors of their labels by a model that fails for one label: all have the same vector, and group in sequence."""
+    kept = A.dedup_atoms(fx.raw_atoms(spark, d))
+
+    def model(labels):
+        return [[float(len(t)), 1.0] for t in labels if not t.startswith("a")]  # too few values where a label starts with an a
+
+    leaves = T.embedded_leaves(C.clusters_per_source(kept), kept.select("atom_id", "claim", "draft_tags"), model)
+    groups = T.group_once(leaves.select(F.col("leaf_no").alias("id"), "embedding"))
+    return leaves.join(groups, leaves["leaf_no"] == groups["id"]).select("cluster", "leaf_no", "label", "slug", "embedding", "group_no")
+
+
 @query()
 def tre1_group_once(spark, d):
     return T.group_once(fx.vecs(spark, d).select("id", "embedding"))
@@ -660,6 +697,14 @@ def dom1_outline(spark, d):
     return R.domain_outline(fx.registry(spark, d))
 
 
+@query(""", up AS (SELECT slug, parent_ids[1] AS top, 1 AS n FROM registry WHERE len(parent_ids) > 0 UNION ALL SELECT u.slug, r.parent_ids[1], n + 1 FROM up u JOIN registry r ON u.top = r.slug WHERE len(r.parent_ids) > 0),
+d AS (SELECT slug, max_by(top, n) AS domain, max(n) AS m FROM up GROUP BY slug), s AS (SELECT d.slug, d.domain, coalesce(u.top, d.slug) AS section FROM d LEFT JOIN up u ON u.slug = d.slug AND u.n = d.m - 1),
+o AS (SELECT 1 AS level, domain, CAST(NULL AS VARCHAR) AS section, CAST(NULL AS VARCHAR) AS slug, count(*) AS cnt FROM s GROUP BY domain UNION ALL SELECT 2, domain, section, NULL, count(*) FROM s GROUP BY domain, section UNION ALL SELECT 3, domain, section, slug, 1 FROM s WHERE slug <> section)
+SELECT row_number() OVER (ORDER BY domain, section NULLS FIRST, slug NULLS FIRST) - 1 AS pos, level, domain, section, slug, cnt FROM o""", ("registry",))
+def dom1_three_levels(spark, d):
+    return R.outline(fx.registry(spark, d))
+
+
 # pages
 
 
@@ -675,7 +720,16 @@ def page2_bullets(spark, d):
     return P.atom_bullets(kept.select(F.col("source_id").alias("slug"), F.col("seq").alias("pos"), "atom_id"), kept)
 
 
-@query()
+def _said(text):
+    return "'" + text.replace("'", "''") + "'"
+
+
+_ALLOWED = "array_to_string(w.ancestors || coalesce((SELECT list(s.slug ORDER BY s.ordinal) FROM tree s WHERE s.parent_slug = t.parent_slug AND s.slug <> t.slug), []) || coalesce((SELECT list(c.slug ORDER BY c.ordinal) FROM tree c WHERE c.parent_slug = t.slug), []), ', ')"
+
+
+@query(f"""SELECT t.slug, {_said(P.ASK)} || t.label || CASE WHEN t.kind = 'leaf-cluster' THEN {_said(P.LEAF)} ELSE {_said(P.NOT_LEAF)} END || t.slug || {_said(P.ATOMS)} || coalesce(nullif(p.body, ''), {_said(P.NO_ATOMS)}) || {_said(P.ALLOWED)} || {_ALLOWED}
+|| {_said(P.RULES)} || CASE WHEN t.kind = 'leaf-cluster' THEN {_said(P.LEAF_STORY)} ELSE {_said(P.STORY)} END || {_said(P.LIMIT)} || CASE t.kind WHEN 'root' THEN '2000' WHEN 'intermediate' THEN '1200' ELSE '600' END || {_said(P.STYLE)} AS prompt,
+CASE t.kind WHEN 'root' THEN 2000 WHEN 'intermediate' THEN 1200 ELSE 600 END AS word_limit FROM tree t JOIN walk w ON t.slug = w.slug LEFT JOIN wiki_pages p ON p.slug = t.slug""", ("tree", "walk", "wiki_pages"))
 def page3_prompts(spark, d):
     tree = fx.tree(spark, d)
     pages = fx.wiki_pages(spark, d).select("slug", F.col("body").alias("bullets"))
