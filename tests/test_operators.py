@@ -565,3 +565,19 @@ def test_rebuild_equals_a_full_build(spark, tmp_path):
     few = {k: v for k, v in changed.items() if k == "n3"}
     B.rebuild(frame(few), root, 16)
     assert [r.source_id for r in spark.read.parquet(f"{root}/pages").collect()] == ["n3"] and [r.pages for r in spark.read.parquet(f"{root}/topics").collect()] == [1]
+
+
+def test_outline_of_three_levels(spark):
+    rows = [("a", ["top"]), ("b", ["a"]), ("c", ["b"]), ("d", ["top"]), ("lone", []), ("none", None), ("x", ["y"]), ("y", ["x"]), ("b", ["a"])]
+    out = [tuple(r) for r in R.outline(spark.createDataFrame(rows, "slug string, parent_ids array<string>")).select("pos", "level", "domain", "section", "slug", "cnt").orderBy("pos").collect()]
+    assert out == [
+        (0, 1, "top", None, None, 4), (1, 2, "top", "a", None, 3), (2, 3, "top", "a", "b", 1), (3, 3, "top", "a", "c", 1), (4, 2, "top", "d", None, 1),
+        (5, 1, "x", None, None, 2), (6, 2, "x", "y", None, 2), (7, 3, "x", "y", "x", 1),  # x lies below y, which hangs on x
+    ]
+    assert R.outline(spark.createDataFrame([], "slug string, parent_ids array<string>")).count() == 0
+
+
+def test_prompts_without_label_or_atoms(spark):
+    ctx = spark.createDataFrame([("s", None, None, [], [], [])], "slug string, label string, kind string, ancestors array<string>, siblings array<string>, children array<string>")
+    got = P.page_prompts(ctx, spark.createDataFrame([("s", "")], "slug string, bullets string")).first()
+    assert got.prompt.startswith(P.ASK + "s" + P.NOT_LEAF + "s" + P.ATOMS + P.NO_ATOMS + P.ALLOWED + P.RULES) and f"{P.LIMIT}{got.word_limit}{P.STYLE}" in got.prompt
