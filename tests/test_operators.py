@@ -141,6 +141,18 @@ def test_atoms(spark):
     assert one(spark, A.atom_errors(F.lit(None).cast("string"), F.lit("q"), F.array(F.lit(1)), F.lit("x"))) == ["missing claim", "bad char_offset", "invalid kind"]
 
 
+def test_sentences_in_one_pass(spark):
+    text = "é. 🙂 b b c.\n\n  . . x\u00a0y\u2003z \n" + "a\n" * 2000 + "end. "
+    chunks = spark.createDataFrame([("s", 3, 7800, text), ("e", 0, 0, ""), ("n", 0, 0, None)], "source_id string, chunk_no int, start int, text string")
+    found = A.extract_atoms(chunks)
+    assert "aggregate(" not in found._jdf.queryExecution().toString()  # no sum over all pieces before each piece
+    rows = found.orderBy("pos").collect()
+    assert {r.source_id for r in rows} == {"s"} and len(rows) == 2006
+    assert all(text[r.char_offset[0] - 7800 : r.char_offset[1] - 7800].strip(" ") == r.quote for r in rows)
+    assert [(r.quote, r.draft_tags) for r in rows[:5]] == [("é.", ["é."]), ("🙂 b b c.", ["🙂", "b"]), (".", ["."]), (".", ["."]), ("x\u00a0y\u2003z", ["x\u00a0y\u2003z"])]
+    assert (rows[-1].quote, rows[-1].char_offset) == ("end.", [7800 + len(text) - 5, 7800 + len(text)])
+
+
 def test_slugs(spark):
     assert one(spark, X.slugify(F.lit("c"), F.lit("!!!"), F.lit(5))) == "c-5"
     assert one(spark, X.slugify(F.lit("c"), F.lit("a" * 39 + " b"), F.lit(0))) == "c-" + "a" * 39 + "-"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from wikispark.functions import text as X
 
 ATOM_SCHEMA = "source_id string, chunk_no int, pos int, claim string, quote string, char_offset array<int>, kind string, draft_tags array<string>"
+PIECE_END, WORD = re.compile(r"(?<=\. )|\n"), re.compile(r"[^ \t\n\x0b\f\r]+")
 
 
 def extract_atoms(chunks: DataFrame, fn: Callable | None = None) -> DataFrame:
@@ -22,17 +24,40 @@ def extract_atoms(chunks: DataFrame, fn: Callable | None = None) -> DataFrame:
     """
     if fn is not None:
         return chunks.mapInPandas(fn, ATOM_SCHEMA)
-    pieces = F.split("text", r"(?<=\. )|\n", -1)
-    rows = chunks.select("source_id", "chunk_no", "start", F.posexplode(pieces).alias("pos", "piece"), pieces.alias("all"))
-    before = F.aggregate(F.slice("all", F.lit(1), F.col("pos")), F.lit(0), lambda s, p: (s + F.length(p) + F.when(p.endswith(". "), 0).otherwise(1)).cast("int"))
-    at = (F.col("start") + before).cast("int")
-    quote = F.trim("piece")
-    words = F.filter(F.split(quote, r"\s+"), lambda w: w != "")
-    rows = rows.where(quote != "")
-    return rows.select(
-        "source_id", "chunk_no", "pos", F.substring(quote, 1, 120).alias("claim"), quote.alias("quote"),
-        F.array(at, at + F.length("piece")).alias("char_offset"), F.lit("definition").alias("kind"), F.slice(F.array_distinct(words), 1, 2).alias("draft_tags"),
-    )
+    return chunks.select("source_id", "chunk_no", "start", "text").mapInArrow(_sentences, ATOM_SCHEMA)
+
+
+def _sentences(batches):
+    """The pieces of each chunk in one pass over its text, however many there are."""
+    import pyarrow as pa
+
+    schema = pa.schema([("source_id", pa.string()), ("chunk_no", pa.int32()), ("pos", pa.int32()), ("claim", pa.string()), ("quote", pa.string()), ("char_offset", pa.list_(pa.int32())), ("kind", pa.string()), ("draft_tags", pa.list_(pa.string()))])
+    for b in batches:
+        rows = []
+        for source, no, start, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            at = start
+            for pos, piece in enumerate(PIECE_END.split(text) if text is not None else ()):
+                end = at + len(piece)
+                quote = piece.strip(" ")
+                if quote:
+                    rows.append((source, no, pos, quote[:120], quote, [at, end], "definition", _first_words(quote)))
+                at = end if piece.endswith(". ") else end + 1
+            if len(rows) >= 1 << 13:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def _first_words(quote: str) -> list[str]:
+    """The first two distinct words."""
+    first = None
+    for m in WORD.finditer(quote):
+        if first is None:
+            first = m[0]
+        elif m[0] != first:
+            return [first, m[0]]
+    return [first] if first is not None else []
 
 
 def normalize_atoms(raw: DataFrame) -> DataFrame:
