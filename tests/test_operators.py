@@ -285,6 +285,32 @@ def test_pruned_pairs_are_complete(spark):
     assert every == 640 * 639 // 2 and formed < every / 3
 
 
+def test_small_cells_travel_in_few_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    rows = rng.normal(0, 1, (600, 16))
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rows.tolist())], "id long, embedding array<double>")
+    units = C.unit_rows(df, 0.5)
+    cells = C.Cells(units, 0.5, 4)
+    copies = C.dealt(units, cells).count().agg(F.sum("count")).first()[0]
+    assert (cells.members > 0).sum() > 100 and copies <= 600 * 14  # next to nothing is ruled out, yet no vector goes to each cell
+    near = unit @ unit.T >= 0.5
+    assert {(r.atom_a, r.atom_b) for r in C.near_duplicates(df, 0.5, block=4).collect()} == {(i, j) for i, j in np.argwhere(near).tolist() if i < j}
+    core = near.sum(axis=1) >= 3
+    want = np.full(600, -1)
+    parts = np.arange(600)
+    while (new := np.where(core, np.where(near & core[None, :], parts[None, :], 600).min(axis=1), parts)).tolist() != parts.tolist():
+        parts = new
+    for i in range(600):
+        kin = np.flatnonzero(near[i] & core)
+        want[i] = parts[i] if core[i] else parts[kin.min()] if len(kin) else -1
+    got = {r.id: r.label for r in C.density_labels(df, 0.5).collect()}
+    names = {w: got[i] for i, w in enumerate(want.tolist())}
+    assert [got[i] for i in range(600)] == [names[w] for w in want.tolist()] and len(set(names.values())) == len(names) and names.get(-1, -1) == -1
+
+
 def test_cluster_names(spark):
     def names(labels):
         rows = [(i, i, x) for i, x in enumerate(labels)]
