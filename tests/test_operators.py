@@ -181,6 +181,15 @@ def test_tops_of_cycles(spark):
     assert got == {x: "a" for x in "abcde"} | {"x": "gone", "y": "gone", "s": "s"} | {f"q{i}": "q70" for i in range(70)}
 
 
+def test_first_pages_of_a_frequent_value_are_found_in_shards(spark):
+    rows = spark.range(500).select(F.format_string("p%d", "id").alias("slug"), F.when(F.col("id") % 50 == 0, "rare").otherwise("hot").alias("key"), (499 - F.col("id")).alias("pos"))
+    found = R._first(rows, ["key"], 3)
+    assert {(r.key, r.pos) for r in found.collect()} == {("hot", 0), ("hot", 1), ("hot", 2), ("rare", 49), ("rare", 99), ("rare", 149)}
+    pages = spark.range(400).select(F.format_string("p%d", "id").alias("slug"), F.lit("x").alias("type"), F.array(F.lit("a"), F.lit("b"), F.format_string("c%d", F.col("id") % 2)).alias("tags"), F.col("id").alias("pos"))
+    got = {r.slug: r.n for r in R.related_pages(pages).groupBy("slug").agg(F.count("*").alias("n")).collect()}
+    assert len(got) == 400 and set(got.values()) == {5}
+
+
 def test_related_pages(spark):
     rng = random.Random(5)
     rows = []

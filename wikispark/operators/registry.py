@@ -19,33 +19,47 @@ def related_pages(registry: DataFrame, limit: int = 5, most_tags: int = 8) -> Da
     score: how many of a page's tags are among the current page's; without any, an equal type scores 0.1; ties keep registry
     order. A related page shares some set of tags with the current one; were it not among the first limit + 1 pages that
     hold this set, limit others would score as much and come first. So each set of a page's tags offers its first pages, and
-    no tag, however popular, makes pairs of its pages. Pages with more than `most_tags` tags, or with one twice, meet others
+    no tag, however popular, makes pairs of its pages. Pages of equal tags have the same partners but for themselves, so
+    limit + 1 are found once for each distinct set of tags. Pages with more than `most_tags` tags, or with one twice, meet others
     by every tag. A page with fewer than `limit` results shares tags with fewer than that, so the first 2 * limit pages of
     its type fill them up.
     """
     own = registry.select("slug", "type", "pos", F.coalesce("tags", F.array().cast("array<string>")).alias("tags")).withColumn("set", F.array_sort(F.array_distinct("tags")))
+    own = settle(own.repartition("slug"))  # a small file is one task, whatever its rows need when sorted
     plain = (F.size("tags") == F.size("set")) & (F.size("set") <= most_tags)
     bits = F.sequence(F.lit(1), F.pow(F.lit(2), F.size("set")).cast("int") - 1)
-    subsets = F.when(F.size("set") == 0, F.array().cast("array<array<string>>")).otherwise(F.transform(bits, lambda b: F.filter("set", lambda x, i: F.pmod(F.floor(b / F.pow(F.lit(2), i)), F.lit(2)) == 1)))
-    keyed = own.where(plain).select("slug", "pos", F.explode(subsets).alias("key"))
-    first = keyed.withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("pos"))).where(F.col("n") <= limit + 1).groupBy("key").agg(F.collect_list("slug").alias("slugs"))
-    pairs = keyed.join(first, "key").select("slug", F.explode("slugs").alias("other"))
+    subsets = F.transform(bits, lambda b: F.filter("set", lambda x, i: F.pmod(F.floor(b / F.pow(F.lit(2), i)), F.lit(2)) == 1))
+    even = own.where(plain & (F.size("set") > 0)).select("slug", "pos", "set")
+    shown = settle(_first(even, ["set"], limit + 1))  # the first pages of each distinct set stand for all of its pages
+    keyed = shown.select("slug", "pos", "set", F.explode(subsets).alias("key"))
+    first = keyed.withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("pos"))).where(F.col("n") <= limit + 1).select("key", F.col("slug").alias("other"), F.col("pos").alias("at"), F.col("set").alias("theirs"))
+    sets = shown.select("set").distinct()
+    met = sets.select("set", F.explode(subsets).alias("key")).join(first, "key").select("set", "other", "at", F.size(F.array_intersect("set", "theirs")).cast("double").alias("score")).distinct()
+    order = lambda key: W.partitionBy(key).orderBy(F.col("score").desc(), "at")
+    of_set = met.withColumn("rank", F.row_number().over(order("set"))).where(F.col("rank") <= limit + 1).groupBy("set").agg(F.collect_list(F.struct("other", "at", "score")).alias("best"))
+    alike = even.join(of_set, "set").select("slug", F.explode("best").alias("b")).select("slug", "b.other", "b.at", "b.score").where("slug <> other")
     tag = own.select("slug", plain.alias("plain"), F.explode("set").alias("tag"))
     odd = tag.where(~F.col("plain")).select(F.col("slug").alias("x"), "tag").join(tag.select(F.col("slug").alias("y"), "tag"), "tag")
-    pairs = pairs.unionByName(odd.select(F.col("x").alias("slug"), F.col("y").alias("other"))).unionByName(odd.select(F.col("y").alias("slug"), F.col("x").alias("other")))
+    pairs = odd.select(F.col("x").alias("slug"), F.col("y").alias("other")).unionByName(odd.select(F.col("y").alias("slug"), F.col("x").alias("other")))
     pairs = pairs.where("slug <> other").distinct()
     theirs = own.select(F.col("slug").alias("other"), F.col("tags").alias("their_tags"), F.col("pos").alias("at"))
     scored = pairs.join(own.select("slug", "set"), "slug").join(theirs, "other").select("slug", "other", "at", F.size(F.filter("their_tags", lambda t: F.array_contains("set", t))).cast("double").alias("score"))
-    best = W.partitionBy("slug").orderBy(F.col("score").desc(), "at")
-    tagged = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    tagged = alike.unionByName(scored).withColumn("rank", F.row_number().over(order("slug"))).where(F.col("rank") <= limit)
     few = tagged.groupBy("slug").agg(F.count("*").alias("n"))
     few = own.join(few, "slug", "left").where(F.coalesce("n", F.lit(0)) < limit).select("slug", "type")
-    kinds = own.withColumn("n", F.row_number().over(W.partitionBy("type").orderBy("pos"))).where(F.col("n") <= 2 * limit).select("type", F.col("slug").alias("other"), F.col("pos").alias("at"))
+    kinds = _first(own.select("slug", "type", "pos"), ["type"], 2 * limit).select("type", F.col("slug").alias("other"), F.col("pos").alias("at"))
     typed = few.join(kinds, "type").where("slug <> other").join(tagged.select("slug", "other"), ["slug", "other"], "left_anti").select("slug", "other", "at", F.lit(0.1).alias("score"))
-    rows = tagged.drop("rank").unionByName(typed).withColumn("rank", F.row_number().over(best))
+    rows = tagged.drop("rank").unionByName(typed).withColumn("rank", F.row_number().over(order("slug")))
     return rows.where(F.col("rank") <= limit).select("slug", F.col("other").alias("related_slug"), "score", "rank")
 
 
+def _first(rows: DataFrame, by: list[str], n: int, shards: int = 64) -> DataFrame:
+    """The first n rows by pos of each value: within shards of the rows first, so that a frequent value makes no large task."""
+    within = W.partitionBy(*by, "_shard").orderBy("pos")
+    kept = rows.withColumn("_shard", F.pmod(F.xxhash64("slug"), F.lit(shards))).withColumn("_n", F.row_number().over(within)).where(F.col("_n") <= n)
+    return kept.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy("pos"))).where(F.col("_n") <= n).drop("_shard", "_n")
+
+
 def prev_next(sequences: DataFrame) -> DataFrame:
     """sequences(seq_no, pos, path) → (path, prev, next) in the first sequence that holds the path."""
     w = W.partitionBy("seq_no").orderBy("pos")
