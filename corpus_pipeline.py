@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wikispark.llm import bpe, langid, mixing, neardup, quality
+from wikispark.llm import bpe, langid, mixing, neardup, quality, simhash
 from wikispark.llm.common import materialise, row_bucket, table
 from wikispark.llm.queries import vocabulary
 
@@ -25,8 +25,9 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-dedup: one document stays of each group linked by five-word shingles of Jaccard similarity 0.8 or more."""
-    return neardup.keep_one(docs)
+    """Near-dedup by SimHash: one document stays of each group linked by fingerprints within two bits (op5's ball hashing) or, since
+    near copies reach more bits than a ball can have, by five-word shingles of Jaccard similarity 0.8 or more."""
+    return simhash.keep_least(docs, neardup.joined(simhash.groups(docs), neardup.groups(docs)))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -363,6 +363,22 @@ def test_near_copies_of_several_words(spark):
     assert neardup.groups(df.limit(0)).count() == 0
 
 
+def test_near_dedup_stage_links_by_fingerprints_too(spark):
+    import corpus_pipeline
+
+    df = documents(spark, [(i, t, "en", "s") for i, t in enumerate(["a b c", "b c d", "x y z", "x y z", "q r"])])
+    a, b = (spark.createDataFrame([(i, i, r) for i, r in enumerate(roots)], "doc_id long, text_hash long, root long") for roots in ([7, 7, 8, 9, 10], [0, 1, 1, 3, 4]))
+    assert [r.component_id for r in neardup.joined(a, b).orderBy("doc_id").collect()] == [0, 0, 0, 3, 4]  # linked by one grouping each
+    plans = []
+    real = simhash.groups
+    simhash.groups = lambda docs, *more: plans.append(1) or real(docs, *more)
+    try:
+        kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, df, "").collect()
+    finally:
+        simhash.groups = real
+    assert plans and sorted(r.doc_id for r in kept) == [0, 1, 2, 4]
+
+
 def test_tiles_of_texts_that_pivots_leave_apart(spark, monkeypatch):
     """With tiles far smaller than a bucket, rows that repeat an id and rows without one: the same components as by all pairs."""
     rng = random.Random(5)

@@ -197,6 +197,20 @@ def groups(docs: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFra
     return rows.select("doc_id", "text_hash").join(of, "text_hash").select("doc_id", "text_hash", "root", "component_id")
 
 
+def joined(*grouped: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, root, component_id) of every row: what is linked in any of several groupings (doc_id, text_hash, root) of the same rows."""
+    rows = materialise(grouped[0].select("doc_id", "text_hash"), "neardup-rows")
+    links = None
+    for g in grouped:
+        of = g.select("text_hash", "root").distinct()
+        edges = of.join(of.groupBy("root").agg(F.min("text_hash").alias("a")), "root").select("a", F.col("text_hash").alias("b")).where("a <> b")
+        links = edges if links is None else links.unionByName(edges)
+    texts = rows.groupBy("text_hash").agg(F.min("doc_id").alias("least")).join(components(links).withColumnRenamed("node", "text_hash"), "text_hash", "left")
+    texts = materialise(texts.select("text_hash", "least", F.coalesce("root", "text_hash").alias("root")), "neardup-joined")
+    of = texts.join(texts.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("text_hash", "root", "component_id")
+    return rows.join(of, "text_hash").select("doc_id", "text_hash", "root", "component_id")
+
+
 def keep_one(docs: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
     """The rows of docs without near copies: of each component the row that `keep_least` names."""
     return keep_least(docs, groups(docs, width, least))
