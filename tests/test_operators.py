@@ -628,3 +628,15 @@ def test_prompts_without_label_or_atoms(spark):
     ctx = spark.createDataFrame([("s", None, None, [], [], [])], "slug string, label string, kind string, ancestors array<string>, siblings array<string>, children array<string>")
     got = P.page_prompts(ctx, spark.createDataFrame([("s", "")], "slug string, bullets string")).first()
     assert got.prompt.startswith(P.ASK + "s" + P.NOT_LEAF + "s" + P.ATOMS + P.NO_ATOMS + P.ALLOWED + P.RULES) and f"{P.LIMIT}{got.word_limit}{P.STYLE}" in got.prompt
+
+
+def test_context_lists_come_last(spark):
+    """Rows with the lists of siblings, which grow with the square of a family, are in no shuffle and no broadcast."""
+    n = 600
+    rows = [("r", None, "root", "R", 0), *[(f"p{i:04d}", "r", "leaf-cluster", "P", n - i) for i in range(n)]]
+    out = T.page_context(spark.createDataFrame(rows, T.TREE))
+    joins = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    assert len(joins) == 2 and all("LeftOuter" in j for j in joins)
+    got = {r.slug: r for r in out.collect()}
+    assert len(got) == n + 1 and len(got["r"].children) == n and not got["r"].siblings
+    assert got["p0005"].siblings == [f"p{i:04d}" for i in range(n - 1, -1, -1) if i != 5]

@@ -109,17 +109,22 @@ def tree_stats(tree: DataFrame) -> DataFrame:
 
 
 def page_context(tree: DataFrame) -> DataFrame:
-    """(slug, label, kind, parent, siblings, children, ancestors, post_no); siblings exclude the page, lists are in tree order."""
-    order = settle(preorder(tree))
+    """(slug, label, kind, parent, siblings, children, ancestors, post_no); siblings exclude the page, lists are in tree order.
+
+    Every list of children is made once. Pages get their places first, while their rows are narrow, and the lists by left joins
+    last: so neither a shuffle nor a broadcast ever holds the rows with their lists, which grow with the square of a family.
+    """
+    order = orders(tree).select("slug", "size", "pre_no", "depth").join(lineage(tree).select("slug", "ancestors"), "slug")
+    placed = tree.join(order.select("slug", "ancestors", (F.col("pre_no") + F.col("size") - 1 - F.col("depth")).alias("post_no")), "slug")
+    placed = settle(placed.select("slug", "label", "kind", "parent_slug", "ancestors", "post_no"))
     kids = tree.where(F.col("parent_slug").isNotNull()).groupBy("parent_slug").agg(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "slug"))), lambda x: x["slug"]).alias("children"))
-    kids = kids.withColumnRenamed("parent_slug", "k")
-    empty = F.array().cast("array<string>")
-    own = tree.join(kids, tree["slug"] == kids["k"], "left").select("slug", "label", "kind", "parent_slug", F.coalesce("children", empty).alias("children"))
+    kids = settle(kids.withColumnRenamed("parent_slug", "k"))
     around = kids.select(F.col("k").alias("up"), F.col("children").alias("family"))
-    own = own.join(around, own["parent_slug"] == around["up"], "left")
-    out = own.join(order.select("slug", "ancestors", (F.col("pre_no") + F.col("size") - 1 - F.col("depth")).alias("post_no")), "slug")
-    siblings = F.coalesce(F.filter("family", lambda s: s != F.col("slug")), empty)
-    return out.select("slug", "label", "kind", F.col("parent_slug").alias("parent"), siblings.alias("siblings"), "children", "ancestors", "post_no")
+    placed = placed.repartition(int(tree.sparkSession.conf.get("spark.sql.shuffle.partitions")), "slug")  # lists make the work, not the few bytes of the rows
+    out = placed.join(kids, placed["slug"] == kids["k"], "left").join(around, placed["parent_slug"] == around["up"], "left")
+    empty = F.array().cast("array<string>")
+    siblings = F.coalesce(F.array_remove("family", F.col("slug")), empty)
+    return out.select("slug", "label", "kind", F.col("parent_slug").alias("parent"), siblings.alias("siblings"), F.coalesce("children", empty).alias("children"), "ancestors", "post_no")
 
 
 def allowed_links(ctx: DataFrame) -> DataFrame:
