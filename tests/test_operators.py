@@ -640,3 +640,28 @@ def test_context_lists_come_last(spark):
     got = {r.slug: r for r in out.collect()}
     assert len(got) == n + 1 and len(got["r"].children) == n and not got["r"].siblings
     assert got["p0005"].siblings == [f"p{i:04d}" for i in range(n - 1, -1, -1) if i != 5]
+
+
+def test_groups_of_nodes_after_many_rounds(spark):
+    """However many rounds of merges there were, the groups of nodes come from one table of steps."""
+    rounds = [[(5, 4)], [(4, 3), (9, 8)], [(3, 2)], [(2, 1)], *[[(100 + i, 99)] for i in range(3)]]
+    merged = [spark.createDataFrame(r, "g long, to_g long") for r in rounds]
+    nodes = spark.createDataFrame([(i,) for i in (*range(1, 11), 99, 100, 101, 102)], "id long")
+    got = {r.id: r.g for r in T._members(nodes, merged, 5).collect()}
+    assert got == {**dict.fromkeys(range(1, 6), 1), 6: 6, 7: 7, 8: 8, 9: 8, 10: 10, **dict.fromkeys(range(99, 103), 99)}
+
+
+def test_best_partners_of_a_slab():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    u = np.round(rng.normal(0, 1, (700, 3)), 1) + 0.05  # many equal similarities
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    size, low = rng.integers(1, 5, 700), rng.uniform(-1, 1, 300)
+    of, with_ = np.arange(300), np.arange(700)
+    got = sorted(zip(*(c.tolist() for c in T._best(of, with_, u, size, with_, low, 8, 5))))
+    want = []
+    for i in of:
+        s = [(-round(float(u[i] @ u[j]), 12), int(j)) for j in with_ if j != i and size[i] + size[j] <= 5]
+        want += [(int(i), j, -v) for v, j in sorted(s)[:9] if -v >= low[i]]
+    assert [g[:2] for g in got] == [w[:2] for w in sorted(want)] and np.allclose([g[2] for g in got], [w[2] for w in sorted(want)])

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wikispark.functions import text as X
-from wikispark.functions import vectors as V
 from wikispark.functions.models import embed_or_constant
 from wikispark.operators.graphs import numbered, settle
-from wikispark.operators.vectors import centroids
+from wikispark.operators.vectors import TRAVEL_BYTES, centroids
 
 TREE = "slug string, parent_slug string, kind string, label string, ordinal int"
 
@@ -206,17 +206,48 @@ def group_label(labels) -> object:
     return F.concat(F.array_join(F.slice(labels, 1, 2), "、"), F.when(F.size(labels) > 2, " 等").otherwise(""))
 
 
-def _partners(groups: DataFrame, keep: int, max_size: int, block: int) -> DataFrame:
-    """groups(g, u, size, fresh, least_s) → (x, y, s): candidates for lists of the `keep` best partners that fit.
+def _best(of, with_, u, size, named, low, keep: int, max_size: int):
+    """(rows of `of`, rows of `with_`, s): of each the keep + 1 most similar others that fit and are not below low, ties to smaller places.
+
+    A slab of rows is multiplied at a time. The keep + 1 largest of the maxima of short runs tell what is too small; only the
+    few values that are left are rounded and ordered.
+    """
+    import numpy as np
+
+    found, run = [], 32
+    step = max(1, (1 << 22) // max(1, len(with_)))
+    for at in range(0, len(of) if len(with_) else 0, step):
+        own = of[at : at + step]
+        s = u[own] @ u[with_].T
+        s[(size[own][:, None] + size[with_][None, :] > max_size) | (named[own][:, None] == named[with_][None, :])] = -np.inf
+        least = low[at : at + step] - 2e-12
+        runs = np.maximum.reduceat(s, np.arange(0, len(with_), run), axis=1)
+        if runs.shape[1] > keep:
+            least = np.maximum(least, np.partition(runs, runs.shape[1] - keep - 1, axis=1)[:, runs.shape[1] - keep - 1] - 2e-12)
+        i, k = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+        v = np.round(s[i, k], 12)
+        order = np.lexsort((k, -v, i))
+        i, k, v = i[order], k[order], v[order]
+        nth = np.arange(len(i)) - np.searchsorted(i, i)
+        kept = (nth <= keep) & (v >= low[at : at + step][i])
+        found.append((own[i[kept]], with_[k[kept]], v[kept]))
+    return [np.concatenate([f[c] for f in found] or [np.zeros(0)]) for c in range(3)]
+
+
+def _partners(groups: DataFrame, keep: int, max_size: int, block: int | None) -> DataFrame:
+    """groups(g, total, size, fresh, least_s) → (x, y, s): candidates for lists of the `keep` best partners that fit.
 
     Each fresh group is held against all groups, in tiles: it gets its keep + 1 best of a tile, and every other group gets
     as many of the tile's fresh ones that are not below the last similarity of its own list. Similarities have 12 digits.
+    Without a given block, a side of a tile has a quarter of the groups, but not under 2,048 groups and not over TRAVEL_BYTES:
+    until then each vector travels to a fixed number of tiles, beyond it to one for each TRAVEL_BYTES of the others.
     """
     kind = groups.schema["g"].dataType.simpleString()
-    n, fresh = groups.agg(F.count("*"), F.count_if("fresh")).first()
+    n, fresh, width = groups.agg(F.count("*"), F.count_if("fresh"), F.max(F.size("total"))).first()
+    block = block or max(2048, min(-(-n // 4), TRAVEL_BYTES // (8 * max(1, width))))
     rows, cols = max(1, -(-fresh // block)), max(1, -(-n // block))
     tile = F.pmod(F.xxhash64("g"), F.lit(1 << 30))
-    own = groups.select("g", "u", "size", "fresh", F.coalesce("least_s", F.lit(-9.0)).alias("least_s"))
+    own = groups.select("g", "total", "size", "fresh", F.coalesce("least_s", F.lit(-9.0)).alias("least_s"))
     left = own.where("fresh").select((tile % rows).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("j"), F.lit(True).alias("left"), "*")
     right = own.select(F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("i"), (tile % cols).cast("int").alias("j"), F.lit(False).alias("left"), "*")
 
@@ -226,21 +257,16 @@ def _partners(groups: DataFrame, keep: int, max_size: int, block: int) -> DataFr
 
         table = table.sort_by("g")
         ids, size, is_left, is_fresh = (table.column(c).combine_chunks() for c in ("g", "size", "left", "fresh"))
-        u = table.column("u").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        u = table.column("total").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        length = np.sqrt((u * u).sum(axis=1, keepdims=True))
+        u = u / np.where(length == 0, 1, length)
         size, is_left, is_fresh = (c.to_numpy(zero_copy_only=False) for c in (size, is_left, is_fresh))
         least = table.column("least_s").to_numpy()
         a, b = np.flatnonzero(is_left), np.flatnonzero(~is_left)
         named = ids.dictionary_encode().indices.to_numpy()
-        s = np.round(u[a] @ u[b].T, 12)
-        s[(size[a][:, None] + size[b][None, :] > max_size) | (named[a][:, None] == named[b][None, :])] = -np.inf
-        found = []
-        for of, with_, sims, low in ((a, b, s, np.full(len(a), -9.0)), (b[~is_fresh[b]], a, s[:, ~is_fresh[b]].T, least[b[~is_fresh[b]]])):
-            if len(of) and len(with_):
-                best = np.argsort(-sims, axis=1, kind="stable")[:, : keep + 1]  # ids are in order, so ties go to smaller ones
-                top = np.take_along_axis(sims, best, axis=1)
-                i, k = np.nonzero((top > -np.inf) & (top >= low[:, None]))
-                found.append((of[i], with_[best[i, k]], top[i, k]))
-        x, y, v = (np.concatenate([f[c] for f in found] or [np.zeros(0)]) for c in range(3))
+        rest = b[~is_fresh[b]]  # ids are in order, so ties go to smaller ones
+        sides = [_best(a, b, u, size, named, np.full(len(a), -9.0), keep, max_size), _best(rest, a, u, size, named, least[rest], keep, max_size)]
+        x, y, v = (np.concatenate([side[c] for side in sides]) for c in range(3))
         return pa.table([ids.take(pa.array(x.astype(np.int64))), ids.take(pa.array(y.astype(np.int64))), pa.array(v.astype(float))], names=["x", "y", "s"])
 
     return left.unionByName(right).groupBy("i", "j").applyInArrow(run, f"x {kind}, y {kind}, s double")
@@ -307,7 +333,23 @@ def _in_sequence(nodes: DataFrame, n: int, goal: int, max_size: int) -> DataFram
     return rows.join(numbered(rows.select("g").distinct(), ["g"], "group_no"), "g").select("id", "group_no")
 
 
-def group_once(nodes: DataFrame, target: int = 4, max_size: int = 5, keep: int = 8, block: int = 2048) -> DataFrame:
+def _members(nodes: DataFrame, merged: list[DataFrame], max_size: int) -> DataFrame:
+    """(id, g): the group of each node; merged are tables (g, to_g), in which a group stands as g once at most.
+
+    All merges are one table of steps, whose chains are shorter than max_size; steps double, so that a join for each round
+    of merges, all in one plan and each with a table of its own in the driver, is not needed.
+    """
+    at = nodes.select("id", F.col("id").alias("g"))
+    if not merged:
+        return settle(at)
+    steps = settle(reduce(DataFrame.unionByName, merged))
+    for _ in range(max(1, max_size - 1).bit_length()):
+        ahead = steps.select(F.col("g").alias("to_g"), F.col("to_g").alias("further"))
+        steps = settle(steps.join(ahead, "to_g", "left").select("g", F.coalesce("further", "to_g").alias("to_g")))
+    return settle(at.join(steps, "g", "left").select("id", F.coalesce("to_g", "g").alias("g")))
+
+
+def group_once(nodes: DataFrame, target: int = 4, max_size: int = 5, keep: int = 8, block: int | None = None) -> DataFrame:
     """nodes(id, embedding) → (id, group_no): rounds in which groups that are each other's best partner merge.
 
     Partners are the most similar pair by centroid under the size limit (ties to smaller ids); rounds end at about
@@ -321,13 +363,12 @@ def group_once(nodes: DataFrame, target: int = 4, max_size: int = 5, keep: int =
         return nodes.select("id", F.lit(0).cast("long").alias("group_no"))
     if not nodes.where(F.exists("embedding", lambda x: x != 0)).limit(1).count():
         return _in_sequence(nodes, n, -(-n // target), max_size)
-    members = nodes.select("id", F.col("id").alias("g"))
     groups = settle(nodes.select(F.col("id").alias("g"), F.col("embedding").cast("array<double>").alias("total"), F.lit(1).alias("size"), F.lit(True).alias("fresh")))
     lists = groups.sparkSession.createDataFrame([], f"x {kind}, y {kind}, s double")
     bounds = groups.sparkSession.createDataFrame([], f"b {kind}, least_s double, least_y {kind}")
     left, goal, merged = n, -(-n // target), []
     while left > goal:
-        units = settle(groups.join(bounds, F.col("g") == F.col("b"), "left").select("g", V.unit(F.col("total")).alias("u"), "size", "fresh", "least_s"))
+        units = groups.join(bounds, F.col("g") == F.col("b"), "left").select("g", "total", "size", "fresh", "least_s")
         known = _partners(units, keep, max_size, block).unionByName(lists).join(bounds, F.col("x") == F.col("b"), "left")
         known = known.where("least_s IS NULL OR s > least_s OR (s = least_s AND y <= least_y)")
         rank = F.row_number().over(W.partitionBy("x").orderBy(F.col("s").desc(), "y"))
@@ -354,9 +395,7 @@ def group_once(nodes: DataFrame, target: int = 4, max_size: int = 5, keep: int =
         bounds = settle(bounds.join(lists.select(F.col("x").alias("b")), "b", "left_semi"))
         merged.append(merges.select(F.col("y").alias("g"), F.col("x").alias("to_g")))
         left -= min(found, left - goal)
-    for step in merged:
-        members = members.join(step, "g", "left").select("id", F.coalesce("to_g", "g").alias("g"))
-    members = settle(members)
+    members = _members(nodes, merged, max_size)
     numbers = numbered(members.groupBy("g").agg(F.min("id").alias("least")), ["least"], "group_no")
     return members.join(numbers, "g").select("id", "group_no")
 
