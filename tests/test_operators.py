@@ -665,3 +665,22 @@ def test_best_partners_of_a_slab():
         s = [(-round(float(u[i] @ u[j]), 12), int(j)) for j in with_ if j != i and size[i] + size[j] <= 5]
         want += [(int(i), j, -v) for v, j in sorted(s)[:9] if -v >= low[i]]
     assert [g[:2] for g in got] == [w[:2] for w in sorted(want)] and np.allclose([g[2] for g in got], [w[2] for w in sorted(want)])
+
+
+def test_nav_neighbours_are_dealt_by_slug(spark):
+    """Children of unknown parents and kin among the neighbours go, repeats stay; nothing is broadcast or hashed whole."""
+    pages = spark.createDataFrame([("a", 1, []), ("b", 2, ["a"]), ("c", 3, ["a", "x"]), ("d", 4, ["a", None]), ("d", 5, [])], "slug string, pos long, parent_ids array<string>")
+    links = R.next_links(pages.select("slug", "pos"))
+    assert sorted(map(tuple, links.collect())) == [("a", "b"), ("b", "c"), ("c", "d"), ("d", "d")]
+    edges = links.unionByName(spark.createDataFrame([("b", "z"), ("b", "y"), ("b", "y"), ("q", "b"), (None, "b")], "a string, b string"))
+    out = R.nav_neighbours(pages, edges, 3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Join" not in plan.replace("SortMergeJoin", "")
+    got = {}
+    for r in out.collect():
+        got.setdefault((r.slug, r.role), []).append((r.pos, r.target))
+    assert {k: sorted(v, key=str) for k, v in got.items()} == {
+        ("b", "parent"): [(0, "a")], ("c", "parent"): [(0, "a"), (1, "x")], ("d", "parent"): [(0, "a"), (1, None)], ("a", "child"): [(0, "b"), (1, "c"), (2, "d")],
+        ("b", "related"): [(0, None), (1, "c"), (2, "q")], ("c", "related"): [(0, "b"), (1, "d")], ("d", "related"): [(0, "c"), (1, "d"), (2, "d")],
+        ("z", "related"): [(0, "b")], ("y", "related"): [(0, "b"), (1, "b")], ("q", "related"): [(0, "b")], (None, "related"): [(0, "b")],
+    }

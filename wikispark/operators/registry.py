@@ -140,16 +140,43 @@ def open_items(journal: DataFrame) -> DataFrame:
     return journal.where(~F.col("done")).groupBy("source", "kind").agg(F.count("*").alias("cnt"))
 
 
+def parts_of(rows: int, df: DataFrame, each: int = 25_000) -> int:
+    """How many partitions deal that many narrow rows, so that a task's share does not grow with the table."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
+def next_links(pages: DataFrame) -> DataFrame:
+    """pages(slug, pos) → (a, b): distinct pairs of the slugs of neighbouring places, a < b or equal.
+
+    Rows are dealt before they are joined and before equal ones are dropped: no task holds a hash table of what one file part has.
+    """
+    parts = parts_of(pages.count(), pages)
+    at = pages.select("slug", (F.col("pos") + 1).alias("pos")).repartition(parts, "pos")
+    nxt = at.join(pages.select(F.col("slug").alias("other"), "pos").repartition(parts, "pos").hint("merge"), "pos")
+    return nxt.select(F.least("slug", "other").alias("a"), F.greatest("slug", "other").alias("b")).repartition(parts, "a", "b").distinct()
+
+
 def nav_neighbours(registry: DataFrame, edges: DataFrame, limit: int = 4) -> DataFrame:
-    """(slug, role, pos, target): parents, all children, then up to `limit` other neighbours in the link graph by slug."""
-    parents = registry.select("slug", F.posexplode("parent_ids").alias("pos", "target"))
-    up = parents.select("slug", F.lit("parent").alias("role"), "pos", "target")
-    down = parents.select(F.col("target").alias("slug"), F.lit("child").alias("role"), F.col("slug").alias("target"))
-    down = down.join(registry.select("slug"), "slug", "left_semi").withColumn("pos", F.row_number().over(W.partitionBy("slug").orderBy("target")) - 1)
-    both = edges.select(F.col("a").alias("slug"), F.col("b").alias("target")).unionByName(edges.select(F.col("b").alias("slug"), F.col("a").alias("target")))
-    kin = up.select("slug", "target").unionByName(down.select("slug", "target"))
-    other = both.join(kin, ["slug", "target"], "left_anti").withColumn("pos", F.row_number().over(W.partitionBy("slug").orderBy("target")) - 1).where(F.col("pos") < limit)
-    return up.unionByName(down.select("slug", "role", "pos", "target")).unionByName(other.select("slug", F.lit("related").alias("role"), "pos", "target"))
+    """(slug, role, pos, target): parents, all children, then up to `limit` other neighbours in the link graph by slug.
+
+    All that is known of a slug is dealt once, by slug, into parts whose number grows with the registry, and sorted there: no
+    hash tables and no broadcasts. Children count for slugs of the registry only; a parent or child is no other neighbour.
+    """
+    rank, none = {"self": 0, "parent": 1, "child": 2, "related": 3}, F.lit(None).cast("string")
+    fact = lambda df, slug, role, pos, target: df.select(slug.alias("slug"), F.lit(role).alias("role"), F.lit(rank[role]).alias("nth"), pos.cast("int").alias("pos"), target.alias("target"))
+    up, no = registry.select("slug", F.posexplode("parent_ids").alias("pos", "target")), F.lit(None)
+    slug, target, a, b = (F.col(c) for c in ("slug", "target", "a", "b"))
+    facts = [fact(registry, slug, "self", no, none), fact(up, slug, "parent", F.col("pos"), target), fact(up, target, "child", no, slug), fact(edges, a, "related", no, b), fact(edges, b, "related", no, a)]
+    rows = facts[0]
+    for f in facts[1:]:
+        rows = rows.unionByName(f)
+    rows = rows.repartition(parts_of(registry.count(), registry), "slug")
+    known = F.max(F.col("nth") == 0).over(W.partitionBy("slug").orderBy("nth").rowsBetween(W.unboundedPreceding, W.currentRow)) & slug.isNotNull()  # own rows come first
+    rows = rows.withColumn("known", known).where("nth > 0 AND (nth <> 2 OR known)")
+    kin = F.max(F.col("nth") < 3).over(W.partitionBy("slug", "target").orderBy("nth").rowsBetween(W.unboundedPreceding, W.currentRow)) & slug.isNotNull() & target.isNotNull()
+    rows = rows.withColumn("kin", kin).where("nth < 3 OR NOT kin")
+    pos = F.when(F.col("nth") == 1, F.col("pos")).otherwise(F.row_number().over(W.partitionBy("slug", "nth").orderBy("target")) - 1)
+    return rows.withColumn("pos", pos).where(f"nth < 3 OR pos < {int(limit)}").select("slug", "role", "pos", "target")
 
 
 def tooltips(refs: DataFrame, registry: DataFrame) -> DataFrame:
