@@ -684,3 +684,14 @@ def test_nav_neighbours_are_dealt_by_slug(spark):
         ("b", "related"): [(0, None), (1, "c"), (2, "q")], ("c", "related"): [(0, "b"), (1, "d")], ("d", "related"): [(0, "c"), (1, "d"), (2, "d")],
         ("z", "related"): [(0, "b")], ("y", "related"): [(0, "b"), (1, "b")], ("q", "related"): [(0, "b")], (None, "related"): [(0, "b")],
     }
+
+
+def test_page_files(spark, tmp_path):
+    """Any slug and text comes back from its file, repeats included, and there is no folder for each page."""
+    rows = [("a", "# A\n\n漢\r\n"), ("a", "second"), ("a", "second"), ("", "empty"), (None, "none"), ("_x/y.%41~2", None), ("概念-" + "漢" * 60, ""), *[(f"p{i}", f"text {i}") for i in range(200)]]
+    out = str(tmp_path / "files")
+    for path in (out, f"file://{out}"):  # the second replaces the first
+        Wr.write_pages(spark.createDataFrame(rows, "slug string, markdown string"), path)
+        assert sorted(map(str, map(tuple, Wr.read_pages(spark, path).collect()))) == sorted(str((s, m or "")) for s, m in rows)
+    assert spark.read.text(out, wholetext=True).count() == len(rows)
+    assert len([p for p in (tmp_path / "files").iterdir() if p.is_dir()]) <= 4
