@@ -695,3 +695,16 @@ def test_page_files(spark, tmp_path):
         assert sorted(map(str, map(tuple, Wr.read_pages(spark, path).collect()))) == sorted(str((s, m or "")) for s, m in rows)
     assert spark.read.text(out, wholetext=True).count() == len(rows)
     assert len([p for p in (tmp_path / "files").iterdir() if p.is_dir()]) <= 4
+
+
+def test_search_of_short_terms_reads_no_text(spark):
+    """Up to three terms of up to three characters are answered by the postings alone; longer or more terms are held against the text."""
+    index = spark.createDataFrame([(1, "ab", "", "xyz q"), (2, "AB", None, "xy zq"), (3, None, "b a", "漢字"), (4, "abxyz", "qr", "abcd")], "slug int, title string, summary string, keywords string")
+    asked = ["a", "AB", "xyz", "a b q", "漢", "ab xyz q", "abcd", "a b x y", "zz", "  ", "ab ab"]
+    want = {(0, s) for s in (1, 2, 3, 4)} | {(1, 1), (1, 2), (1, 4), (2, 1), (2, 4), (3, 1), (3, 2), (3, 4), (4, 3), (5, 1), (5, 4), (6, 4), (7, 1), (7, 2), (7, 4), (10, 1), (10, 2), (10, 4)}
+    got = Q.search(spark.createDataFrame(list(enumerate(asked)), "query_id int, query string"), index).collect()
+    assert sorted((r.query_id, r.slug) for r in got) == sorted(want)
+    built = Q.index_of(index)
+    built.pages = built.pages.where("slug < 0")  # no text at hand
+    short = Q.asked_terms(spark.createDataFrame([(0, "ab xyz"), (1, "abcd")], "query_id int, query string"))
+    assert sorted(map(tuple, Q.lookup(short, built).collect())) == [(0, 1), (0, 4)]

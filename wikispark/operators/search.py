@@ -3,7 +3,7 @@
 The index holds a posting for each page and each distinct run of one, two or three characters of its text. A term of one or
 two characters is such a run itself, a longer one contains runs of three, so a query's pages are among the postings of
 every run of its terms. They are looked up for the rarest run, narrowed down by the next rarest, and what is left is held
-against the text. No query meets pages that lack its rarest run, however short its terms. Runs that very many pages hold
+against the text; queries of at most RAREST terms that all are runs themselves need no text, since the postings are the answer. No query meets pages that lack its rarest run, however short its terms. Runs that very many pages hold
 are dealt in blocks of pages. Queries of the same terms are looked up once.
 """
 
@@ -90,7 +90,10 @@ def lookup(asked: DataFrame, index: Index) -> DataFrame:
         both = found.join(also, "set", "left")
         held = index.postings.select(F.col("gram").alias("g"), "slug", F.lit(True).alias("held"))
         found = both.join(held, ["g", "slug"], "left").where("held OR g IS NULL").select("set", "slug")
-    near = found.join(sets, "set").join(index.pages, "slug").where(X.search_match(F.col("terms"), F.col("haystack"))).select("terms", "slug")
+    named = found.join(sets, "set")
+    sure = (F.size("terms") <= RAREST) & F.forall("terms", lambda t: F.length(t) <= LONGEST)
+    held = named.where(~sure).join(index.pages, "slug").where(X.search_match(F.col("terms"), F.col("haystack")))
+    near = named.where(sure).select("terms", "slug").unionByName(held.select("terms", "slug"))
     return asked.join(near, "terms").select("query_id", "slug")
 
 
