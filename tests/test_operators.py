@@ -708,3 +708,44 @@ def test_search_of_short_terms_reads_no_text(spark):
     built.pages = built.pages.where("slug < 0")  # no text at hand
     short = Q.asked_terms(spark.createDataFrame([(0, "ab xyz"), (1, "abcd")], "query_id int, query string"))
     assert sorted(map(tuple, Q.lookup(short, built).collect())) == [(0, 1), (0, 4)]
+
+
+def test_kmeans_with_centres_that_grow(spark):
+    import numpy as np
+
+    from wikispark.operators import kmeans as K
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(240, 8)), np.repeat(rng.normal(size=(4, 8)), 20, axis=0)])
+    df = spark.createDataFrame([*enumerate(x.tolist()), (900, None), (901, [float("nan")] * 8)], "id long, embedding array<double>")
+    got = {r.id: r.label for r in C.kmeans_labels(df, n_init=2).collect()}  # nulls made this fail
+    assert len(got) == 322 and got.pop(900) is None and got.pop(901) is None
+    label = np.array([got[i] for i in range(320)])
+    assert set(label) == set(range(320 // 7))
+    means = np.array([x[label == i].mean(0) for i in range(320 // 7)])
+    far = ((x[:, None] - means) ** 2).sum(2)
+    assert np.allclose(far[np.arange(320), label], far.min(1), atol=1e-3)  # each has its nearest mean
+    assert all(len(set(label[i : i + 20])) == 1 for i in range(240, 320, 20))  # copies stay together
+    # as plain means and nearest centres from the same seeds, for each start
+    points = spark.createDataFrame([(i, i * 7919, bytearray(v.tobytes())) for i, v in enumerate(x)], "row long, h long, x binary")
+    run = K.KMeans(points, 320, 45, 42, 2)
+    run.candidates()
+    weights = np.array([r.w for r in run.state.orderBy("row").collect()])
+    assert weights.sum(0).tolist() == [320, 320]
+    seeds = run.seeds()
+    first = {(r.start, r.key) for r in seeds.collect()}
+    assert [sum(s == start for s, _ in first) for start in (0, 1)] == [45, 45] and all(weights[k, s] for s, k in first)
+    ended = run.iterate(seeds, 30).collect()
+    for start in (0, 1):
+        w, keys = weights[:, start], sorted(k for s, k in first if s == start)
+        c = x[keys]
+        for _ in range(30):
+            near = ((x[:, None] - c) ** 2).sum(2).argmin(1)
+            new = np.array([np.average(x[near == i], axis=0, weights=w[near == i]) if w[near == i].sum() else c[i] for i in range(45)])
+            moved, c = np.sqrt(((new - c) ** 2).sum(1)).max(), new
+            if moved <= 1e-4:
+                break
+        assert np.allclose(c, [np.frombuffer(r.x) for r in sorted((r for r in ended if r.start == start), key=lambda r: r.key)], atol=1e-3)
+    at, distance, bound = K.two_nearest(x, np.concatenate([x[:50], x[:3] + 1e-6]))
+    assert (at[:50] == np.arange(50)).all() and (distance[:50] == 0).all() and (bound[:3] < 1e-5).all()
+    assert C.kmeans_labels(df.where("id >= 900"), n_init=1).where("label IS NULL").count() == 2
