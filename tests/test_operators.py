@@ -735,7 +735,7 @@ def test_kmeans_with_centres_that_grow(spark):
     seeds = run.seeds()
     first = {(r.start, r.key) for r in seeds.collect()}
     assert [sum(s == start for s, _ in first) for start in (0, 1)] == [45, 45] and all(weights[k, s] for s, k in first)
-    ended = run.iterate(seeds, 30).collect()
+    ended = K.located(run.iterate(seeds, 30)).collect()
     for start in (0, 1):
         w, keys = weights[:, start], sorted(k for s, k in first if s == start)
         c = x[keys]
