@@ -390,6 +390,23 @@ def test_tree_building(spark):
     assert [r.kind for r in T.build_tree(df.limit(0), "t").collect()] == ["root"]
 
 
+def test_size_guesses_do_not_grow_with_rounds(spark, monkeypatch):
+    def bits(df):
+        guess = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return guess.bit_length() if isinstance(guess, int) else guess.bitLength()
+
+    found, partners = [], T._partners
+
+    def watched(units, *rest):
+        found.append(bits(units))
+        assert found[-1] <= 200  # with checkpoints only, five times more each round
+        return partners(units, *rest)
+
+    monkeypatch.setattr(T, "_partners", watched)
+    nodes = spark.range(24).select("id", F.array(F.cos("id"), F.sin("id"), F.cos(F.col("id") * 3)).alias("embedding"))
+    assert T.group_once(nodes).count() == 24 and len(found) >= 3
+
+
 def test_cycles(spark):
     def cycle(edges):
         return {(r.a, r.b) for r in G.cycle_edges(spark.createDataFrame(edges, "a string, b string")).collect()}

@@ -13,6 +13,7 @@ from wikispark.functions import text as X
 from wikispark.functions.models import embed_or_constant
 from wikispark.operators.graphs import numbered, settle
 from wikispark.operators.vectors import TRAVEL_BYTES, centroids
+from wikispark.sources.writers import discard, stored
 
 TREE = "slug string, parent_slug string, kind string, label string, ordinal int"
 
@@ -357,13 +358,15 @@ def group_once(nodes: DataFrame, target: int = 4, max_size: int = 5, keep: int =
     list of its `keep` best partners, and where it was cut off, what came last: as long as the list is not used up, its first
     entry is the best of all. So only groups that a round has merged, or whose list is used up, are compared with all
     others again; the rest learns of merged groups from the same tiles. Without any vector but zeros see `sequence_runs`.
+    What a round leaves to the next is stored, not checkpointed, so that no guess of its size goes on (see `stored`).
     """
     n, kind = nodes.count(), nodes.schema["id"].dataType.simpleString()
     if n <= max_size:
         return nodes.select("id", F.lit(0).cast("long").alias("group_no"))
     if not nodes.where(F.exists("embedding", lambda x: x != 0)).limit(1).count():
         return _in_sequence(nodes, n, -(-n // target), max_size)
-    groups = settle(nodes.select(F.col("id").alias("g"), F.col("embedding").cast("array<double>").alias("total"), F.lit(1).alias("size"), F.lit(True).alias("fresh")))
+    groups, path = stored(nodes.select(F.col("id").alias("g"), F.col("embedding").cast("array<double>").alias("total"), F.lit(1).alias("size"), F.lit(True).alias("fresh")), "groups")
+    paths = [path]
     lists = groups.sparkSession.createDataFrame([], f"x {kind}, y {kind}, s double")
     bounds = groups.sparkSession.createDataFrame([], f"b {kind}, least_s double, least_y {kind}")
     left, goal, merged = n, -(-n // target), []
@@ -385,16 +388,19 @@ def group_once(nodes: DataFrame, target: int = 4, max_size: int = 5, keep: int =
         if not found:
             break
         gone = merges.select(F.explode(F.array("x", "y")).alias("g"))
-        lists = settle(ranked.where(F.col("rank") <= keep).select("x", "y", "s").join(gone.withColumnRenamed("g", "x"), "x", "left_anti").join(gone.withColumnRenamed("g", "y"), "y", "left_anti"))
+        lists, lists_path = stored(ranked.where(F.col("rank") <= keep).select("x", "y", "s").join(gone.withColumnRenamed("g", "x"), "x", "left_anti").join(gone.withColumnRenamed("g", "y"), "y", "left_anti"), "lists")
         bounds = bounds.join(gone.withColumnRenamed("g", "b"), "b", "left_anti")
         used_up = bounds.join(lists.select(F.col("x").alias("b")), "b", "left_anti").select(F.col("b").alias("g"), F.lit(True).alias("again"))
         side = lambda c, name: groups.select(F.col("g").alias(c), F.col("total").alias(f"total_{name}"), F.col("size").alias(f"size_{name}"))
         joined = merges.join(side("x", "a"), "x").join(side("y", "b"), "y").select(F.col("x").alias("g"), F.zip_with("total_a", "total_b", lambda p, q: p + q).alias("total"), (F.col("size_a") + F.col("size_b")).alias("size"), F.lit(True).alias("fresh"))
         rest = groups.join(gone, "g", "left_anti").join(used_up, "g", "left").select("g", "total", "size", F.coalesce("again", F.lit(False)).alias("fresh"))
-        groups = settle(rest.unionByName(joined))
-        bounds = settle(bounds.join(lists.select(F.col("x").alias("b")), "b", "left_semi"))
+        groups, groups_path = stored(rest.unionByName(joined), "groups")
+        bounds, bounds_path = stored(bounds.join(lists.select(F.col("x").alias("b")), "b", "left_semi"), "bounds")
+        discard(*paths)
+        paths = [groups_path, lists_path, bounds_path]
         merged.append(merges.select(F.col("y").alias("g"), F.col("x").alias("to_g")))
         left -= min(found, left - goal)
+    discard(*paths)
     members = _members(nodes, merged, max_size)
     numbers = numbered(members.groupBy("g").agg(F.min("id").alias("least")), ["least"], "group_no")
     return members.join(numbers, "g").select("id", "group_no")
@@ -407,9 +413,8 @@ def build_tree(leaves: DataFrame, topic: str = "", max_size: int = 5, model: Cal
     its slug one that no leaf or earlier section has. No leaves: the root alone.
     """
     spark = leaves.sparkSession
-    nodes = settle(leaves.select("slug", "label", "embedding", F.lit("leaf-cluster").alias("kind")))
-    nodes = numbered(nodes, ["slug"])
-    done = spark.createDataFrame([], TREE)
+    nodes, path = stored(numbered(leaves.select("slug", "label", "embedding", F.lit("leaf-cluster").alias("kind")), ["slug"]), "nodes")
+    done, placed_path = spark.createDataFrame([], TREE), None
     while nodes.count() > max_size:
         grouped = group_once(nodes.select(F.col("no").alias("id"), "embedding"), max_size=max_size)
         rows = settle(nodes.join(grouped, nodes["no"] == grouped["id"]).select("slug", "label", "embedding", "kind", "no", "group_no", F.count("*").over(W.partitionBy("group_no")).alias("size")))
@@ -423,10 +428,12 @@ def build_tree(leaves: DataFrame, topic: str = "", max_size: int = 5, model: Cal
         up = named.join(centroids(joined, "group_no"), "group_no")
         ordinal = F.row_number().over(W.partitionBy("group_no").orderBy("no")) - 1
         placed = joined.join(up.select("group_no", F.col("slug").alias("parent_slug")), "group_no").select("slug", "parent_slug", "kind", "label", ordinal.alias("ordinal"))
-        done = settle(done.unionByName(placed))
+        done, done_path = stored(done.unionByName(placed), "placed")
         rest = rows.where("size = 1").select("slug", "label", "embedding", "kind", "group_no")
         rest = rest.unionByName(up.select("slug", "label", "embedding", F.lit("intermediate").alias("kind"), "group_no"))
-        nodes = numbered(rest, ["group_no"]).drop("group_no")
+        above, above_path = stored(numbered(rest, ["group_no"]).drop("group_no"), "nodes")
+        discard(path, placed_path)
+        nodes, path, placed_path = above, above_path, done_path
     root = spark.createDataFrame([("root-" + (topic or "topic"), None, "root", topic or "root", 0)], TREE)
     top = nodes.select("slug", F.lit("root-" + (topic or "topic")).alias("parent_slug"), "kind", "label", F.col("no").cast("int").alias("ordinal"))
     return root.unionByName(top).unionByName(done)
