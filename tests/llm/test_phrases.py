@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wikispark.llm import phrases
 
@@ -57,6 +58,24 @@ def test_spans_and_no_repeats(spark):
     assert phrases.cut(clean.where("doc_id < 0")).collect() == []
 
 
+def test_phrases_go_to_the_parts_that_hold_them(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "PART", 1)  # two rows a part
+    rows = [(2 * i + k, " ".join(f"{i}-{j}" for j in range(80))) for i in range(20) for k in range(2)]  # pairs of copies, each in a part of its own
+    rows += [(40, rows[0][1]), (41, "clean"), (42, rows[0][1] + " x"), (43, rows[2][1])]
+    docs = spark.createDataFrame(rows, SCHEMA).coalesce(1).select("doc_id", "text", F.lit(None).alias("none"))
+    parted = docs.select("doc_id", "text", F.shiftright(F.col("doc_id"), 1).alias("part")).coalesce(1)
+    anchors = phrases.by_part(phrases.recurring_anchors(parted, 35), "anchors")
+    windows = phrases.by_part(phrases.recurring_windows(parted, anchors, 35), "windows")
+    dealt = phrases.phrases_by_part(parted, windows, 35).collect()
+    holders = {}
+    for r in dealt:
+        holders.setdefault(r.anchor, set()).add(r.part)
+    assert sorted(map(sorted, {frozenset(v) for v in holders.values()})) == sorted([[0, 20, 21], [1, 21], *([i] for i in range(2, 20))])
+    assert len(dealt) == len({(r.part, r.anchor) for r in dealt})
+    found = phrases.digest(phrases.cut(docs, 35, 3)).collect()
+    assert sorted(map(tuple, found), key=str) == plain(rows, 35)
+
+
 def test_hashes_of_runs():
     rnd = np.random.default_rng(1)
     words = rnd.integers(0, 1 << 62, 300).astype(np.uint64)

@@ -4,18 +4,18 @@ A window is `window` consecutive words of one document. Its anchor is the run of
 so equal windows have equal anchors at the same place and about one run in fifteen is an anchor at all.
 
 1. Confirm: anchors are counted; windows whose anchor occurs once cannot recur. The others meet by anchor and hash of the
-   window (128 bits together), packed by anchor; those that start in two places are confirmed, each with one part of the
-   corpus that holds it. That part names the first words of their anchors: the phrases.
-2. Compile: phrases go by hash to shards of a bounded number of windows, each an Aho-Corasick automaton of its phrases
-   and the sorted hashes of the confirmed windows around them, written to the shared folder.
-3. Locate: all documents stream through all shards. An automaton finds every occurrence of a phrase; the windows around it
-   are held against the confirmed ones, and words of those that are there go. Stretches of a text around an anchor
-   of the shard are run through it, so that all shards together read the repeated text, not the corpus times their number.
+   window (128 bits together), packed by anchor; those that start in two places are confirmed, for each part of the corpus
+   that holds them. One of these parts names the first words of their anchors: the phrases.
+2. Deal: a phrase goes to the parts that hold a confirmed window around it, and to no other.
+3. Locate: all documents stream past the phrases of their part. For each chunk of text those whose anchors it has are compiled into
+   Aho-Corasick automata of a bounded number of phrases; an automaton finds every occurrence of a phrase, the windows around
+   it are held against the part's confirmed ones, and words of those that are there go. Stretches of a text around an
+   anchor of the automaton are run through it.
 
 Words are coded as 16 bits in an automaton, so that its nodes have at most 256 children; what such a code takes for a
-phrase without being it fails at the confirmed windows. Shards grow with the distinct repeated text, and each is read once
-for every LOCATED bytes of text. The parts of step 1 are rows of one file of the table that step 1 writes, and their
-anchors and windows come back in a folder for each part.
+phrase without being it fails at the confirmed windows. A part is rows of one file of the table that step 1 writes; its
+anchors, windows and phrases come back in a folder of its own and are read with its text only, so that all work
+grows with the text, however much of it repeats.
 
 Definitions. Words are runs of characters other than ASCII white space, unchanged. A window goes if its words also start
 at another place, in the same document or row or any other; rows that repeat count as places of their own, overlapping
@@ -25,22 +25,20 @@ doc_id and text take no part; an empty table gives no rows.
 
 from __future__ import annotations
 
-import pickle
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wikispark.llm.common import file_system, materialise, parts, remove, shared_dir, write_file
+from wikispark.llm.common import file_system, freed, materialise, parts, shared_dir
 
 WINDOW, ANCHOR = 35, 8
 CODED = 5  # words at the start of an anchor that an automaton knows as the phrase
-CHUNK, LOCATED = 1 << 21, 5 << 20  # bytes of text held at a time, and where automata are read for each
+CHUNK = 1 << 21  # bytes of text held at a time
 LONG = 64  # bytes of a word that are hashed along with all other words'
 PART = 13  # bits of a row's number within a part
 HOT, SALTS = 1000, 64  # windows of anchors met so often are dealt singly, by their own hash
-SHARD = 600_000  # windows of an automaton's shard
+SHARD = 50_000  # phrases of an automaton
 
 
 def word_hashes(data: bytes):
@@ -132,16 +130,22 @@ class Chunk:
         return self.grams[(most == self.grams) & (most > 0)]
 
 
-def chunks(batches, window: int):
-    """(part, Chunk) of batches (text, part)."""
+def runs_of_parts(batches, text: int, part: int):
+    """(part, batch of rows of it) of batches, cut so that texts stay under CHUNK bytes."""
     import numpy as np
 
-    for b in parts(batches, 0, CHUNK):
-        part = b.column(1).to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    for b in parts(batches, text, CHUNK):
+        of = b.column(part).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
         for start, end in zip(cuts[:-1], cuts[1:], strict=True):
             if start < end:
-                yield int(part[start]), Chunk(b.column(0).slice(start, end - start).to_pylist(), window)
+                yield int(of[start]), b.slice(start, end - start)
+
+
+def chunks(batches, window: int):
+    """(part, Chunk) of batches (text, part)."""
+    for part, b in runs_of_parts(batches, 0, 1):
+        yield part, Chunk(b.column(0).to_pylist(), window)
 
 
 def stored(folder: str, part: int, columns: list[str]):
@@ -153,7 +157,12 @@ def stored(folder: str, part: int, columns: list[str]):
     fs, path = file_system(f"{folder}/part={part}")
     files = [f.path for f in fs.get_file_info(afs.FileSelector(path, allow_not_found=True)) if f.path.endswith(".parquet")]
     tables = [pq.read_table(fs.open_input_file(f), columns=columns) for f in files]
-    return [np.concatenate([t.column(c).to_numpy() for t in tables] or [np.zeros(0, np.int64)]) for c in columns]
+    return [np.concatenate([t.column(c).to_numpy(zero_copy_only=False) for t in tables] or [np.zeros(0, np.int64)]) for c in columns]
+
+
+def unstored(folder: str) -> None:
+    fs, path = file_system(folder)
+    fs.delete_dir(path)
 
 
 def held(values, of):
@@ -184,7 +193,8 @@ def both_held(h, m, of_h, of_m):
 def by_part(rows: DataFrame, label: str) -> str:
     """Writes rows in a folder for each part."""
     path = shared_dir(rows.sparkSession, label)
-    rows.repartition("part").sortWithinPartitions("part").write.partitionBy("part").parquet(path)
+    with freed(rows.sparkSession):
+        rows.repartition("part").sortWithinPartitions("part", "anchor").write.partitionBy("part").parquet(path)
     return path
 
 
@@ -206,7 +216,7 @@ def recurring_anchors(parted: DataFrame, window: int, hot: int = HOT) -> DataFra
 
 
 def recurring_windows(parted: DataFrame, anchors: str, window: int) -> DataFrame:
-    """(part, anchor, hash) of each window that starts in two places or more, with one part that holds it."""
+    """(part, anchor, hash, first) of each window that starts in two places or more, for each part that holds it; first is true for one of these."""
 
     def run(batches):
         import numpy as np
@@ -238,12 +248,24 @@ def recurring_windows(parted: DataFrame, anchors: str, window: int) -> DataFrame
 
     packed = parted.select("text", "part").mapInArrow(run, "anchor long, salt int, part long, hashes array<long>, ns array<byte>")
     dealt = packed.repartition("anchor", "salt").select("anchor", "salt", "part", "ns", F.posexplode("hashes").alias("k", "hash"))
-    counted = dealt.groupBy("anchor", "salt", "hash").agg(F.sum(F.expr("ns[k]")).alias("n"), F.min("part").alias("part"))
-    return counted.where("n > 1").select("part", "anchor", "hash")
+    same = W.partitionBy("anchor", "salt", "hash")
+    counted = dealt.select("anchor", "salt", "part", "hash", F.sum(F.expr("ns[k]")).over(same).alias("n"), F.min("part").over(same).alias("least"))
+    kept = counted.where("n > 1").groupBy("anchor", "salt", "hash", "part").agg(F.min("least").alias("least"))
+    return kept.select("part", "anchor", "hash", (F.col("part") == F.col("least")).alias("first"))
+
+
+def confirmed(folder: str, part: int):
+    """(hashes, anchors, which are first) of a part's confirmed windows, ordered by hash and anchor."""
+    import numpy as np
+
+    m, h, first = stored(folder, part, ["anchor", "hash", "first"])
+    m, h = m.view(np.uint64), h.view(np.uint64)
+    order = np.lexsort((m, h))
+    return h[order], m[order], first[order].astype(bool)
 
 
 def phrases(parted: DataFrame, windows: str, window: int) -> DataFrame:
-    """(anchor, words: the phrase as codes, hashes of the confirmed windows around it), from the part that each window names."""
+    """(anchor, words: the phrase as codes) of the confirmed windows, from the part that each names first."""
 
     def run(batches):
         import numpy as np
@@ -252,50 +274,24 @@ def phrases(parted: DataFrame, windows: str, window: int) -> DataFrame:
         at, of_h, of_m = None, None, None
         for part, c in chunks(batches, window):
             if part != at:
-                of_m, of_h = (x.view(np.uint64) for x in stored(windows, part, ["anchor", "hash"]))
-                order = np.lexsort((of_m, of_h))
-                at, of_h, of_m = part, of_h[order], of_m[order]
+                of_h, of_m, first = confirmed(windows, part)
+                at, of_h, of_m = part, of_h[first], of_m[first]
             kept = np.flatnonzero(c.valid)
             kept = kept[both_held(c.hashes[kept], c.anchors[kept], of_h, of_m)]
-            kept = kept[np.lexsort((c.hashes[kept], c.anchors[kept]))]
-            m, h = c.anchors[kept], c.hashes[kept]
-            new = np.r_[True, (m[1:] != m[:-1]) | (h[1:] != h[:-1])][: len(m)]
-            kept, m, h = kept[new], m[new], h[new]
-            starts = np.flatnonzero(np.r_[True, m[1:] != m[:-1]][: len(m)])
-            around = kept[starts][:, None] + np.arange(c.reach)
-            place = kept[starts] + (c.grams[around] == m[starts][:, None]).argmax(axis=1) if len(starts) else starts
-            codes = c.words[place[:, None] + np.arange(CODED)].astype("<u2") if len(starts) else np.zeros((0, CODED), "<u2")
-            ends = pa.array(np.r_[starts, len(m)].astype(np.int32))
-            cells = [pa.array(m[starts].view(np.int64)), pa.array([x.tobytes() for x in codes], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(h.view(np.int64)))]
-            yield pa.RecordBatch.from_arrays(cells, names=["anchor", "words", "hashes"])
+            m, once = np.unique(c.anchors[kept], return_index=True)
+            kept = kept[once]
+            around = kept[:, None] + np.arange(c.reach)
+            place = kept + (c.grams[around] == m[:, None]).argmax(axis=1) if len(kept) else kept
+            codes = c.words[place[:, None] + np.arange(CODED)].astype("<u2") if len(kept) else np.zeros((0, CODED), "<u2")
+            yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array([x.tobytes() for x in codes], pa.binary())], names=["anchor", "words"])
 
-    return parted.select("text", "part").mapInArrow(run, "anchor long, words binary, hashes array<long>")
+    return parted.select("text", "part").mapInArrow(run, "anchor long, words binary")
 
 
-def compile_shards(found: DataFrame, shards: int) -> str:
-    """Writes the automaton of each shard and returns their folder."""
-    folder = shared_dir(found.sparkSession, "phrases")
-
-    def build(group):
-        import ahocorasick
-        import numpy as np
-        import pyarrow as pa
-
-        shard = group.column("shard")[0].as_py()
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for words in group.column("words").to_pylist():
-            automaton.add_word(words.decode("latin-1"), 1)
-        automaton.make_automaton()
-        lists = group.column("hashes").combine_chunks()
-        h = lists.flatten().to_numpy().view(np.uint64)
-        m = np.repeat(group.column("anchor").to_numpy().view(np.uint64), lists.value_lengths().to_numpy())
-        order = np.lexsort((m, h))
-        write_file(f"{folder}/{shard}", lambda out: [pickle.dump(x, out, protocol=5) for x in (np.unique(m), (automaton, h[order], m[order]))])
-        return pa.table({"shard": pa.array([shard], pa.int32()), "windows": pa.array([len(h)], pa.int64())})
-
-    rows = found.withColumn("shard", F.expr(f"cast(pmod(xxhash64(anchor), {shards}) as int)"))
-    rows.groupBy("shard").applyInArrow(build, "shard int, windows long").write.format("noop").mode("overwrite").save()
-    return folder
+def phrases_by_part(parted: DataFrame, windows: str, window: int) -> DataFrame:
+    """(part, anchor, words): each phrase for the parts that hold a confirmed window around it."""
+    holds = parted.sparkSession.read.schema("anchor long, hash long, first boolean, part long").parquet(windows).select("part", "anchor").distinct()
+    return holds.join(phrases(parted, windows, window).distinct(), "anchor").select("part", "anchor", "words")
 
 
 def spread(starts, length: int, n: int):
@@ -308,24 +304,28 @@ def spread(starts, length: int, n: int):
     return np.cumsum(edges[:n]) > 0
 
 
-def locate(c: Chunk, folder: str, shards: int):
-    """Which words of a chunk lie in a confirmed window."""
+def locate(c: Chunk, of_h, of_m, anchors, words, shard: int):
+    """Which words of a chunk lie in a confirmed window (of_h, of_m); anchors, in order, and the words of the phrases."""
+    import ahocorasick
     import numpy as np
 
     n, gone = len(c.words), np.zeros(len(c.words), bool)
     coded = c.words.astype("<u2")
     c.words = c.grams = None  # what is needed of them is at hand
+    if not len(anchors) or not c.valid.any():
+        return gone
     runs = np.flatnonzero(np.r_[True, c.anchors[1:] != c.anchors[:-1]][: len(c.anchors)])  # of windows with one anchor
     own, sizes = c.anchors[runs], np.diff(np.r_[runs, len(c.anchors)])
-    for shard in range(shards if c.valid.any() else 0):
-        fs, path = file_system(f"{folder}/{shard}")
-        if fs.get_file_info(path).type.name != "File":
-            continue  # no phrase fell to this shard
-        with fs.open_input_file(path) as file:
-            near = np.flatnonzero(np.repeat(held(own, pickle.load(file)), sizes) & c.valid)
-            if not len(near):
-                continue
-            automaton, of_h, of_m = pickle.load(file)
+    here = np.flatnonzero(held(anchors, np.unique(own)))
+    for at in range(0, len(here), shard):
+        some = here[at : at + shard]
+        near = np.flatnonzero(np.repeat(held(own, anchors[some]), sizes) & c.valid)
+        if not len(near):
+            continue
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for i in some.tolist():
+            automaton.add_word(words[i].decode("latin-1"), 1)
+        automaton.make_automaton()
         chosen = np.flatnonzero(spread(near, c.window, n))
         codes = coded[chosen].tobytes().decode("latin-1")
         ends = np.fromiter((end for end, _ in automaton.iter(codes)), np.int64)
@@ -344,12 +344,9 @@ def cut(docs: DataFrame, window: int = WINDOW, shard: int = SHARD, hot: int = HO
     number = F.monotonically_increasing_id()
     parted = materialise(docs.select("doc_id", "text", F.shiftright(number, PART).alias("part")), "phrase-parts")
     anchors = by_part(recurring_anchors(parted, window, hot), "phrase-anchors")
-    confirmed = materialise(recurring_windows(parted, anchors, window), "phrase-windows")
-    shards = -(-confirmed.count() // shard)
-    found = materialise(phrases(parted, by_part(confirmed, "phrase-confirmed"), window), "phrase-found")
-    folder = compile_shards(found, shards) if shards else ""
-    remove(confirmed)
-    remove(found)
+    windows = by_part(recurring_windows(parted, anchors, window), "phrase-windows")
+    unstored(anchors)
+    dealt = by_part(phrases_by_part(parted, windows, window), "phrase-dealt")
     kind = docs.schema["doc_id"].dataType
     span = T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())])
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("kept", T.StringType())])
@@ -359,10 +356,16 @@ def cut(docs: DataFrame, window: int = WINDOW, shard: int = SHARD, hot: int = HO
         import pyarrow as pa
 
         spans_type = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-        for b in parts(batches, 1, LOCATED):
+        at, held_there = None, ()
+        for part, b in runs_of_parts(batches, 1, 2):
+            if part != at:
+                of_h, of_m, _ = confirmed(windows, part)
+                phrase, words = stored(dealt, part, ["anchor", "words"])
+                order = np.argsort(phrase.view(np.uint64))
+                at, held_there = part, (of_h, of_m, phrase.view(np.uint64)[order], words[order])
             texts = b.column(1).to_pylist()
             c = Chunk(texts, window)
-            gone = locate(c, folder, shards)
+            gone = locate(c, *held_there, shard)
             removed, spans, kept = [], [], []
             for end, size in zip(c.ends.tolist(), c.sizes.tolist(), strict=True):
                 mask = gone[end - size : end]
@@ -374,7 +377,7 @@ def cut(docs: DataFrame, window: int = WINDOW, shard: int = SHARD, hot: int = HO
             cells = [b.column(0), pa.array(c.sizes), pa.array(removed, pa.int64()), pa.array(spans, spans_type), pa.array(kept, pa.string())]
             yield pa.RecordBatch.from_arrays(cells, names=["doc_id", "n_words", "n_removed", "spans", "kept"])
 
-    return parted.select("doc_id", "text").mapInArrow(run, schema)
+    return parted.select("doc_id", "text", "part").mapInArrow(run, schema)
 
 
 def digest(found: DataFrame) -> DataFrame:
