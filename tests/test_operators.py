@@ -294,6 +294,30 @@ def test_pruned_pairs_are_complete(spark):
     assert every == 640 * 639 // 2 and formed < every / 3
 
 
+def test_vectors_are_dealt_once(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(C, "TRAVEL_BYTES", 8 * 4 * 20)  # tiles of 20 vectors
+    rows = np.random.default_rng(4).normal(0, 1, (300, 4))
+    rows[:90] = rows[0]  # a block of several tiles
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rows.tolist())], "id long, embedding array<double>")
+    units = C.unit_rows(df, 0.9)
+    cells = C.Cells(units, 0.9, 16)
+    assert cells.sides.max() > 1 and len(cells.starts) > 3 and C.dealt(units, cells).count().agg(F.sum("count")).first()[0] == 300
+    want = {(i, j) for i, j in np.argwhere(unit @ unit.T >= 0.9).tolist() if i < j}
+    got = [(r.atom_a, r.atom_b) for r in C.near_duplicates(df, 0.9, block=16).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_letter_profiles_group_equal_texts(spark, tmp_path):
+    from wikispark.plans import queries as Q
+
+    rows = [(5, "abc"), (3, "abc"), (9, "cab"), (7, None), (8, ""), (1, "zz"), (2, "ABC")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in Q.joi2_letter_profiles(spark, str(tmp_path)).collect()] == [(3, 9, 1.0)]
+
+
 def test_small_cells_travel_in_few_blocks(spark):
     import numpy as np
 
