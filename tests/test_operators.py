@@ -655,6 +655,18 @@ def test_rebuild_equals_a_full_build(spark, tmp_path):
     assert [r.source_id for r in spark.read.parquet(f"{root}/pages").collect()] == ["n3"] and [r.pages for r in spark.read.parquet(f"{root}/topics").collect()] == [1]
 
 
+def test_rebuild_deals_atoms_once(spark, capsys):
+    sources = spark.createDataFrame([("a", "t", "One. Two\nOne. x"), ("b", None, None), ("c", "t", "")], "source_id string, topic string, content string")
+    atoms = B.compiled_atoms(sources)
+    atoms.explain()
+    assert capsys.readouterr().out.count("Exchange") == 1
+    pages = B.compiled_pages(sources, G.settle(atoms))
+    pages.explain()
+    assert capsys.readouterr().out.count("Exchange") == 1  # of atoms and sources together; before, joins and groups dealt atoms again
+    quoted = lambda *said: "\n".join(f"- [definition] {x}\n  证据：{x}" for x in said)
+    assert sorted(tuple(r)[:4] for r in pages.collect()) == [("a", "t", 3, quoted("One.", "Two", "x")), ("b", None, 0, ""), ("c", "t", 0, "")]
+
+
 def test_outline_of_three_levels(spark):
     rows = [("a", ["top"]), ("b", ["a"]), ("c", ["b"]), ("d", ["top"]), ("lone", []), ("none", None), ("x", ["y"]), ("y", ["x"]), ("b", ["a"])]
     out = [tuple(r) for r in R.outline(spark.createDataFrame(rows, "slug string, parent_ids array<string>")).select("pos", "level", "domain", "section", "slug", "cnt").orderBy("pos").collect()]

@@ -87,15 +87,15 @@ def atom_errors(claim: Column, quote: Column, char_offset: Column, kind: Column,
     )
 
 
-def sequence_atoms(raw: DataFrame) -> DataFrame:
-    """+ seq from 1 within the source over chunks, + atom_id."""
-    seq = F.row_number().over(W.partitionBy("source_id").orderBy("chunk_no", "pos"))
+def sequence_atoms(raw: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """+ seq from 1 within the source over chunks, + atom_id. within: columns that follow from the source and that rows are dealt by."""
+    seq = F.row_number().over(W.partitionBy(*within, "source_id").orderBy("chunk_no", "pos"))
     return raw.withColumn("seq", seq).withColumn("atom_id", X.atom_id(F.col("source_id"), F.col("seq")))
 
 
-def dedup_atoms(atoms: DataFrame, prefix: int = 80) -> DataFrame:
-    """Of atoms of a source whose quotes begin with the same characters the first stays; ids keep their gaps."""
-    same = W.partitionBy("source_id", F.substring("quote", 1, prefix)).orderBy("seq")
+def dedup_atoms(atoms: DataFrame, prefix: int = 80, within: tuple[str, ...] = ()) -> DataFrame:
+    """Of atoms of a source whose quotes begin with the same characters the first stays; ids keep their gaps. within: as in `sequence_atoms`."""
+    same = W.partitionBy(*within, "source_id", F.substring("quote", 1, prefix)).orderBy("seq")
     return atoms.withColumn("_n", F.row_number().over(same)).where("_n = 1").drop("_n")
 
 

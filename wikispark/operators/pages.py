@@ -21,11 +21,17 @@ def assemble_pages(ctx: DataFrame, bodies: DataFrame) -> DataFrame:
     return rows.select("slug", F.concat(head, F.lit("\n\n"), F.coalesce("body", F.lit(""))).alias("markdown"))
 
 
+def bullet_list(pos: str) -> Column:
+    """Of a group of atoms, in the order of pos: a line for each, with its quote; rows without pos count for nothing."""
+    line = F.concat(F.lit("- ["), "kind", F.lit("] "), "claim", F.lit("\n  证据："), F.coalesce(X.non_empty(F.col("quote")), F.lit(NO_QUOTE)))
+    rows = F.collect_list(F.when(F.col(pos).isNotNull(), F.struct(pos, line.alias("t"))))
+    return F.array_join(F.transform(F.sort_array(rows), lambda x: x["t"]), "\n")
+
+
 def atom_bullets(page_atoms: DataFrame, atoms: DataFrame) -> DataFrame:
     """page_atoms(slug, pos, atom_id) → (slug, bullets): each page's atoms in order with their quotes."""
     rows = page_atoms.join(atoms.select("atom_id", "kind", "claim", "quote"), "atom_id")
-    line = F.concat(F.lit("- ["), "kind", F.lit("] "), "claim", F.lit("\n  证据："), F.coalesce(X.non_empty(F.col("quote")), F.lit(NO_QUOTE)))
-    return rows.groupBy("slug").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", line.alias("t")))), lambda x: x["t"]), "\n").alias("bullets"))
+    return rows.groupBy("slug").agg(bullet_list("pos").alias("bullets"))
 
 
 # The parts of the prompt for a page, in order.
