@@ -508,6 +508,25 @@ def test_search_with_runs_in_several_blocks(spark, monkeypatch):
     assert got == {(i, k) for i, q in enumerate(asked) for k, v in texts.items() if all(t in v + "  " for t in q.split())}
 
 
+def test_runs_of_a_shard_are_rows_with_lists(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcé漢𝄞 \n\0") for _ in range(rng.randrange(40))) for _ in range(50)] + ["", "a", "ab", "abc", "".join(map(chr, range(200, 900)))]
+    want = {}
+    for i, t in enumerate(texts):
+        for n in (1, 2, 3):
+            for k in range(len(t) - n + 1):
+                want.setdefault(t[k : k + n], set()).add(i)
+    runs, starts, pages = Q.shard_runs(texts)  # with 700 letters, too many runs of three for dense numbers
+    assert {r: set(pages[a:b].tolist()) for r, a, b in zip(runs, starts[:-1], starts[1:], strict=True)} == want and len(runs) == len(want) and len(pages) == sum(map(len, want.values()))
+    assert Q.shard_runs([])[0] == Q.shard_runs(["", ""])[0] == []
+    monkeypatch.setattr(Q, "BLOCK", 20)
+    rows = spark.createDataFrame([(i, "x y") for i in range(100)], "slug int, haystack string").coalesce(1)
+    found = Q.postings_of(rows).collect()
+    assert len(found) == 6 * 5 and {len(r.slugs) for r in found} == {20}  # not a row for each page and run: 600
+    asked = Q.postings_of(rows, spark.createDataFrame([("x ",), ("zz",)], "gram string")).collect()
+    assert {r.gram for r in asked} == {"x "} and sorted(s for r in asked for s in r.slugs) == list(range(100))
+
+
 def test_link_graph_radius(spark):
     rows = spark.createDataFrame([(f"p{i}", "concept") for i in range(8)] + [("s", "source")], "slug string, type string")
     links = spark.createDataFrame([("p0", f"p{i}") for i in range(1, 8)] + [("p1", "p0"), ("p0", "s"), ("p2", "p2")], "source string, target string")
