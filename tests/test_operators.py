@@ -310,6 +310,12 @@ def test_vectors_are_dealt_once(spark, monkeypatch):
     assert len(got) == len(want) and set(got) == want
 
 
+def test_density_of_a_table_with_renamed_ids(spark, tmp_path):
+    spark.createDataFrame([(i, [1.0, i % 2 * 1.0]) for i in range(8)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/v.parquet")
+    vecs = spark.read.parquet(f"{tmp_path}/v.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    assert sorted(map(tuple, C.density_labels(vecs, 0.99).collect())) == [(i, i % 2) for i in range(8)]
+
+
 def test_letter_profiles_group_equal_texts(spark, tmp_path):
     from wikispark.plans import queries as Q
 
